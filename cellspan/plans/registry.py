@@ -1,6 +1,9 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL. Balls come from `embeddings`, surfaces and hierarchies from the order tables, frames
+from `events`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cellspan.plans import hierarchy, space
+
+QUERIES: dict = {**space.QUERIES, **hierarchy.QUERIES}
+SQL: dict = {**space.SQL, **hierarchy.SQL}
