@@ -3,7 +3,7 @@ from `events`."""
 
 from __future__ import annotations
 
-from cellspan.plans import hierarchy, space
+from cellspan.plans import hierarchy, measures, space
 
-QUERIES: dict = {**space.QUERIES, **hierarchy.QUERIES}
-SQL: dict = {**space.SQL, **hierarchy.SQL}
+QUERIES: dict = {**space.QUERIES, **hierarchy.QUERIES, **measures.QUERIES}
+SQL: dict = {**space.SQL, **hierarchy.SQL, **measures.SQL}
