@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, modulus: int
     """Learns the lexicon and the trees on at most max_rows labelled documents; labels.toxic of ids with crc32 mod modulus
     equal to remainder are not looked at. Three quarters of the sample make lexicon and trees, the rest the calibration.
     Without labels of both kinds the score is their share of ones, 0 without any."""
-    rows = materialize(sample(docs, labels, "toxic", modulus, remainder, max_rows, id_col, text_col))
+    # a bounded sample in few partitions: trees and calibration run dozens of jobs over it
+    rows = materialize(sample(docs, labels, "toxic", modulus, remainder, max_rows, id_col, text_col).repartition(8))
     ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     base = ones / n if n else 0.0
     fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0
