@@ -82,7 +82,7 @@ def mix_sources(
     cut = cut.where(F.col("upto") > F.col("total")).agg(F.min_by(F.struct("at", "before", "total"), "at").alias("c")).first()["c"]
     if cut is None:  # nothing is beyond the total: all is taken
         copies = F.when(F.col("size") > 0, F.lit(max_repeats)).otherwise(0)
-        return queued.select(F.col("id").alias(id_col), "th", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        return queued.select(F.col("id").alias(id_col), "th", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
     edge = many.where(stretch(F.col("turn")) == cut["at"]).withColumn("time", finish(F.col("turn")))
     in_order = W.orderBy("time", F.col("source").isNull(), "source", "key", F.col("id").isNull(), "id", "size", "th", "turn").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("sum", F.sum("size").over(in_order) + cut["before"]).where(F.col("sum") <= cut["total"])
