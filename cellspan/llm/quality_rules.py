@@ -87,31 +87,44 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
+#: What a round of expectation-maximisation knows: bp and gp are a rule's rates of votes for bad in bad and in good
+#: documents, bn and gn those of its votes for good.
+RATE = "struct<bp: double, gp: double, bn: double, gn: double>"
+STATE = f"struct<prior: double, rates: array<{RATE}>, moved: double>"
+
+
+def round_sql(smooth: float) -> str:
+    """SQL for the state after s, from pats, an array of (v, n), and their total."""
+    add = "0D, (a, x) -> a + x"
+    evidence = "zip_with(p.v, s.rates, (v, r) -> case v when 1 then ln(r.bp / r.gp) when -1 then ln(r.bn / r.gn) else 0D end)"
+    q = f"transform(pats, p -> p.n / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate({evidence}, {add})))))"
+    part = lambda vote, x: f"aggregate(zip_with(pats, q, (p, y) -> if(p.v[k] = {vote}, {x}, 0D)), {add})"
+    in_bad = lambda vote: f"({part(vote, 'y')} + {smooth}D) / (bad + {3 * smooth}D)"
+    in_good = lambda vote: f"({part(vote, 'p.n - y')} + {smooth}D) / (total - bad + {3 * smooth}D)"
+    rate = f"transform(sequence(0, {len(RULES) - 1}), k -> named_struct('bp', {in_bad(1)}, 'gp', {in_good(1)}, 'bn', {in_bad(-1)}, 'gn', {in_good(-1)}))"
+    # a vote for bad is never a sign of good nor the reverse, whatever else may part two classes
+    rate = f"transform({rate}, r -> named_struct('bp', round(greatest(r.bp, r.gp), 9), 'gp', round(r.gp, 9), 'bn', round(least(r.bn, r.gn), 9), 'gn', round(r.gn, 9)))"
+    prior = f"round(least(0.5D, (bad + {smooth}D) / (total + {2 * smooth}D)), 9)"
+    apart = "array_max(zip_with(rates, s.rates, (x, y) -> greatest(abs(x.bp - y.bp), abs(x.gp - y.gp), abs(x.bn - y.bn), abs(x.gn - y.gn))))"
+    after = f"named_struct('prior', prior, 'rates', rates, 'moved', greatest(abs(prior - s.prior), {apart}))"
+    # one-element arrays give what is used more than once a name
+    for name, value in (("rates", rate), ("prior", prior), ("bad", f"aggregate(q, {add})"), ("q", q)):
+        after = f"transform(array({value}), {name} -> {after})[0]"
+    return after
+
+
 def fit(voted: DataFrame, rounds: int = 30, smooth: float = 1.0, tol: float = 1e-4) -> VoteModel:
     """Expectation-maximisation over all rows of voted. Rows only differ by their votes, so the rounds run over the counts
-    of each pattern of votes: at most 3 ** len(RULES) rows, however large the corpus."""
+    of each pattern of votes: at most 3 ** len(RULES), however large the corpus. They fit one row, in which all rounds
+    are one expression; rounds after one that moves no rate by tol change nothing."""
     names = [f"v{i}" for i in range(len(RULES))]
-    patterns = checkpoint(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1).sort(*names))
-    model = VoteModel(0.1, [{1: (0.5, 0.01), -1: (0.3, 0.9)} for _ in names])
-    for _ in range(rounds):
-        q = patterns.withColumn("q", model.p_bad() * F.col("n"))
-        sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("q", "n")]
-        for c in names:
-            sums += [F.coalesce(F.sum(F.when(F.col(c) == k, F.col(x))), F.lit(0)).alias(f"{c}{k}{x}") for x in ("q", "n") for k in (1, -1)]
-        s = q.agg(*sums).first().asDict()
-        bad, n = s["q"], s["n"]
-        chance = []
-        for c in names:
-            rate = {k: [(s[f"{c}{k}q"] + smooth) / (bad + 3 * smooth), (s[f"{c}{k}n"] - s[f"{c}{k}q"] + smooth) / (n - bad + 3 * smooth)] for k in (1, -1)}
-            # a vote for bad is never a sign of good nor the reverse, whatever else may part two classes
-            rate[1][0], rate[-1][0] = max(rate[1]), min(rate[-1])
-            chance.append({k: (round(b, 9), round(g, 9)) for k, (b, g) in rate.items()})
-        after = VoteModel(round(min(0.5, (bad + smooth) / (n + 2 * smooth)), 9), chance)
-        moved = max([abs(after.prior_bad - model.prior_bad), *(abs(a[k][j] - b[k][j]) for a, b in zip(after.chance, model.chance, strict=True) for k in a for j in (0, 1))])
-        model = after
-        if moved < tol:
-            break
-    return model
+    patterns = voted.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
+    one = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*names).alias("v"), "n"))).alias("pats"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
+    first = f"array_repeat(named_struct('bp', 0.5D, 'gp', 0.01D, 'bn', 0.3D, 'gn', 0.9D), {len(RULES)})"
+    first = f"cast(named_struct('prior', 0.1D, 'rates', {first}, 'moved', 1D) as {STATE})"
+    step = f"(s, i) -> if(s.moved < {tol}D, s, cast({round_sql(smooth)} as {STATE}))"
+    s = checkpoint(one).select(F.expr(f"aggregate(sequence(1, {rounds}), {first}, {step})").alias("s")).first()["s"]
+    return VoteModel(s["prior"], [{1: (r["bp"], r["gp"]), -1: (r["bn"], r["gn"])} for r in s["rates"]])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
