@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,7 @@ def parse_pdb(lines: DataFrame, text_col: str = "value", carry: tuple[str, ...]
     cut = {c: F.trim(F.substring(F.col(text_col), at, n)) for c, at, n in PDB_FIELDS}
     rows = lines.select(*carry, *[x.alias(c) for c, x in cut.items()]).where(F.col("record").isin("ATOM", "HETATM"))
     element = F.upper(F.when(F.length("element") > 0, F.col("element")).otherwise(F.regexp_extract("name", "[A-Za-z]", 0)))
-    rad = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), element), F.lit(OTHER_RADIUS))
+    rad = radius(element)
     number = {c: F.expr(f"try_cast({c} AS {t})") for c, t in (("serial", "bigint"), ("res_seq", "int"), ("x", "double"), ("y", "double"), ("z", "double"))}
     return rows.select(
         *carry, number["serial"].alias("ball_id"), number["x"].alias("x"), number["y"].alias("y"), number["z"].alias("z"), rad.alias("rad"), "name", element.alias("element"),
@@ -46,12 +46,61 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     return parse_pdb(lines, carry=("system_id",))
 
 
+def radius(element: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), element), F.lit(OTHER_RADIUS))
+
+
+#: Fixed values of the GRO format: column, first place, length; lengths are in nanometres. An atom line has numbers in those places.
+GRO_FIELDS = (("res_seq", 1, 5), ("res_name", 6, 5), ("name", 11, 5), ("serial", 16, 5), ("x", 21, 8), ("y", 29, 8), ("z", 37, 8))
+GRO_ATOM = r"^[ \d]{4}\d.{10}[ \d]{4}\d( *-?\d+\.\d{3}){3}"
+
+
+def parse_gro(lines: DataFrame, text_col: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Atoms of GRO lines of three decimals, by place, in angstrom. Titles, counts, boxes and null lines fall out as they do
+    not match; numbers of atoms and residues start anew after 99,999, as the format has it."""
+    cut = {c: F.trim(F.substring(F.col(text_col), at, n)) for c, at, n in GRO_FIELDS}
+    rows = lines.where(F.col(text_col).rlike(GRO_ATOM)).select(*carry, *[x.alias(c) for c, x in cut.items()])
+    element = F.upper(F.regexp_extract("name", "[A-Za-z]", 0))
+    at = [(F.expr(f"try_cast({c} AS double)") * 10).alias(c) for c in "xyz"]
+    return rows.select(
+        *carry, F.col("serial").cast("bigint").alias("ball_id"), *at, radius(element).alias("rad"), "name", element.alias("element"),
+        "res_name", F.col("res_seq").cast("int").alias("res_seq"), F.col("res_name").isin(*SOLVENT).alias("is_solvent"),
+    )
+
+
+def read_gro(spark: SparkSession, path: str) -> DataFrame:
+    """All atoms of a file or folder of GRO files, with the file's name as system_id."""
+    return parse_gro(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("system_id")), carry=("system_id",))
+
+
+#: Fixed value: what begins a section of a MOL2 file.
+MOL2_SECTION = "@<TRIPOS>"
+
+
+def parse_mol2(sections: DataFrame, text_col: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Atoms of MOL2 sections, a row each without their mark; other sections, and lines without six fields, are left out.
+    Fields that are not numbers are null; the element is what the atom type has before its dot."""
+    atoms = sections.where(F.col(text_col).rlike(r"^ATOM\s*\n")).select(*carry, F.explode(F.split(text_col, r"\r?\n")).alias("line"))
+    rows = atoms.select(*carry, F.split(F.trim("line"), r"\s+").alias("p")).where(F.size("p") >= 6)
+    element = F.upper(F.split(F.col("p")[5], r"\.")[0])
+    number = [F.expr(f"try_cast(p[{k}] AS {t})").alias(c) for c, k, t in (("ball_id", 0, "bigint"), ("x", 2, "double"), ("y", 3, "double"), ("z", 4, "double"))]
+    later = [F.expr(f"try_cast(get(p, {k}) AS {t})").alias(c) for c, k, t in (("res_seq", 6, "int"), ("res_name", 7, "string"), ("charge", 8, "double"))]
+    return rows.select(*carry, *number, radius(element).alias("rad"), F.col("p")[1].alias("name"), element.alias("element"), *later)
+
+
+def read_mol2(spark: SparkSession, path: str) -> DataFrame:
+    """All atoms of a file or folder of MOL2 files, with the file's name as system_id. Sections are the reader's records, so
+    large files are still read in splits."""
+    sections = spark.read.option("lineSep", MOL2_SECTION).text(path).select("value", F.col("_metadata.file_name").alias("system_id"))
+    return parse_mol2(sections, carry=("system_id",))
+
+
 def parse_xyz(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """element, x, y, z, rad of the atom lines of XYZ files; counts and comments fall out as they do not match."""
     parts = F.split(F.trim(text_col), r"\s+")
     rows = lines.select(parts.alias("p")).where(F.size("p") >= 4)
     rows = rows.select(F.upper(F.col("p")[0]).alias("element"), *[F.expr(f"try_cast(p[{k}] AS double)").alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))])
-    rad = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), F.col("element")), F.lit(OTHER_RADIUS))
+    rad = radius(F.col("element"))
     return rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("rad", rad)
 
 
