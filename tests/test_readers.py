@@ -40,3 +40,8 @@ def test_nothing_and_nulls(spark):
     none = spark.createDataFrame([(None,), ("",)], "value string")
     assert source.parse_gro(none).count() == 0
     assert source.parse_mol2(none).count() == 0
+
+
+def test_xyz(spark):
+    lines = spark.createDataFrame([("2",), ("a remark",), ("O 0.0 1.5 -2.0",), ("xx 1 2 3",), (None,)], "value string")
+    assert sorted((r.element, r.x, r.y, r.z, r.rad) for r in source.parse_xyz(lines).collect()) == [("O", 0.0, 1.5, -2.0, 1.52), ("XX", 1.0, 2.0, 3.0, 1.8)]
