@@ -105,10 +105,10 @@ def contact_cap_area(spark, sf_dir):
 FOUR = "f AS (SELECT chain, ball_id, x, y, z, lead(x, {k}) OVER w AS x{k}, lead(y, {k}) OVER w AS y{k}, lead(z, {k}) OVER w AS z{k}"
 
 
-def _following(b: DataFrame) -> DataFrame:
-    """Each ball (p0) with the three that follow it in its chain."""
+def _following(b: DataFrame, n: int = 3) -> DataFrame:
+    """Each ball (p0) with the n that follow it in its chain."""
     w = W.partitionBy("chain").orderBy("ball_id")
-    return b.select("chain", "ball_id", *[F.lead(c, k).over(w).alias(f"p{k}_{c}") for k in range(4) for c in "xyz"]).where("p3_x IS NOT NULL")
+    return b.select("chain", "ball_id", *[F.lead(c, k).over(w).alias(f"p{k}_{c}") for k in range(n + 1) for c in "xyz"]).where(f"p{n}_x IS NOT NULL")
 
 
 LEADS = ", ".join(f"lead({c}, {k}) OVER w AS p{k}_{c}" for k in range(4) for c in "xyz")
@@ -142,7 +142,7 @@ def triangle_tetra_angle(spark, sf_dir):
 
 @query(f"WITH {base()}, {FOLLOW} SELECT chain, count(*) AS n_steps, round(sum(sqrt({_d(_s(1, 0), _s(1, 0))})), 6) AS length FROM f GROUP BY chain")
 def path_length(spark, sf_dir):
-    f = _following(balls(spark, sf_dir))
+    f = _following(balls(spark, sf_dir), 1)
     return r6(f.groupBy("chain").agg(F.count("*").alias("n_steps"), F.sum(G.distance(G.point("p1"), G.point("p0"))).alias("length")))
 
 
