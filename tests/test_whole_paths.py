@@ -21,3 +21,10 @@ def test_path_length_takes_every_step_of_chains_of_any_length(spark, tmp_path):
         want[c] = (n - 1, float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum()))
     assert got.keys() == want.keys()
     assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-5 for c in want)
+
+
+def test_layers_go_on_until_no_ball_is_left(spark, tmp_path):
+    # twelve balls in a row, 2.2 apart at scale 60 with radii from 1.0: each touches the next; the last is out of reach
+    at = np.array([[k * 2.2 / 60, 0.0, 0.0] for k in range(12)] + [[5.0, 0.0, 0.0]])
+    got = registry.QUERIES["layer_bfs"](spark, embeddings(spark, tmp_path, at, [0] + [1] * 12)).collect()
+    assert {(r.node, r.layer) for r in got} == {(k, k) for k in range(12)}
