@@ -250,4 +250,6 @@ def dual_simplex_counts(spark, sf_dir):
 
 @query()
 def alpha_complex_counts(spark, sf_dir):
-    return network.alpha_counts(verts(spark, sf_dir, "pow"), (0.0, 0.5, 1.0, 2.0))
+    # a birth is a vertex's rad, so vertices go up to the largest alpha
+    alphas = (0.0, 0.5, 1.0, 2.0)
+    return network.alpha_counts(network.vertices(balls(spark, sf_dir, WIDE), "pow", max(alphas) ** 0.5), alphas)

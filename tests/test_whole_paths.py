@@ -28,3 +28,10 @@ def test_layers_go_on_until_no_ball_is_left(spark, tmp_path):
     at = np.array([[k * 2.2 / 60, 0.0, 0.0] for k in range(12)] + [[5.0, 0.0, 0.0]])
     got = registry.QUERIES["layer_bfs"](spark, embeddings(spark, tmp_path, at, [0] + [1] * 12)).collect()
     assert {(r.node, r.layer) for r in got} == {(k, k) for k in range(12)}
+
+
+def test_alpha_counts_vertices_up_to_the_largest_alpha(spark, tmp_path):
+    # four balls of radius 1 with their power vertex at rad 1.98
+    at = np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]]) * (2.98 / 3) ** 0.5 / 60
+    got = registry.QUERIES["alpha_complex_counts"](spark, embeddings(spark, tmp_path, at, [0] * 4)).collect()
+    assert {r.alpha: r.n for r in got} == {0.0: 0, 0.5: 0, 1.0: 0, 2.0: 1}
