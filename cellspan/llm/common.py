@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,34 +20,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where that is unset, a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local one if driver and executors are
+    one machine, as in tests; on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="cellspan-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Where materialize() has written, in order.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back, so that what follows neither recomputes it nor depends on
-    the executor that made it. The files go when the driver's JVM ends."""
+    the executor that made it. The files go by release(), at the latest when the driver's JVM ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def written() -> int:
+    """How many tables materialize() has written that are not released: a mark for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, start: int, end: int) -> None:
+    """Deletes the tables written between two marks. DataFrames that read them must not be used after."""
+    for at in _WRITTEN[start:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[start:end]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts differ in length by four orders of magnitude: keep Arrow batches to few rows so that memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Texts differ in length by orders of magnitude: batches cut into runs of few rows and, but for a single row that is
+    longer by itself, few bytes, so that what a task makes of a run stays bounded whatever the session's batches are."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import matching, small_batches, text_hash
+from cellspan.llm.common import matching, pieces, text_hash
 
 WORD = re.compile(r"[^\W_]+")
 #: Between texts that are laid end to end; no normalised text holds it.
@@ -203,7 +203,6 @@ def leaks(
     Benchmark items go to the executors in blocks of about block_chars characters, each held against all documents, so
     that what is sent is bounded however large the benchmark is. Documents are not shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
@@ -222,7 +221,7 @@ def leaks(
 
         def run(batches: Iterator[pa.RecordBatch], args: tuple = args) -> Iterator[pa.RecordBatch]:
             index = GramIndex(*args)
-            for batch in batches:
+            for batch in pieces(batches):
                 raw = batch.column(2).to_pylist()
                 got = index.search([normalise(t) for t in raw]) if index.items else {}
                 hits = [(d, i, *best, *_original(raw[d], *best[1:]), len(index.items[i])) for (d, i), best in sorted(got.items())]

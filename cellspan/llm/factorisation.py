@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import small_batches
+from cellspan.llm.common import pieces
 from cellspan.llm.labelled import held_out, sample
 
 ODD = re.compile(r"[^\w\s.,;:!?'\"’()-]+|[.,;:!?*#-]{2,}")
@@ -105,12 +105,11 @@ def fit(
     """Learns labels.quality from at most max_rows labelled documents; ids with crc32 mod modulus equal to remainder are
     not looked at. Only those rows' feature vectors (made on the executors) come to the driver. Without labels of both
     kinds every score is near their share of ones, one half without any."""
-    small_batches(docs.sparkSession)
     schema = "id long, label int, i array<long>, x array<float>"
     known = sample(docs, labels, "quality", modulus, remainder, max_rows, id_col, text_col).select(F.xxhash64("id").alias("id"), "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             got = [vector(t.as_py(), buckets) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i for i, _ in got], pa.list_(pa.int64())), pa.array([x for _, x in got], pa.list_(pa.float32()))], names=["id", "label", "i", "x"])
 
@@ -134,7 +133,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = FactorisationMachine(*parts)
-        for b in batches:
+        for b in pieces(batches):
             got = np.concatenate([fm.probability([vector(t.as_py(), fm.buckets) for t in b.column(1).slice(k, 50)]) for k in range(0, max(1, b.num_rows), 50)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=schema.names)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cellspan.llm.common import small_batches
+from cellspan.llm.common import pieces
 
 #: Fixed values of HTML: elements without content, elements whose content is not markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -245,12 +245,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     """(id_col, carry, text, n_chars) for every row of pages. A null or empty page has an empty text; repeated rows give
     repeated results; broken markup never fails; other columns are not read. Each page is one row and stays in its
     partition: nothing is shuffled."""
-    small_batches(pages.sparkSession)
     names = [id_col, *carry]
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = [main_text(p.as_py()) for p in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

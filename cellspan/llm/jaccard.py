@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellspan.llm.backoff import MIX1, grams, mix, word_hashes
-from cellspan.llm.common import matching, materialize, small_batches, text_hash
+from cellspan.llm.common import matching, materialize, pieces, text_hash
 from cellspan.llm.graph import components
 
 #: Of two texts at similarity 0.8, the chance to share none of 24 bands of 5 values is (1 - 0.8 ** 5) ** 24, under 1 in 10,000.
@@ -47,10 +47,9 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def signatures(keyed: DataFrame, shingle: int) -> DataFrame:
     """(id, th, node, n, keys) for every row of keyed(id, th, text): node is a hash of the words, n the number of shingles."""
-    small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             nodes, counts, keys = [], [], []
             for t in b.column(2):
                 text = t.as_py()
@@ -70,7 +69,7 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """Those of pairs(a, b) whose texts(node, text) have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             last, own, keep = None, None, []
             for a, t, u in zip(batch["a"].to_pylist(), batch["s"], batch["t"], strict=True):
                 if a != last:  # pairs of one leader follow each other

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import matching, materialize, small_batches, text_hash
+from cellspan.llm.common import matching, materialize, pieces, text_hash
 from cellspan.llm.graph import components
 
 BITS = 64
@@ -38,10 +38,9 @@ def fingerprints(
 ) -> DataFrame:
     """(id_col, carry, fp long) for every row of docs; a null, empty or blank text has fingerprint 0."""
     names = [id_col, *carry]
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps, pa.int64())], names=[*names, "fp"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cellspan.llm.common import small_batches
+from cellspan.llm.common import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts text before it merges bytes.
@@ -58,12 +58,11 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, .
     it belongs to the section of its first byte. Sections are the fields' lines, each with the \\n that ends it. A null or
     empty field is one empty section. Repeated rows give repeated results; other columns are not read."""
     spark = docs.sparkSession
-    small_batches(spark)
     long = [T.StructField(c, T.LongType()) for c in ("start", "end", "n_tokens", "n_entering", "doc_tokens")]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("field", T.StringType()), T.StructField("section", T.IntegerType()), *long])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             row: list[np.ndarray] = []
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
             texts = [c.to_pylist() for c in batch.columns[1:]]

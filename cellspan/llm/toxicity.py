@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import materialize, small_batches
+from cellspan.llm.common import materialize, pieces
 from cellspan.llm.labelled import held_out, sample
 
 #: Words of the second person in the four languages; characters that stand for letters.
@@ -113,12 +113,11 @@ class Featurizer:
 
 def features(docs: DataFrame, lexicon: dict[str, float], names: list[str], text_col: str = "text") -> DataFrame:
     """The named columns of docs and the dense features, in order of NAMES."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.DoubleType()) for c in NAMES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer(lexicon)
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([of(t.as_py()) for t in b.column(len(names))], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c) for c in x.T)], names=schema.names)
 
