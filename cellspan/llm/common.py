@@ -100,8 +100,31 @@ def text_hash(text: Column) -> Column:
 
 
 def matching(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (all columns) semi- or anti-joined with keys(id, th), null ids equal."""
+    """docs (all columns) semi- or anti-joined with keys(id, th), null ids equal. The keys are hashed in each partition and
+    the texts stream past them unsorted."""
     own = docs.select("*", F.col(id_col).alias("__own_id"), text_hash(F.col(text_col)).alias("__own_th"))
-    keys = keys.select(F.col("id").alias("__key_id"), F.col("th").alias("__key_th"))
+    keys = keys.select(F.col("id").alias("__key_id"), F.col("th").alias("__key_th")).hint("shuffle_hash")
     on = F.col("__own_id").eqNullSafe(F.col("__key_id")) & (F.col("__own_th") == F.col("__key_th"))
     return own.join(keys, on, how).select(*docs.columns)
+
+
+def one_each(docs: DataFrame, keys: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one of the distinct keys(id, th), once each. known(id, th) has a row for each row of docs, so
+    texts are only compared where a pair of them occurs twice."""
+    twice = materialize(known.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if twice.isEmpty():
+        return matching(docs, keys, "left_semi", id_col, text_col)
+    same = keys["id"].eqNullSafe(twice["id"]) & (keys["th"] == twice["th"])
+    once, more = keys.join(twice, same, "left_anti"), keys.join(twice, same, "left_semi")
+    return matching(docs, once, "left_semi", id_col, text_col).union(matching(docs, more, "left_semi", id_col, text_col).dropDuplicates([id_col, text_col]))
+
+
+def skewed_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, heavy: int = 4096) -> DataFrame:
+    """rows joined with keys(on, times, ...), one row a key, times being how many of the total rows have it.
+
+    Keys of a heavy-th of all rows or more are at most `heavy` in number, so they are broadcast however often they occur;
+    the join by key is left with keys below that share."""
+    often = F.col("times") * heavy >= max(total, 1)
+    many = F.broadcast(keys.where(often))
+    known = rows.join(many, on)
+    return known.union(rows.join(many.select(*on), on, "left_anti").join(keys.where(~often), on).select(*known.columns))

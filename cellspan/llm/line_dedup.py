@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import SPACE, ascii_lower, materialize
+from cellspan.llm.common import SPACE, ascii_lower, materialize, skewed_join
 
 
 def line_key(line: Column) -> Column:
@@ -21,6 +21,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return keys.where(F.length("key") >= min_chars).select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def _common(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, keeper, times) of the keys that enough documents hold: keeper is the largest id, times the lines."""
+    holders = lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("c"))
+    keys = holders.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("keeper"), F.sum("c").alias("times"))
+    return materialize(keys.where(F.col("n") >= min_docs).drop("n"))
+
+
+def _gone(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The lines that go."""
+    return skewed_join(lines, common, ["h1", "h2"], lines.count()).where(~F.col("id").eqNullSafe(F.col("keeper")))
+
+
 def _without(lines: Column, dropped: Column) -> Column:
     """lines without the (sorted, 0-based) positions in dropped, by slices between them: linear in both."""
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(dropped, k - 1) + 1)
@@ -35,12 +47,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key of at least min_chars code points that at least min_docs documents (distinct ids) hold loses all its lines
     except in the largest id. A null or empty text is one empty line. Rows that share an id are one document. A null id
     counts as no document, so such a row loses every line that goes elsewhere. Repeated lines of the document that keeps
-    a key all stay. An empty table gives an empty table. Texts cross the network once, in the last join; all before it
-    moves hashes, pre-aggregated on the map side, and a line that every document holds is split by document first."""
+    a key all stay. An empty table gives an empty table. Texts cross the network once, in the last join, where they
+    stream past a hash table of the positions and are not sorted; all before it moves hashes, pre-aggregated on the map
+    side, and lines that very many documents hold are joined where they are."""
     lines = materialize(_lines(docs, id_col, text_col, min_chars))
-    holders = lines.where(F.col("id").isNotNull()).groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-    common = holders.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    gone = _gone(lines, _common(lines, min_docs))
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
@@ -48,7 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if new & {"__id", "__th", "__gone", "__of", "__own", "__text"}:
         raise ValueError(f"columns {sorted(new)} are reserved")
     rows = docs.select(*kept, F.col(id_col).alias("__own"), text.alias("__text"), F.xxhash64(text).alias("__of"))
-    rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__th")), "left")
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__th")), "left")
     gone_or_none = F.coalesce("__gone", F.array().cast("array<int>"))
     # transform over a one-element array names the split once; a plain alias would be split again for each slice
     out = F.when(F.size(gone_or_none) == 0, F.col("__text")).otherwise(
