@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellspan.llm.backoff import MIX1, grams, mix, word_hashes
-from cellspan.llm.common import matching, materialize, pieces, text_hash
+from cellspan.llm.common import materialize, one_each, pieces, skewed_join, text_hash
 from cellspan.llm.graph import components
 
 #: Of two texts at similarity 0.8, the chance to share none of 24 bands of 5 values is (1 - 0.8 ** 5) ** 24, under 1 in 10,000.
@@ -30,7 +30,7 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 def band_keys(sets: np.ndarray) -> np.ndarray:
-    """A hash of each band of the MinHash signature."""
+    """A hash of each band of the MinHash signature; bands differ in their keys."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(sets), 2048):
         least = np.minimum(least, (sets[at : at + 2048, None] * ODD + SHIFT).min(0))
@@ -40,11 +40,6 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
 def signatures(keyed: DataFrame, shingle: int) -> DataFrame:
     """(id, th, node, n, keys) for every row of keyed(id, th, text): node is a hash of the words, n the number of shingles."""
 
@@ -52,8 +47,7 @@ def signatures(keyed: DataFrame, shingle: int) -> DataFrame:
         for b in pieces(batches):
             nodes, counts, keys = [], [], []
             for t in b.column(2):
-                text = t.as_py()
-                sets = shingles(text, shingle)
+                sets = shingles(t.as_py(), shingle)
                 # equal sets are equal texts for what follows, so they are one node
                 nodes.append(int(mix(np.array([np.bitwise_xor.reduce(mix(sets)) + np.uint64(len(sets))], np.uint64)).view(np.int64)[0]) if len(sets) else 0)
                 counts.append(len(sets))
@@ -65,59 +59,111 @@ def signatures(keyed: DataFrame, shingle: int) -> DataFrame:
     return keyed.select("id", "th", "text").mapInArrow(run, schema)
 
 
-def checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts(node, text) have at least that Jaccard similarity."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of texts(node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            last, own, keep = None, None, []
-            for a, t, u in zip(batch["a"].to_pylist(), batch["s"], batch["t"], strict=True):
-                if a != last:  # pairs of one leader follow each other
-                    last, own = a, shingles(t.as_py(), shingle)
-                keep.append(similar(own, shingles(u.as_py(), shingle), similarity))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
-
-
-def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """nodes(node, n, keys) to links (a, b) whose components are those of all pairs that share a band and have the
-    similarity.
-
-    First each node of a bucket (band and key) is paired with the bucket's least. What these links join needs no further
-    pair: of the buckets that hold several components, the nodes outside the bucket's largest are paired with all of
-    other components. So a group of near copies costs a pair a member, not one for every two, and no pair across is left out."""
-    rows = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    rows = materialize(rows.join(shared, ["band", "key"]).drop("size"))
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)  # noqa: E731 - smaller sets can't be similar enough
-    size = nodes.select(F.col("node").alias("leader"), F.col("n").alias("m"))
-    led = rows.where("node <> leader").select("leader", "node", "n").distinct().join(size, "leader").where(fits(F.col("n"), F.col("m")))
-    first = materialize(checked(led.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts, shingle, similarity))
-    group = components(first).withColumnRenamed("component", "comp")
-    placed = rows.join(group, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    shares = placed.groupBy("band", "key", "comp").count()
-    mixed = shares.groupBy("band", "key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    placed = materialize(placed.join(mixed, ["band", "key"]).select("band", "key", "node", "n", "comp", "main"))
-    x = placed.where("comp <> main").select("band", "key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    y = placed.select("band", "key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    across = x.join(y, ["band", "key"]).where((F.col("xc") != F.col("yc")) & fits(F.col("xn"), F.col("yn")))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = across.join(led.select(F.col("leader").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    return first.union(materialize(checked(across, texts, shingle, similarity)))
+        for b in pieces(batches):
+            sets = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
+
+
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both + F.lit(1e-9) >= similarity * (F.size(a) + F.size(b) - both)
+
+
+def fits(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(n, m) + F.lit(1e-9) >= similarity * F.greatest(n, m)
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float, most: int = 4096) -> DataFrame:
+    """Those of pairs(a, b) whose sets(node, set) have at least that similarity. The set of an a of many pairs is dealt
+    out, a copy for about `most` of them, so no task gets all pairs of one a."""
+    times = materialize(pairs.groupBy("a").agg(F.count("*").alias("times")))
+    parts = F.ceil(F.col("times") / most).cast("int")
+    salted = skewed_join(pairs, times, ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    left = sets.join(times, sets["node"] == times["a"]).select("a", F.col("set").alias("s"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = salted.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+    return right.join(left, ["a", "part"]).where(similar(F.col("s"), F.col("t"), similarity)).select("a", "b")
+
+
+def leader_links(rows: DataFrame, sets: DataFrame, similarity: float, total: int) -> DataFrame:
+    """rows(bucket, node, n, times) to links (a, b) of each node with the leader of its bucket. The leader is the node
+    that shares most places in buckets with others: of a group of copies, one near the middle."""
+    score = rows.groupBy("node").agg(F.sum("times").alias("score"))
+    best = rows.join(score, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("l"), F.count("*").alias("times"))
+    led = skewed_join(rows.drop("times"), materialize(best), ["bucket"], total).where("node <> l.node")
+    led = led.where(fits(F.col("n"), F.col("l.n"), similarity)).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+    return materialize(checked(materialize(led), sets, similarity))
+
+
+def cross_links(rows: DataFrame, sets: DataFrame, group: DataFrame, similarity: float, total: int, tile: int = 250_000) -> DataFrame:
+    """Links (a, b) between different components of group(node, component), of nodes that share a bucket.
+
+    A node of n shingles of which `own` occur in no other node can only be similar to sets of at most
+    (n - own) * (1 + similarity) / similarity - n: most changed copies can be similar to nothing in their bucket and drop
+    out by that count. Of the rest, the nodes outside a bucket's largest component meet those of all other components.
+    The buckets' nodes are dealt into tiles of about `tile` shingles, so a task never holds a bucket; pairs are compared
+    inside the join, which gives links alone."""
+    placed = rows.drop("times").join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    placed = materialize(placed)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """rows of buckets that hold several components, with the largest (main), the least n and the tiles."""
+        shares = rows.groupBy("bucket", "comp").agg(F.count("*").alias("count"), F.min("n").alias("least"), F.sum(F.col("n").cast("long")).alias("sum"))
+        per = shares.groupBy("bucket").agg(
+            F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"), F.min("least").alias("least"),
+            F.sum("count").alias("times"), F.ceil(F.sum("sum") / tile).cast("int").alias("tiles"),
+        )
+        return materialize(skewed_join(rows, materialize(per.where("comps > 1").drop("comps")), ["bucket"], total))
+
+    part = mixed(placed)
+    held = part.select("node").distinct()
+    alone = sets.join(held, "node", "left_semi").select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node"))
+    own = alone.where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    part = part.select("bucket", "node", "n", "comp", "least").join(own, "node", "left")
+    cap = F.floor((F.col("n") - F.coalesce("own", F.lit(0))) * ((1 + similarity) / similarity) - F.col("n") + 1e-9)
+    part = mixed(part.withColumn("cap", cap).where("cap >= least").select("bucket", "node", "n", "comp", "cap")).drop("times", "least")
+    full = materialize(part.join(sets, "node"))
+    side = lambda c, df: df.select("bucket", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "n", "comp", "cap", "set")], "tile")
+    x = side("x", full.where("comp <> main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    y = side("y", full.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    may = (F.col("x_comp") != F.col("y_comp")) & (F.col("x_n") <= F.col("y_cap")) & (F.col("y_n") <= F.col("x_cap")) & fits(F.col("x_n"), F.col("y_n"), similarity)
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tile") == F.col("y.tile"))
+    found = x.alias("x").join(y.alias("y"), same & may & similar(F.col("x_set"), F.col("y_set"), similarity))
+    return materialize(found.groupBy(F.col("x_node").alias("a"), "y_comp").agg(F.min("y_node").alias("b")).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each component of texts with at least that Jaccard similarity of word shingles, the row
     with the smallest id (null last) stays, with all its columns; where rows share that id, the one with the smallest
-    text hash, once. Texts without a word are copies of each other."""
+    text hash, once. Texts without a word are copies of each other. Repeated rows are copies; other columns are not read.
+    An empty table gives an empty table.
+
+    Links: all pairs of differing texts that share a MinHash band and have the similarity, but for those whose ends are
+    linked already. Each node is held against its buckets' leaders first, which joins a group of copies at a pair a
+    member; what is left between components is compared by cross_links, all of it."""
     keyed = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    rows = materialize(signatures(keyed, shingle))
+    known = materialize(signatures(keyed, shingle))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    nodes = materialize(rows.groupBy("node").agg(F.min(rank).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    at = nodes.select("node", F.col("r.id").alias("own"), F.col("r.th").alias("own_th"))
-    texts = keyed.join(at, F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text").dropDuplicates(["node"])
-    comps = components(links(nodes.drop("r"), texts, shingle, similarity))
-    first = nodes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("r").alias("r"))
-    return matching(docs, first.select("r.id", "r.th"), "left_semi", id_col, text_col).dropDuplicates([id_col, text_col])
+    nodes = materialize(known.groupBy("node").agg(F.min(rank).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = nodes.where("n > 0").select("node", "n", F.explode("keys").alias("bucket"))
+    total = nodes.count() * BANDS
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1"))
+    rows = materialize(skewed_join(rows, shared, ["bucket"], total))
+    first = nodes.select("node", "r")
+    if not rows.isEmpty():
+        at = first.join(rows.select("node").distinct(), "node").select("node", F.col("r.id").alias("own"), F.col("r.th").alias("own_th"))
+        texts = keyed.join(at.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text")
+        sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["node"]))
+        near = leader_links(rows, sets, similarity, total)
+        across = cross_links(rows, sets, components(near).select("node", "component"), similarity, total)
+        first = first.join(components(near.union(across)), "node", "left")
+    else:
+        first = first.withColumn("component", F.lit(None).cast("long"))
+    kept = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("r").alias("r"))
+    return one_each(docs, kept.select("r.id", "r.th"), known.select("id", "th"), id_col, text_col)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import matching, materialize, pieces, text_hash
+from cellspan.llm.common import materialize, one_each, pieces, text_hash
 from cellspan.llm.graph import components
 
 BITS = 64
@@ -113,7 +113,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """docs without near copies: of each component the row with the smallest id (null last) stays, with all its columns;
     where rows share that id, the one with the smallest text hash, once."""
     keyed = docs.select(id_col, text_col, text_hash(F.col(text_col)).alias("th"))
-    near = near_duplicates(keyed, id_col, text_col, distance, shingle, carry=("th",))
+    near = materialize(near_duplicates(keyed, id_col, text_col, distance, shingle, carry=("th",)))
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")
     first = near.groupBy("component").agg(F.min(rank).alias("r")).select("r.id", "r.th")
-    return matching(docs, first, "left_semi", id_col, text_col).dropDuplicates([id_col, text_col])
+    return one_each(docs, first, near.select(F.col(id_col).alias("id"), "th"), id_col, text_col)
