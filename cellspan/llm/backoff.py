@@ -1,10 +1,9 @@
 """Stupid-backoff language-model scores: corpus-wide n-gram counts, joined to the documents' n-grams, summed per document.
 
-Rows hold runs of n-grams rather than one n-gram each. The documents are dealt by hash into blocks of a few megabytes; a
-block's n-grams are counted first, so however often a block says "of the", one entry of it leaves the block. The entries
-go by the hash of the n-gram into buckets (the count tables), are summed there over all blocks, and each block gets back
-the totals of its own entries. Both block and bucket are of bounded size at any corpus size, as their number grows with
-the corpus, and a key however frequent is at most one entry per block."""
+Each document's n-grams of every order are exploded as 64-bit hashes, a row for each distinct one with the times the
+document has it. The rows are counted by hash (the count table, of n-grams that several documents have), joined to that
+table, and their logarithms summed per document. Which order scores a word follows from joins of a document's n-grams with
+its own longer ones, so no position of a text is kept."""
 
 from __future__ import annotations
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import materialize, text_hash
+from cellspan.llm.common import materialize, pieces, text_hash, words
 
 #: An odd base and multipliers with well spread bits.
 BASE, MIX1, MIX2 = 0x5851F42D4C957F2D, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
@@ -63,70 +62,59 @@ def grams(hashes: np.ndarray, of: np.ndarray, order: int) -> list[tuple[np.ndarr
     return out
 
 
-def block_keys(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of all orders of some texts, in order of their hashes, and their counts."""
+def document_grams(texts: list[str | None], order: int) -> list[np.ndarray]:
+    """Columns (text, n, hash, times, prefix, suffix, head) of the distinct n-grams of each text, n = 1 .. order: prefix
+    and suffix are the hashes of its first and last n - 1 words (0 for n = 1); head: whether it begins the text."""
     hashes, of = word_hashes(texts)
-    if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate([h[ok] for h, ok in grams(hashes, of, order)]), return_counts=True)
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, by bytes of equal rank, so that compression finds the many zeros."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def packed_counts(n: np.ndarray) -> bytes:
-    """Counts by bytes of equal rank, as many as the largest count takes."""
-    width = max(1, (int(n.max()).bit_length() + 7) // 8) if len(n) else 1
-    return np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def unpacked_counts(data: bytes, length: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, length) if length else np.zeros((1, 0), np.uint8)
-    wide = np.zeros((length, 8), np.uint8)
-    wide[:, : len(planes)] = planes.T
-    return wide.view("<u8").ravel().astype(np.int64)
-
-
-def score_texts(texts: list[str | None], totals: np.ndarray, order: int, alpha: float) -> tuple[np.ndarray, ...]:
-    """For each text: words; sum of log scores, but for the corpus size of those scored as single words; how many these
-    are; words scored by the longest n-gram they end; backed-off words; unseen words. totals: counts over the corpus of
-    block_keys(texts). A text's own n-grams are taken off, else every n-gram had been seen and nothing would back off."""
-    hashes, of = word_hashes(texts)
-    rows = len(texts)
-    by = lambda x: np.bincount(of, x, rows)
-    levels = grams(hashes, of, order)
-    keys = np.unique(np.concatenate([h[ok] for h, ok in levels]))
-    left, reach = [], np.zeros(len(hashes), np.int64)
-    for n, (h, ok) in enumerate(levels, 1):
-        at = np.searchsorted(keys, h[ok])
-        _, back, own = np.unique(of[ok] * (len(keys) + 1) + at, return_inverse=True, return_counts=True)
-        others = np.zeros(len(h), np.int64)
-        others[ok] = totals[at] - own[back]
-        left.append(others)
-        reach[ok] = n  # the longest n-gram that ends here within the text
-    log, used = np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
-    for n in range(order, 0, -1):
-        hit = (used == 0) & levels[n - 1][1] & (left[n - 1] > 0)
-        before = np.concatenate([[1], left[n - 2][:-1]])[hit] if n > 1 else 1  # of its first n - 1 words, at least as many
-        log[hit] = np.log(left[n - 1][hit] / before) + np.log(alpha) * (reach[hit] - n)
-        used[hit] = n
-    unseen = used == 0
-    log[unseen] = np.log(0.5) + np.log(alpha) * (reach[unseen] - 1)
-    counts = (by(np.ones(len(of))), by((used < 2).astype(float)), by((used == reach).astype(float)), by(((used > 0) & (used < reach)).astype(float)), by(unseen.astype(float)))
-    words, single, full, backed, new = (x.astype(np.int64) for x in counts)
-    return words, by(log), single, full, backed, new
-
-
-def stupid_backoff(
-    docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8_000_000, bucket_keys: int = 4_000_000
-) -> DataFrame:
+    first = np.searchsorted(of, np.arange(len(texts)))
+    out, before = [], None
+    for n, (h, ok) in enumerate(grams(hashes, of, order), 1):
+        at = np.flatnonzero(ok)
+        at = at[np.lexsort((at, h[at], of[at]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at[1:]] != h[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
+        start = np.flatnonzero(new)
+        one, times = at[start], np.diff(np.append(start, len(at)))
+        prefix, suffix = (before[one - 1], before[one]) if before is not None else (np.zeros(len(one), np.uint64),) * 2
+        out.append([of[one], np.full(len(one), n), h[one], times, prefix, suffix, one == first[of[one]] + n - 1])
+        before = h
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def exploded(texts: DataFrame, order: int) -> DataFrame:
+    """(doc, m, n, h, own, pre, suf, head) of texts(doc, m, text): the columns of document_grams, doc and m carried along."""
+    schema = T.StructType([
+        texts.schema["doc"], texts.schema["m"], T.StructField("n", T.ByteType()), T.StructField("h", T.LongType()), T.StructField("own", T.IntegerType()),
+        T.StructField("pre", T.LongType()), T.StructField("suf", T.LongType()), T.StructField("head", T.BooleanType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, size=1_000_000):
+            of, n, h, times, pre, suf, head = document_grams(b.column(2).to_pylist(), order)
+            take, signed = pa.array(of.astype(np.int64)), lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+            arrays = [b.column(0).take(take), b.column(1).take(take), pa.array(n.astype(np.int8)), signed(h), pa.array(times.astype(np.int32)), signed(pre), signed(suf), pa.array(head)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return texts.select("doc", "m", "text").mapInArrow(run, schema)
+
+
+def seen_elsewhere(rows: DataFrame, heavy: int = 4096) -> DataFrame:
+    """Those of the exploded rows whose n-gram other documents have, with others, the times they have it.
+
+    The count table has the n-grams of at least two documents. An n-gram of a heavy-th of the rows or more goes to
+    several parts of the join, by document; at most `heavy` n-grams are so frequent, so telling them apart takes a
+    broadcast of bounded size."""
+    counts = rows.groupBy("h").agg(F.sum(F.col("own").cast("long") * F.col("m")).alias("total"), F.sum("m").alias("docs"), F.count("*").alias("times"))
+    counts = materialize(counts.where("docs > 1").drop("docs"))
+    every = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    often = counts.where(F.col("times") * heavy >= max(every, 1)).select("h", F.ceil(F.col("times") * heavy / max(every, 1)).cast("int").alias("parts"))
+    table = counts.drop("times").join(F.broadcast(often), "h", "left")
+    table = table.select("h", "total", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = rows.join(F.broadcast(often), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    return dealt.join(table, ["h", "part"]).withColumn("others", F.col("total") - F.col("own")).drop("part", "total", "m")
+
+
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: id_col, th (the text's hash), n_words, log_score (sum over its words), mean_log_score (null
     without words), n_full (words scored by the longest n-gram they end), n_backed_off, n_unseen.
 
@@ -135,47 +123,45 @@ def stupid_backoff(
     word that no other document has counts as half an occurrence. Words are runs without white space, A-Z as a-z. Null,
     empty and blank texts have no words and score 0. Repeated rows are documents of their own (they see each other). An
     empty table gives an empty table; other columns are not read. N-grams are told apart by 64-bit hashes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    n_buckets = max(1, -(-size * order // (6 * bucket_keys)))
     th = text_hash(F.col(text_col))
-    block = F.pmod(F.xxhash64(F.col(id_col), th), F.lit(n_blocks)).cast("int")
-    dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), th.alias("th"), F.col(text_col).alias("text"))
-
-    def keys_of(table: pa.Table) -> pa.Table:
-        keys, n = block_keys(table["text"].to_pylist(), order)
-        bucket = (keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)  # ranges of hashes, so buckets are in order
-        cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        full = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
-        return pa.table({
-            "block": pa.array([table["block"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()),
-            "n": pa.array([int(cut[b + 1] - cut[b]) for b in full], pa.int32()),
-            "keys": pa.array([packed(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
-            "counts": pa.array([packed_counts(n[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
-        })
-
-    def totals_of(table: pa.Table) -> pa.Table:
-        keys = [unpacked(x.as_py()) for x in table["keys"]]
-        every, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([unpacked_counts(c.as_py(), len(k)) for c, k in zip(table["counts"], keys, strict=True)])
-        total = np.bincount(back, n, len(every)).astype(np.int64)  # exact below 2 ** 53
-        cut = np.cumsum([0, *map(len, keys)])
-        totals = [packed_counts(total[back[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "n": table["n"], "totals": pa.array(totals, pa.binary())})
-
-    def scores_of(table: pa.Table, reply: pa.Table) -> pa.Table:
-        reply = reply.sort_by("bucket")
-        totals = [unpacked_counts(t.as_py(), n.as_py()) for t, n in zip(reply["totals"], reply["n"], strict=True)]
-        parts = score_texts(table["text"].to_pylist(), np.concatenate(totals or [np.zeros(0, np.int64)]), order, alpha)
-        return pa.table([table["id"], table["th"], *map(pa.array, parts)], names=out.names)
-
-    runs = dealt.groupBy("block").applyInArrow(keys_of, "block int, bucket int, n int, keys binary, counts binary")
-    totals = runs.groupBy("bucket").applyInArrow(totals_of, "block int, bucket int, n int, totals binary")
-    names = ("n_words", "log", "single", "n_full", "n_backed_off", "n_unseen")
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("th", T.LongType()), *(T.StructField(c, T.DoubleType() if c == "log" else T.LongType()) for c in names)])
-    scored = materialize(dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores_of, out))
-    n_words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    log = F.col("log") - F.col("single") * F.log(F.greatest(F.lit(n_words) - F.col("n_words"), F.lit(1)).cast("double"))
-    mean = F.when(F.col("n_words") > 0, log / F.col("n_words"))
-    return scored.select(id_col, "th", "n_words", log.alias("log_score"), mean.alias("mean_log_score"), "n_full", "n_backed_off", "n_unseen")
+    base = materialize(docs.select(F.col(id_col).alias("id"), th.alias("th"), F.size(words(F.col(text_col))).cast("long").alias("n_words")))
+    n_words = base.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    if base.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        base = base.withColumn("doc", F.col("id"))
+        texts = docs.select(F.col(id_col).alias("doc"), F.lit(1).alias("m"), F.col(text_col).alias("text"))
+    else:  # rows alike in id and text are one document that counts m times
+        base = base.withColumn("doc", F.struct("id", "th"))
+        texts = docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("doc"), F.col(text_col).alias("text"))
+        texts = texts.dropDuplicates(["doc"]).join(base.groupBy("doc").agg(F.count("*").cast("int").alias("m")), "doc")
+    seen = materialize(seen_elsewhere(exploded(texts, order)))
+    # used: how often the document's words are scored by this n-gram; longer: how often by one that it ends or begins
+    sums, longer = [], None
+    for n in range(order, 0, -1):
+        rows, log = seen.where(F.col("n") == n), F.log(F.col("others").cast("double"))
+        if longer is None:
+            rows = rows.withColumns({"used": F.col("own").cast("long"), "begins": F.lit(0).cast("long")})
+        else:
+            rows = rows.join(longer, ["doc", "h"], "left").withColumns({"used": F.col("own") - F.coalesce("ends", F.lit(0)), "begins": F.coalesce("begins", F.lit(0))})
+        whole = F.col("used") if n == order else F.col("head").cast("long")
+        sums.append(rows.select("doc", (F.col("used") * log - F.col("begins") * log).alias("log"), "used", (n * F.col("used")).alias("orders"), whole.alias("full"), F.lit(n).alias("n")))
+        if n > 1:
+            ends = rows.select("doc", F.col("suf").alias("h"), F.col("own").cast("long").alias("ends"), F.lit(0).cast("long").alias("begins"))
+            begins = rows.select("doc", F.col("pre").alias("h"), F.lit(0).cast("long").alias("ends"), F.col("used").alias("begins"))
+            longer = ends.union(begins).groupBy("doc", "h").agg(F.sum("ends").alias("ends"), F.sum("begins").alias("begins"))
+    every = sums[0]
+    for x in sums[1:]:
+        every = every.union(x)
+    scored = every.groupBy("doc").agg(
+        F.sum("log").alias("log"), F.sum("used").alias("used"), F.sum("orders").alias("orders"), F.sum("full").alias("full"),
+        F.sum(F.when(F.col("n") == 1, F.col("used"))).alias("single"),
+    )
+    out = base.join(scored, "doc", "left").na.fill(0, ["used", "orders", "full", "single"]).na.fill(0.0, ["log"])
+    unseen, size = F.col("n_words") - F.col("used"), F.col("n_words")
+    # a text's n-th word ends n-grams of up to n words
+    reach = sum((F.greatest(size - k, F.lit(0)) for k in range(order)), F.lit(0))
+    divisor = F.log(F.greatest(F.lit(n_words) - size, F.lit(1)).cast("double"))
+    score = F.col("log") - (F.col("single") + unseen) * divisor + unseen * float(np.log(0.5)) + (reach - F.col("orders") - unseen) * float(np.log(alpha))
+    return out.select(
+        F.col("id").alias(id_col), "th", "n_words", score.alias("log_score"), F.when(size > 0, score / size).alias("mean_log_score"),
+        F.col("full").alias("n_full"), (size - F.col("full") - unseen).alias("n_backed_off"), unseen.alias("n_unseen"),
+    )

@@ -16,7 +16,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = backoff.stupid_backoff(table(spark, sf_dir, "documents"))
-    return scores.select("doc_id", "n_words", "log_score", "mean_log_score", "n_full", "n_backed_off", "n_unseen")
+    # sums of logarithms to four places, so that sums in another order compare equal
+    return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")], "n_full", "n_backed_off", "n_unseen")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,26 @@ k AS (SELECT doc_id, count(*) AS copies FROM g WHERE upto <= (SELECT sum(size) F
 SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(k.copies, 0))::BIGINT AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id
 """
 
-SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL}
+BACKOFF_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1:i] END AS g2, CASE WHEN i > 2 THEN w[i - 2:i] END AS g3,
+        lag(w[i]) OVER o AS p1, CASE WHEN i > 2 THEN w[i - 2:i - 1] END AS p2
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+o1 AS (SELECT doc_id, g1 AS g, count(*) AS own FROM p GROUP BY ALL), c1 AS (SELECT doc_id, g, sum(own) OVER (PARTITION BY g) - own AS c FROM o1),
+o2 AS (SELECT doc_id, g2 AS g, count(*) AS own FROM p WHERE i > 1 GROUP BY ALL), c2 AS (SELECT doc_id, g, sum(own) OVER (PARTITION BY g) - own AS c FROM o2),
+o3 AS (SELECT doc_id, g3 AS g, count(*) AS own FROM p WHERE i > 2 GROUP BY ALL), c3 AS (SELECT doc_id, g, sum(own) OVER (PARTITION BY g) - own AS c FROM o3),
+j AS (SELECT p.doc_id, p.i, c1.c AS n1, c2.c AS n2, c3.c AS n3, b1.c AS d1, b2.c AS d2 FROM p
+        JOIN c1 ON c1.doc_id = p.doc_id AND c1.g = p.g1 LEFT JOIN c2 ON c2.doc_id = p.doc_id AND c2.g = p.g2 LEFT JOIN c3 ON c3.doc_id = p.doc_id AND c3.g = p.g3
+        LEFT JOIN c1 b1 ON b1.doc_id = p.doc_id AND b1.g = p.p1 LEFT JOIN c2 b2 ON b2.doc_id = p.doc_id AND b2.g = p.p2),
+n AS (SELECT doc_id, len(w) AS n_words, greatest(sum(len(w)) OVER () - len(w), 1)::DOUBLE AS size FROM d),
+s AS (SELECT j.doc_id, CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 WHEN n1 > 0 THEN 1 ELSE 0 END AS used, least(i, 3) AS reach,
+        ln(CASE WHEN n3 > 0 THEN n3::DOUBLE / d2 WHEN n2 > 0 THEN n2::DOUBLE / d1 WHEN n1 > 0 THEN n1 / size ELSE 0.5 / size END)
+          + ln(0.4::DOUBLE) * (least(i, 3) - CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END) AS log
+      FROM j JOIN n ON n.doc_id = j.doc_id),
+t AS (SELECT doc_id, sum(log) AS log, count(*) FILTER (used = reach) AS full, count(*) FILTER (used > 0 AND used < reach) AS backed, count(*) FILTER (used = 0) AS new FROM s GROUP BY doc_id)
+SELECT n.doc_id, n.n_words::BIGINT AS n_words, round(coalesce(log, 0.0), 4) + 0.0 AS log_score, round(CASE WHEN n_words > 0 THEN log / n_words END, 4) + 0.0 AS mean_log_score,
+       coalesce("full", 0)::BIGINT AS n_full, coalesce(backed, 0)::BIGINT AS n_backed_off, coalesce("new", 0)::BIGINT AS n_unseen
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id
+"""
+
+SQL = {"op2_backoff": BACKOFF_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL}
