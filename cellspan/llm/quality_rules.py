@@ -28,25 +28,32 @@ ODD = r"[^\p{L}\s\p{P}]+|\p{P}{2,}"
 SHOUTED = r"\p{Lu}{2,}"
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_hash: str = "xxhash64(w[i], w[i + 1], w[i + 2])") -> DataFrame:
     """(id, th, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_word_lines, n_odd, n_shouted, n_exclaim),
     th the text's hash, the rest longs, for every row of docs. A null text has none of anything.
 
     Repeated three-word windows are found inside the row: the windows' hashes, with the position in their low bits, are
-    sorted as plain longs; neighbours with equal upper bits are repeats. 64 bits less those for the position stay for
-    the hash, so a chance collision in a text of n words has odds of about n ** 3 / 2 ** 64."""
+    sorted as plain longs; neighbours with equal upper bits are repeats if their words are equal. Where some are not, so
+    that two windows share a hash by chance, the row's windows are sorted by their words instead."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), text.alias("t"), words(F.col(text_col)).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     rows = rows.withColumns({"lines": lines, "k": F.length(F.bin(F.size("w")))})
-    hashes = "transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), k) | cast(i as bigint))"
+    hashes = f"transform(sequence(0, size(w) - 3), i -> shiftleft({window_hash}, k) | cast(i as bigint))"
     rows = rows.withColumn("h", F.expr(f"case when size(w) >= 3 then sort_array({hashes}) else cast(array() as array<bigint>) end"))
     # where a window's hash equals the one before it
     twins = "filter(sequence(1, size(h) - 1), j -> shiftright(h[j - 1] ^ h[j], k) = 0)"
     rows = rows.withColumn("j", F.expr(f"case when size(h) >= 2 then {twins} else cast(array() as array<int>) end"))
-    at = "transform(j, x -> h[x - {}] & (shiftleft(1L, k) - 1))"
-    rows = rows.withColumn("p", F.expr(f"sort_array(array_union({at.format(0)}, {at.format(1)}))"))
-    covered = "aggregate(transform(p, (x, i) -> case when i < size(p) - 1 then least(3L, p[i + 1] - x) else 3L end), 0L, (a, x) -> a + x)"
+    at = "transform(j, x -> cast(h[x - {}] & (shiftleft(1L, k) - 1) as int))"
+    rows = rows.withColumns({"a": F.expr(at.format(1)), "b": F.expr(at.format(0))})
+    by_hash = "sort_array(array_union(a, b))"
+    apart = "exists(zip_with(a, b, (x, y) -> w[x] != w[y] or w[x + 1] != w[y + 1] or w[x + 2] != w[y + 2]), z -> z)"
+    # no word holds a space, so joined windows are equal only if their words are
+    windows = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('s', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)))"
+    same = "filter(sequence(1, size(s) - 1), j -> s[j - 1].s = s[j].s)"
+    by_words = f"transform(array({windows}), s -> transform(array({same}), j -> sort_array(array_union(transform(j, x -> s[x - 1].i), transform(j, x -> s[x].i))))[0])[0]"
+    rows = rows.withColumn("p", F.expr(f"case when {apart} then {by_words} else {by_hash} end"))
+    covered = "aggregate(transform(p, (x, i) -> case when i < size(p) - 1 then least(3, p[i + 1] - x) else 3 end), 0L, (acc, x) -> acc + x)"
     return rows.select(
         "id",
         "th",

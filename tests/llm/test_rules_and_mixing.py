@@ -36,6 +36,15 @@ def test_features_match_brute_force(spark):
     assert sorted(((r["id"], *(r[c] for c in names)) for r in got), key=str) == sorted(((i, *brute_features(t)) for i, t in rows), key=str)
 
 
+def test_windows_that_share_a_hash_are_told_apart_by_their_words(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 2, 3, 7, 30, 200)] + ["a b c d e f g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for window_hash in ("xxhash64(w[i], w[i + 1], w[i + 2])", "0L", "cast(w[i] = 'a' as bigint)"):
+        got = quality_rules.features(df, window_hash=window_hash).collect()
+        assert {r["id"]: r["n_repeat_words"] for r in got} == {i: brute_features(t)[4] for i, t in enumerate(texts)}
+
+
 def good(i):
     rng = random.Random(i)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(90)]
