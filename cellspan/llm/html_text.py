@@ -23,128 +23,170 @@ BLOCK = frozenset(
 )
 #: Fixed values of HTML: what an opening tag closes, and what stops the search for it.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
-#: Elements that are never part of an article, and words in class, id or role that mark such parts.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+#: Elements that are never part of an article; words in class, id or role that mark such parts; words that
+#: turn such a word round.
 ASIDE_TAGS = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input dialog head title menu".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|comment-?list|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr"
-    r"|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search"
-    r"|share|sharing|sidebar|site-?header|page-?header|skip|social|sponsor\w*|subscribe|taboola|toolbar|topbar|widget|contentinfo|complementary|alert)(?:$|[\s_-])",
-    re.I,
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
+    " footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain pagination pager popup promo promoted related"
+    " replies reply respond share sharing sidebar social sponsor sponsored subscribe taboola toolbar topbar widget widgets contentinfo"
+    " complementary alert alertdialog".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PLAIN_WORDS = frozenset("area bar block body box button buttons container content inner item items link links list panel post posts section site page top wrap wrapper".split())
+TURNS = frozenset("no not non without has with".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)?))?)")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    """kids holds texts (str) and Nodes in page order."""
+    """kids holds texts (str) and Nodes in page order; mark is 2 where the element says that it is no part of an article,
+    1 where one of its names has a part that says so."""
 
-    __slots__ = ("tag", "attrs", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "mark", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "marked", "density", "total")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, mark: int = 0, parent: Node | None = None):
+        self.tag, self.mark, self.parent, self.kids = tag, mark, parent, []
+        self.chars = self.tags = self.link_chars = self.link_tags = self.marked = 0
         self.density = self.total = 0.0
 
+    def nodes(self) -> list[Node]:
+        """This and all nodes below, parents before their children, in page order."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append(node)
+            todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+        return out
 
-def parse(page: str) -> Node:
-    """The page's tree, with the end tags that HTML lets out put in. Broken markup never fails: stray end tags are left
-    out, what is open at the end is closed, a lone < is text."""
-    root = node = Node("html", "", None)
-    at = 0
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """An opening tag's attributes by HTML's rules (the first of a name counts), and where the tag ends: -1 if the page
+    ends before, and so the tag counts for nothing."""
+    out: dict[str, str] = {}
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            node.kids.append(html.unescape(text) if "&" in text else text)
+        m = ATTRIBUTE.match(page, at)
         if not m:
-            return root
+            return out, -1
+        if m[1]:
+            return out, m.end()
         at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                node.kids.append(m[0][9:].removesuffix("]]>"))
+        out.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
+
+
+def marks(attrs: dict[str, str]) -> int:
+    """3 for a hidden element, 2 for one of whose names all words that say something mark an aside, 1 for one that has
+    such a word among others, 0 else."""
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+        return 3
+    most = 0
+    for name in " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs).split():
+        parts = [w.lower() for w in WORDS.findall(name)]
+        if parts and not TURNS.intersection(parts) and ASIDE_WORDS.intersection(parts):
+            most = max(most, 2 if all(w in ASIDE_WORDS or w in PLAIN_WORDS for w in parts) else 1)
+    return most
+
+
+def parse(page: str) -> Node:
+    """The page's tree without the elements that are never part of an article, with the end tags that HTML lets out put in.
+
+    Broken markup never fails, and time is linear in the page: stray end tags are left out, what is open at the end is
+    closed, a < without any > after it is text, a tag whose quotes never end swallows the rest. The open elements' places are kept by tag, so no
+    search climbs the tree."""
+    root = Node("html")
+    stack, at_tag, at_block = [root], {"html": [0]}, [0]
+    gone = 0  # how many of the open elements are left out
+    at, n = 0, len(page)
+
+    def close(to: int) -> None:
+        nonlocal gone
+        while len(stack) > to:
+            node = stack.pop()
+            at_tag[node.tag].pop()
+            if node.tag in BLOCK:
+                at_block.pop()
+            gone -= node.mark == 3
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((at_tag[t][-1] for t in tags if at_tag.get(t)), default=-1)
+
+    def add(text: str, raw: bool = False) -> None:
+        if text and not gone:
+            stack[-1].kids.append(html.unescape(text) if "&" in text and not raw else text)
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        m = TAG.match(page, start)
+        if not m:
+            add(page[at:start])
+            if start >= n:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                add(page[start + 9 : end if end >= 0 else n], raw=True)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith(("<!", "<?"), start) or page.startswith("</", start) and start + 2 < n:
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else n
+            else:
+                add("<")
+                at = start + 1
             continue
+        add(page[at:start])
         tag = m[2].lower()
-        if tag in ("html", "body") and not m[1] and (tag == "html" or _above(node, {"body"}, set())):
-            continue
+        attrs, at = attributes(page, m.end())
+        if at < 0:
+            if page.find(">", start) < 0:
+                add(page[start:])
+            break
         if m[1]:
-            up = node
-            # an end tag of an inline element does not reach over an open block
-            while up is not root and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                node = up.parent
+            own = at_tag.get(tag)
+            # an end tag of an inline element does not reach over an open block; the root stays
+            if own and own[-1] > 0 and (tag in BLOCK or at_block[-1] < own[-1]):
+                close(own[-1])
+            continue
+        if tag == "html" or tag == "body" and at_tag.get("body"):
             continue
-        if tag in ENDS_P:
-            node = _close(node, {"p"}, BLOCK - {"p"})
+        if tag in ENDS_P and stack[at_block[-1]].tag == "p":
+            close(at_block[-1])
         if tag in CLOSES:
-            node = _close(node, *CLOSES[tag])
-        child = Node(tag, m[3], node)
-        node.kids.append(child)
+            tags, stops = CLOSES[tag]
+            stop = last(stops)
+            to = min((at_tag[t][-1] for t in tags if at_tag.get(t) and at_tag[t][-1] > stop), default=-1)
+            if to > 0:
+                close(to)
+        mark = 3 if tag in ASIDE_TAGS else marks(attrs) if attrs and tag not in ("body", "article", "main") else 0
+        node = Node(tag, mark, stack[-1])
+        if mark < 3 and not gone:
+            stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[4] and tag not in BLOCK):
-            node = child
-
-
-def _above(node: Node | None, tags: set, stop: set) -> Node | None:
-    while node and node.tag not in stop:
-        if node.tag in tags:
-            return node
-        node = node.parent
-    return None
-
-
-def _close(node: Node, tags: set, stop: set | frozenset) -> Node:
-    """Leaves the outermost open element of tags this side of any of stop."""
-    out = None
-    up: Node | None = node
-    while up and up.parent and up.tag not in stop:
-        if up.tag in tags:
-            out = up
-        up = up.parent
-    return out.parent if out else node
-
-
-def aside(node: Node) -> bool:
-    """Whether an element is by its tag, class, id or role no part of an article."""
-    if node.tag in ASIDE_TAGS:
-        return True
-    if node.tag == "header":
-        return _above(node.parent, {"article", "main"}, set()) is None
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
-        return False
-    for name, *value in MARKS.findall(node.attrs):
-        name, value = name.lower(), "".join(value)
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and ASIDE_WORDS.search(CAMEL.sub("-", value)):
-            return True
-    return False
-
-
-def prune(root: Node) -> None:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not aside(k)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+            at = end.end() if end else n
+        elif tag not in VOID and not (page[at - 2] == "/" and tag not in BLOCK):
+            at_tag.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                at_block.append(len(stack))
+            stack.append(node)
+            gone += mark == 3
+    return root
 
 
 def measure(root: Node) -> Node:
     """Fills in each node's density (characters per tag, less where links prevail) and total, the sum of its children's
-    densities. Returns the body."""
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [k for k in node.kids if not isinstance(k, str)]
+    densities. Returns the body. Text of marked elements weighs as link text does, unless they hold most of the page's
+    text; `marked` is how much of a node's text that is."""
+    order = root.nodes()
     for node in reversed(order):
         for k in node.kids:
             if isinstance(k, str):
@@ -152,9 +194,17 @@ def measure(root: Node) -> Node:
             else:
                 node.chars += k.chars
                 node.tags += k.tags + 1
-                node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
-        if node.tag in ("a", "button"):
+    for node in reversed(order):
+        if node.mark and node.chars > (0.5 if node.mark == 1 else 0.9) * root.chars:
+            node.mark = 0
+        for k in node.kids:
+            if not isinstance(k, str):
+                node.link_chars += k.link_chars
+                node.marked += k.marked
+        if node.mark or node.tag == "header":
+            node.marked = node.chars
+        if node.tag == "a" or node.marked == node.chars:
             node.link_chars = node.chars
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
@@ -169,15 +219,10 @@ def measure(root: Node) -> Node:
     return body
 
 
-def main_node(body: Node) -> Node | None:
+def densest(body: Node) -> Node | None:
     """The subtree with the largest sum of densities. The threshold is the least density on the path from the body to the
-    node with the largest sum: a subtree below it is no candidate; neither is the body's part beside it. Where one holder
-    (main, or the only article) wraps that subtree, the holder is taken: the subtree is a part of its text."""
-    nodes, todo = [], [body]
-    while todo:
-        node = todo.pop()
-        nodes.append(node)
-        todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    node with the largest sum: a subtree below it is no candidate."""
+    nodes = body.nodes()
     if not body.chars:
         return None
     best = max(nodes, key=lambda n: n.total)
@@ -189,22 +234,55 @@ def main_node(body: Node) -> Node | None:
         up = up.parent
     threshold = min([*path, body.density])
     best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.total, default=best)
-    holders = [n for n in nodes if n.tag == "article"]
-    holder = _above(best, {"article"}, set())
-    if holder is None and len(holders) == 1 and holders[0].chars * 2 >= body.chars:
-        holder = holders[0]
-    if holder is None:
-        holder = _above(best, {"main"}, set())
     while best.tag not in BLOCK and best.parent:
         best = best.parent
-    if holder is None and best.tag == "p" or best.tag in ("li", "td", "h1", "h2", "h3", "blockquote", "tr"):
-        # one paragraph is never the article of a page whose other paragraphs are its siblings
-        best = best.parent or best
-    return holder or best
+    # one paragraph, item or cell is never the article of a page whose other paragraphs are its siblings
+    while best is not body and best.tag in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "tr", "tbody", "dd", "dt") and best.parent:
+        best = best.parent
+    return best
+
+
+def main_nodes(body: Node) -> list[Node]:
+    """The densest subtree and, where that leaves out a part, what belongs with it: the article (else main) element around
+    it if the subtree has half of that element's unmarked text at least, or the only article within if that has half of
+    the subtree's; else its headings, as long as nothing but headings and marked parts lie beside it."""
+    best = densest(body)
+    if best is None:
+        return []
+    own = lambda n: n.chars - n.marked
+    for tag in ("article", "main"):
+        up = best
+        while up and up.tag != tag:
+            up = up.parent
+        if up and 2 * own(best) >= own(up):
+            return [up]
+        inside = [n for n in best.nodes() if n.tag == tag]
+        if len(inside) == 1 and 2 * own(inside[0]) >= own(best):
+            return inside
+    beside = lambda n, k: k is not n and (k.strip() if isinstance(k, str) else own(k) and k.tag not in HEADINGS)
+    while best is not body and best.parent and best.parent is not body and not any(beside(best, k) for k in best.parent.kids):
+        best = best.parent
+    if best is not body and best.parent:
+        before = best.parent.kids[: best.parent.kids.index(best)]
+        return [*(k for k in before if not isinstance(k, str) and k.tag == "h1"), best]
+    return [best]
+
+
+def is_part(node: Node, kept: Node) -> bool:
+    """Whether a node below the kept one belongs to the article: all but headers of the page and marked ones for which
+    density agrees. Where a name says nothing else, it is believed if anything else is there; otherwise the node has to
+    be a small part of the unmarked text or mostly links."""
+    own = kept.chars - kept.marked
+    if node.tag == "header" and kept.tag in ("body", "html"):
+        return node.parent is not None and node.parent is not kept
+    if node.mark == 2:
+        return own < 1
+    return not (node.mark == 1 and (3 * node.chars <= own or 2 * sum(n.chars for n in node.nodes() if n.tag == "a") > node.chars))
 
 
 def blocks(node: Node) -> list[str]:
-    """The node's text by blocks in page order, white space within each made one space."""
+    """The node's text by blocks in page order, without what is no part of the article, white space within each made one
+    space."""
     out, now = [], []
 
     def end() -> None:
@@ -222,6 +300,9 @@ def blocks(node: Node) -> list[str]:
             now.append(k)
         elif k.tag == "br":
             now.append(" ")
+        elif k is not node and (k.mark or k.tag == "header") and not is_part(k, node):
+            if k.tag in BLOCK:
+                end()
         elif k.tag in BLOCK:
             end()
             todo += [None, *reversed(k.kids)]
@@ -233,12 +314,7 @@ def blocks(node: Node) -> list[str]:
 
 def main_text(page: str | None) -> str:
     """The article of a page; empty for a null or empty page, or one without text outside of menus and the like."""
-    if not page:
-        return ""
-    root = parse(page)
-    prune(root)
-    node = main_node(measure(root))
-    return "\n".join(blocks(node)) if node else ""
+    return "\n".join(b for node in main_nodes(measure(parse(page or ""))) for b in blocks(node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
