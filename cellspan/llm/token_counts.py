@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cellspan.llm.common import pieces
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary lies, unless the setting or a parameter names another; the driver sends the file to the executors.
+VOCABULARY, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.cellspan.vocabulary"
 #: Fixed value: how byte-level BPE cuts text before it merges bytes.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The tokenizer's stack does not hold longer runs of white space: the text is cut after so many of them.
+RUN = 1 << 15
+LONG_RUN = re.compile(rf"\s{{{RUN}}}")
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
@@ -34,7 +41,8 @@ def token_spans(text: str, path: str = VOCABULARY) -> np.ndarray:
     """The byte at which each token of the UTF-8 text begins, and the end. Tokens are strings of bytes, so their lengths
     add up to the text's."""
     enc, lengths = _encoder(path)
-    ids = np.asarray(enc.encode_ordinary(text), np.int64)
+    cuts = [0, *(m.end() for m in LONG_RUN.finditer(text)), len(text)]
+    ids = np.concatenate([np.asarray(enc.encode_ordinary(text[a:b]), np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     return np.concatenate([[0], np.cumsum(lengths[ids])])
 
 
@@ -50,14 +58,18 @@ def attribute(starts: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.nda
     return n, np.bincount(last[last > owner], minlength=len(starts))
 
 
-def section_tokens(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("text",), vocabulary: str = VOCABULARY) -> DataFrame:
+def section_tokens(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("text",), vocabulary: str | None = None) -> DataFrame:
     """For every row of docs a row for each section: id_col, field, section (from 0), start and end (characters in the
     field, the line's \\n included), n_tokens, n_entering (tokens begun before it), doc_tokens (of all fields together).
 
     The fields of a row, joined by \\n, are encoded as one text, so a token may cross from line to line or field to field;
     it belongs to the section of its first byte. Sections are the fields' lines, each with the \\n that ends it. A null or
-    empty field is one empty section. Repeated rows give repeated results; other columns are not read."""
+    empty field is one empty section. Repeated rows give repeated results; other columns are not read; an empty table gives
+    an empty table. A run of more than 32,768 white-space characters is cut after each 32,768: no token crosses the cuts."""
     spark = docs.sparkSession
+    path = vocabulary or spark.conf.get(SETTING, VOCABULARY)
+    spark.sparkContext.addFile(path)
+    file = path.rsplit("/", 1)[-1]
     long = [T.StructField(c, T.LongType()) for c in ("start", "end", "n_tokens", "n_entering", "doc_tokens")]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("field", T.StringType()), T.StructField("section", T.IntegerType()), *long])
 
@@ -72,7 +84,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, .
                 raw = np.frombuffer(whole, np.uint8)
                 starts = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
                 field = np.repeat(np.arange(len(parts)), [p.count("\n") + 1 for p in parts])
-                spans = token_spans(whole.decode(), vocabulary)
+                spans = token_spans(whole.decode(), SparkFiles.get(file))
                 n, entering = attribute(starts, spans)
                 char = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 begin, end = char[starts], np.concatenate([char[starts[1:]], [char[-1]]])
