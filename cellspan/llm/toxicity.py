@@ -26,8 +26,10 @@ SECOND = frozenset(
 )
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters with a stand-in, a star or a digit among them; single letters parted by marks or spaces.
-MASKED = re.compile(r"(?<![^\s.,;:!?\"'()])(?=[^\s]{0,40}[^\W\d_])[^\W\d_]*(?:[0134578@$!|€*]+[^\W\d_]+)+", re.I)
+#: Runs of letters and of what stands in for them; what may go before such a word; single letters parted by marks or spaces.
+STANDS_IN = "0134578@$!|€*"
+RUN = re.compile(rf"(?:[^\W\d_]|[{re.escape(STANDS_IN)}])+")
+BEFORE = frozenset(" \t\n\r\x0b\x0c.,;:!?\"'()")
 PARTED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 STEMS = (4, 5, 6, 7, 8)
 NAMES = ("hit_share", "hits", "kinds", "most_of_one", "weight_share", "near_you", "you_share", "capitals", "exclaims", "questions", "marks", "masked_hits", "masked_share", "log_words")
@@ -53,6 +55,19 @@ def learn_lexicon(rows: DataFrame, size: int = 1000, least: int = 5, odds: float
     return {r["form"]: float(np.log(r["ratio"])) for r in top.collect()}
 
 
+def masked_words(low: str) -> list[str]:
+    """Words with a stand-in, a star or a digit before one of their letters; time is linear in the text."""
+    out = []
+    for m in RUN.finditer(low):
+        x, before = m[0], low[m.start() - 1] if m.start() else " "
+        if before not in BEFORE and not before.isspace():
+            x = x.partition("!")[2]  # the word may begin after such a mark only
+        x = x.rstrip(STANDS_IN)
+        if not x.isalpha() and x:
+            out.append(x)
+    return out
+
+
 @dataclass
 class Featurizer:
     lexicon: dict[str, float]
@@ -98,7 +113,7 @@ class Featurizer:
             after = np.abs(you[np.minimum(at, len(you) - 1)] - hits)
             before = np.abs(you[np.maximum(at - 1, 0)] - hits)
             near = int((np.minimum(after, before) <= 5).sum())
-        masked = MASKED.findall(low) if any(c in low for c in "0134578@$!|€*") else []
+        masked = masked_words(low) if any(c in low for c in STANDS_IN) else []
         parted = [re.sub(r"[ .\-_*]", "", x) for x in PARTED.findall(low)]
         masked_hits = sum(self.unmasked(x) > 0 for x in masked) + sum(self.weight(x) > 0 for x in parted)
         chars = max(1, len(text))
