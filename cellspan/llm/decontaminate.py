@@ -96,10 +96,15 @@ class GramIndex:
 
     def __post_init__(self) -> None:
         self.texts = [x.tobytes().decode("utf-32-le", "surrogatepass") for x in self.items]
+        self.brief: dict[int, dict[tuple, list[int]]] = {}
+        for i, t in enumerate(self.texts):
+            if len(t) < self.q:
+                w = tuple(t.split(" "))
+                self.brief.setdefault(len(w), {}).setdefault(w, []).append(i)
         m = np.array([len(x) for x in self.items])
         # the most edits for which the lemma still asks for a shared q-gram
         self.budget = np.maximum(0, np.minimum(np.floor(m * self.edits + 1e-9), (m - self.q) // self.q)).astype(np.int64)
-        self.need = m - self.q + 1 - self.q * self.budget
+        self.need = np.maximum(1, m - self.q + 1 - self.q * self.budget)
         grams = [_codes(x, self.q) for x in self.items]
         codes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -110,6 +115,20 @@ class GramIndex:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.codes >> np.uint64(42)).astype(np.int64)] = True
 
+    def short(self, text: str) -> dict[int, int]:
+        """Where in a normalised text the items below q characters begin that stand there as whole words."""
+        if not self.brief:
+            return {}
+        found: dict[int, int] = {}
+        words = text.split(" ")
+        for n, items in self.brief.items():
+            at = 0
+            for k in range(len(words) - n + 1):
+                for i in items.get(tuple(words[k : k + n]), ()):
+                    found.setdefault(i, at)
+                at += len(words[k]) + 1
+        return found
+
     def candidates(self, chars: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, least and largest diagonal) of bands that share enough q-grams; starts: where documents begin."""
         codes = _codes(chars, self.q)
@@ -171,6 +190,9 @@ class GramIndex:
             got = (0, exact - a, exact - a + len(item)) if exact >= 0 else align(item, text[a:b], budget)
             if got and (d, i) not in best or got and (got[0], got[1] + a) < best[d, i][:2]:
                 best[d, i] = (got[0], got[1] + a, got[2] + a)
+        if self.brief:
+            for d, text in enumerate(texts):
+                best.update({(d, i): (0, at, at + len(self.items[i])) for i, at in self.short(text).items()})
         return best
 
 
@@ -192,12 +214,14 @@ def leaks(
     q: int = 8, edits: float = 0.1, block_chars: int = 2_000_000,
 ) -> DataFrame:
     """A row for each document row and benchmark item that it holds: id_col, th (the text's hash), item_col, edits, start,
-    end (characters of the lower-cased text), item_chars.
+    end (characters of the lower-cased text, which is longer than the text where a capital has two small letters),
+    item_chars.
 
     Held: some part of the normalised text is within edits * (the item's normalised length) edits of the whole item; for
     items so short that the q-gram lemma would then ask for nothing, the largest number of edits for which it does. The
     lemma: a part within k edits of an item of m characters shares m - q + 1 - k * q q-grams with it, on diagonals at most
-    k apart. Items with fewer than q normalised characters are not looked for. Null or empty texts hold nothing; null items
+    k apart. Items with fewer than q normalised characters are held where their words stand in a row, unchanged (an item
+    without any is held nowhere). Null or empty texts hold nothing; null items
     are skipped; repeated rows give repeated results; repeated items each count. Columns beyond those named are not read.
 
     Benchmark items go to the executors in blocks of about block_chars characters, each held against all documents, so
@@ -216,7 +240,7 @@ def leaks(
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         texts = [(r["i"], normalise(r["t"])) for r in own]
-        texts = sorted(((i, t) for i, t in texts if len(t) >= q), key=lambda x: (x[0] is None, x[0], x[1]))
+        texts = sorted(((i, t) for i, t in texts if t), key=lambda x: (x[0] is None, x[0], x[1]))
         args = ([i for i, _ in texts], [_chars(t) for _, t in texts], q, edits)
 
         def run(batches: Iterator[pa.RecordBatch], args: tuple = args) -> Iterator[pa.RecordBatch]:
