@@ -86,7 +86,7 @@ def mix_sources(
     edge = many.where(stretch(F.col("turn")) == cut["at"]).withColumn("time", finish(F.col("turn")))
     in_order = W.orderBy("time", F.col("source").isNull(), "source", "key", F.col("id").isNull(), "id", "size", "th", "turn").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("sum", F.sum("size").over(in_order) + cut["before"]).where(F.col("sum") <= cut["total"])
-    # rows alike in id, text and source share what was taken of them: each gets the mean, in whole copies first
+    # of rows alike in id, text and source, `through` tells which is which
     edge = edge.groupBy(F.col("id").alias("e_id"), F.col("th").alias("e_th"), F.col("source").alias("e_source"), F.col("through").alias("e_through")).agg(F.count("*").alias("more"))
     sure = sum((F.when(stretch(F.lit(i)) < cut["at"], 1).otherwise(0) for i in range(max_repeats)), F.lit(0))
     same = F.col("id").eqNullSafe(F.col("e_id")) & (F.col("th") == F.col("e_th")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("through") == F.col("e_through"))
