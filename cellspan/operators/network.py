@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
+from cellspan.operators.power_cells import cell_vertices, power_cells
 from cellspan.operators.spatial import around, cell, named, pairs_within
 
 SCHEMES = ("prm", "pow", "aw")
@@ -35,7 +38,10 @@ def solve(four: DataFrame, scheme: str) -> DataFrame:
     det = G.dot(rows[0], G.cross(rows[1], rows[2]))
     inverse = [G.cross(rows[1], rows[2]), G.cross(rows[2], rows[0]), G.cross(rows[0], rows[1])]
     at = lambda c: tuple(sum((inverse[k][x] * c[k] for k in range(1, 3)), inverse[0][x] * c[0]) / F.col("det") for x in range(3))
-    four = four.withColumn("det", det).where(F.abs("det") > 1e-9)
+    size = F.lit(1.0)
+    for r3 in rows:
+        size = size * F.sqrt(G.dot(r3, r3))
+    four = four.withColumn("det", det).where(F.abs("det") > 1e-12 * size)
     const = at([(own(k) - own(0)) / 2 for k in (1, 2, 3)])
     four = four.withColumns(dict(zip(("cx", "cy", "cz"), const, strict=True)))
     c = tuple(F.col(x) for x in ("cx", "cy", "cz"))
@@ -59,27 +65,32 @@ def solve(four: DataFrame, scheme: str) -> DataFrame:
 
 def vertices(balls: DataFrame, scheme: str, max_vert: float, slack: float = 1e-9) -> DataFrame:
     """(b0, b1, b2, b3, x, y, z, rad): the points at equal distance of four balls to which no other ball is nearer, the
-    touching sphere (for pow, the sphere whose radius is the square root of rad) having at most max_vert as its radius.
-
-    Four such balls' centres are within 2 * (max_vert + largest radius); so candidates come from a grid join of that
-    reach, and other balls that might be nearer from one around the point. Nothing is compared with everything."""
+    touching sphere (for pow, the sphere whose radius is the square root of rad) having at most max_vert as its radius."""
     if scheme not in SCHEMES:
         raise ValueError(f"scheme {scheme} is none of {', '.join(SCHEMES)}")
-    largest = balls.agg(F.max("rad")).first()[0] or 0.0
-    extra = {"prm": 0.0, "pow": largest, "aw": largest}[scheme]
-    # of a power vertex with rad <= max_vert ** 2, a centre is at most sqrt(max_vert ** 2 + r ** 2) away
-    halo = (max_vert**2 + largest**2) ** 0.5 if scheme == "pow" else max_vert + extra
-    four = quads(balls, 2 * halo)
+    if scheme == "aw":
+        return curved_vertices(balls, max_vert, slack)
+    limit = max_vert**2 if scheme == "pow" else max_vert
+    return located(balls, cell_vertices(power_cells(balls, scheme, max_vert)), scheme).where(F.col("rad") <= limit).select("b0", "b1", "b2", "b3", "x", "y", "z", "rad")
+
+
+def located(balls: DataFrame, four: DataFrame, scheme: str) -> DataFrame:
+    """four(b0 .. b3) with the balls' places and the point at equal distance of them."""
     for k in range(4):
         four = four.join(named(balls, f"p{k}").withColumnRenamed(f"p{k}_id", f"b{k}"), f"b{k}")
-    limit = max_vert**2 if scheme == "pow" else max_vert
-    found = solve(four, scheme).where(F.col("rad") <= limit).select("b0", "b1", "b2", "b3", "x", "y", "z", "rad").checkpoint()
+    return solve(four, scheme)
+
+
+def curved_vertices(balls: DataFrame, max_vert: float, slack: float) -> DataFrame:
+    """The vertices by distance to the surfaces. Four such balls' centres are within 2 * (max_vert + largest radius); so
+    candidates come from a grid join of that reach, and other balls that might be nearer from one around the point."""
+    largest = balls.agg(F.max("rad")).first()[0] or 0.0
+    halo = max_vert + largest
+    found = located(balls, quads(balls, 2 * halo), "aw").where(F.col("rad") <= max_vert).select("b0", "b1", "b2", "b3", "x", "y", "z", "rad").checkpoint()
     at = found.select("*", *[F.col(k).alias(f"v_{k}") for k in "xyz"])
     near = around(at, "v", halo).join(named(balls, "q").select("*", *cell("q", halo)), ["cx", "cy", "cz"])
     near = near.where("q_id <> b0 AND q_id <> b1 AND q_id <> b2 AND q_id <> b3")
-    d = G.distance(G.point("v"), G.point("q"))
-    value = {"prm": d, "pow": d * d - F.col("q_rad") * F.col("q_rad"), "aw": d - F.col("q_rad")}[scheme]
-    worse = near.where(value < F.col("rad") - slack).select("b0", "b1", "b2", "b3", "rad").distinct()
+    worse = near.where(G.distance(G.point("v"), G.point("q")) - F.col("q_rad") < F.col("rad") - slack).select("b0", "b1", "b2", "b3", "rad").distinct()
     return found.join(worse, ["b0", "b1", "b2", "b3", "rad"], "left_anti").select(*found.columns)
 
 
@@ -90,9 +101,64 @@ def faces(verts: DataFrame, n: int) -> DataFrame:
     return rows.select(*[F.col("f")[k].alias(f"f{k}") for k in range(n)], "b0", "b1", "b2", "b3")
 
 
+def mark_doublets(verts: DataFrame) -> DataFrame:
+    """Adds dub: null, or 0 and 1 for the two vertices of the same four balls, the one nearer to rad 0 first."""
+    key = W.partitionBy("b0", "b1", "b2", "b3")
+    place = F.row_number().over(key.orderBy(F.abs("rad"), "rad", "x", "y", "z")) - 1
+    return verts.withColumn("dub", F.when(F.count("*").over(key) > 1, place))
+
+
+def _matched(places: np.ndarray, others: list[int]) -> list[tuple[int, int]]:
+    """The pairs of all ends that have the least sum of distances, ends of the same fourth ball never paired; none if there
+    is no such pairing. Up to 12 ends exactly, more by the shortest pair first."""
+    n = len(others)
+    if n % 2:
+        return []
+    apart = np.linalg.norm(places[:, None] - places[None], axis=2)
+    fits = lambda i, j: others[i] != others[j]
+    if n > 12:
+        out, left = [], set(range(n))
+        for _, i, j in sorted((apart[i, j], i, j) for i in range(n) for j in range(i) if fits(i, j)):
+            if i in left and j in left:
+                out.append((j, i))
+                left -= {i, j}
+        return [] if left else out
+    best: dict[int, tuple[float, list]] = {0: (0.0, [])}
+    for mask in range(1, 1 << n):
+        i = mask.bit_length() - 1
+        ways = [(best[rest][0] + apart[i, j], best[rest][1] + [(j, i)]) for j in range(i) if mask >> j & 1 and fits(i, j) and (rest := mask ^ 1 << i ^ 1 << j) in best]
+        if ways:
+            best[mask] = min(ways)
+    return best.get((1 << n) - 1, (0.0, []))[1]
+
+
 def edges(verts: DataFrame) -> DataFrame:
-    """Keys of three balls that two vertices share (one: unbounded, left out)."""
-    return faces(verts, 3).groupBy("f0", "f1", "f2").agg(F.count("*").alias("n_verts")).where("n_verts = 2").drop("n_verts")
+    """(f0, f1, f2, edge, n_ends, status) of every key of three balls with a vertex: status is edge, open (one end), or
+    unpaired (an odd number, or ends that only fit their own kind); edge numbers the edges of a key that has several.
+
+    Keys of two ends are the rule. The few with more go to their pairing of least total distance, each key by itself."""
+    ends = corners(verts, 3)
+    keys = ends.groupBy("f0", "f1", "f2").agg(F.count("*").alias("n_ends"), F.count_distinct("other").alias("kinds"))
+    plain = keys.where("n_ends <= 2").select("f0", "f1", "f2", F.lit(0).alias("edge"), "n_ends", F.when(F.col("n_ends") == 1, "open").when(F.col("kinds") == 2, "edge").otherwise("unpaired").alias("status"))
+
+    def pair(group):
+        import pandas as pd
+
+        group = group.sort_values(["other", "x", "y", "z"])
+        got = _matched(group[["x", "y", "z"]].to_numpy(), group["other"].tolist())
+        rows = [(*group.iloc[0][["f0", "f1", "f2"]].astype(int), k, len(group), "edge" if got else "unpaired") for k in range(max(1, len(got)))]
+        return pd.DataFrame(rows, columns=["f0", "f1", "f2", "edge", "n_ends", "status"])
+
+    several = ends.join(keys.where("n_ends > 2").select("f0", "f1", "f2"), ["f0", "f1", "f2"])
+    return plain.union(several.groupBy("f0", "f1", "f2").applyInPandas(pair, "f0 long, f1 long, f2 long, edge int, n_ends long, status string"))
+
+
+def corners(verts: DataFrame, n: int) -> DataFrame:
+    """Each vertex's keys of n of its four balls, with the fourth (other; for n = 3) and its place."""
+    picks = list(combinations(range(4), n))
+    rest = lambda pick: F.col(f"b{next(k for k in range(4) if k not in pick)}")
+    keys = F.array(*[F.struct(*[F.col(f"b{k}").alias(f"f{i}") for i, k in enumerate(pick)], rest(pick).alias("other")) for pick in picks])
+    return verts.select(F.explode(keys).alias("k"), "b0", "b1", "b2", "b3", "x", "y", "z", "rad").select("k.*", "b0", "b1", "b2", "b3", "x", "y", "z", "rad")
 
 
 def surfaces(verts: DataFrame) -> DataFrame:
@@ -100,16 +166,35 @@ def surfaces(verts: DataFrame) -> DataFrame:
     its edges."""
     n_verts = faces(verts, 2).groupBy("f0", "f1").agg(F.count("*").alias("n_verts"))
     pairs = F.array(*[F.struct(F.col(f"f{a}").alias("p"), F.col(f"f{b}").alias("q")) for a, b in combinations(range(3), 2)])
-    n_edges = edges(verts).select(F.explode(pairs).alias("k")).groupBy(F.col("k.p").alias("f0"), F.col("k.q").alias("f1")).agg(F.count("*").alias("n_edges"))
+    n_edges = edges(verts).where("status = 'edge'").select(F.explode(pairs).alias("k")).groupBy(F.col("k.p").alias("f0"), F.col("k.q").alias("f1")).agg(F.count("*").alias("n_edges"))
     out = n_verts.join(n_edges, ["f0", "f1"], "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     return out.withColumn("closed", F.col("n_edges") == F.col("n_verts"))
 
 
+def incidence(verts: DataFrame) -> DataFrame:
+    """(kind, a, b): what lies on what, as sorted arrays of ball ids: edge_vert, surf_edge, surf_vert, ball_surf, ball_edge
+    and ball_vert. Surfaces and edges are named by their balls, so no numbering is needed."""
+    key = lambda *c: F.array(*[F.col(x) for x in c])
+    four = key("b0", "b1", "b2", "b3")
+    parts = lambda names, n: F.array(*[key(*p) for p in combinations(names, n)])
+    tri = edges(verts).where("status = 'edge'").select(key("f0", "f1", "f2").alias("a"), "f0", "f1", "f2").distinct()
+    pairs = surfaces(verts).select(key("f0", "f1").alias("a"), "f0", "f1")
+    v = verts.select(four.alias("v"), "b0", "b1", "b2", "b3").distinct()
+    names = ("b0", "b1", "b2", "b3")
+    ev = v.select(F.lit("edge_vert").alias("kind"), F.explode(parts(names, 3)).alias("a"), F.col("v").alias("b")).join(tri.select("a"), "a", "left_semi").select("kind", "a", "b")
+    se = tri.select(F.lit("surf_edge").alias("kind"), F.explode(parts(("f0", "f1", "f2"), 2)).alias("a"), F.col("a").alias("b"))
+    sv = v.select(F.lit("surf_vert").alias("kind"), F.explode(parts(names, 2)).alias("a"), F.col("v").alias("b"))
+    bs = pairs.select(F.lit("ball_surf").alias("kind"), F.explode(parts(("f0", "f1"), 1)).alias("a"), F.col("a").alias("b"))
+    be = tri.select(F.lit("ball_edge").alias("kind"), F.explode(parts(("f0", "f1", "f2"), 1)).alias("a"), F.col("a").alias("b"))
+    bv = v.select(F.lit("ball_vert").alias("kind"), F.explode(parts(names, 1)).alias("a"), F.col("v").alias("b"))
+    return ev.union(se).union(sv).union(bs).union(be).union(bv)
+
+
 def cells(verts: DataFrame) -> DataFrame:
     """(ball_id, n_verts, n_edges, n_surfs, euler, status) of each ball with a vertex: V - E + F is 2 for a closed cell."""
     one = lambda df, cols, name: df.select(F.explode(F.array(*cols)).alias("ball_id")).groupBy("ball_id").agg(F.count("*").alias(name))
     out = one(verts, ["b0", "b1", "b2", "b3"], "n_verts")
-    out = out.join(one(edges(verts), ["f0", "f1", "f2"], "n_edges"), "ball_id", "left")
+    out = out.join(one(edges(verts).where("status = 'edge'"), ["f0", "f1", "f2"], "n_edges"), "ball_id", "left")
     out = out.join(one(surfaces(verts).where("closed"), ["f0", "f1"], "n_surfs"), "ball_id", "left").na.fill(0)
     euler = F.col("n_verts") - F.col("n_edges") + F.col("n_surfs")
     status = F.when((F.col("n_verts") < 3) | (F.col("n_edges") < 4) | (F.col("n_surfs") < 3), "unbounded").when(2 * F.col("n_edges") == 3 * F.col("n_verts"), "complete").otherwise("incomplete")
@@ -125,7 +210,57 @@ def dual_counts(verts: DataFrame) -> DataFrame:
     return out
 
 
-def alpha_counts(verts: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
-    """Tetrahedra of the dual born by each alpha (a tetrahedron's birth is its vertex's rad)."""
+def least_power(p: list, r: list) -> tuple[list, Column]:
+    """The point of least power of two or three balls at which they have the same power, and that power."""
+    a, power = p[0], lambda c: G.dot(G.sub(c, p[0]), G.sub(c, p[0])) - r[0] * r[0]
+    u = G.sub(p[1], a)
+    h = lambda q, rad: (G.dot(q, q) + r[0] * r[0] - rad * rad) / 2
+    if len(p) == 2:
+        t = h(u, r[1]) / G.dot(u, u)
+        c = tuple(a[k] + t * u[k] for k in range(3))
+    else:
+        w = G.sub(p[2], a)
+        uu, uw, ww, hu, hw = G.dot(u, u), G.dot(u, w), G.dot(w, w), h(u, r[1]), h(w, r[2])
+        det = uu * ww - uw * uw
+        s, t = (hu * ww - hw * uw) / det, (hw * uu - hu * uw) / det
+        c = tuple(a[k] + s * u[k] + t * w[k] for k in range(3))
+    return c, power(c)
+
+
+def alpha_filtration(balls: DataFrame, verts: DataFrame) -> DataFrame:
+    """(dim, ids, birth, source) of the power filtration: every simplex of the dual and the least alpha at which it is there.
+
+    A tetrahedron is born at its vertex's power. A lower simplex is born at its own least power (source own), unless a
+    ball that it has a coface with is nearer to that point; then with its first coface (source coface)."""
+    spots = balls.select(F.col("ball_id").alias("id"), F.struct("x", "y", "z", "rad").alias("s"))
+    simplex = verts.groupBy(F.array("b0", "b1", "b2", "b3").alias("ids")).agg(F.min("rad").alias("birth")).checkpoint()
+    out = simplex.select(F.lit(3).alias("dim"), "ids", "birth", F.lit("own").alias("source"))
+    for n in (3, 2, 1):
+        up = simplex.select("birth", F.explode(F.array(*[F.struct(F.array(*[F.col("ids")[k] for k in range(n + 1) if k != gone]).alias("ids"), F.col("ids")[gone].alias("other")) for gone in range(n + 1)])).alias("f")).select("birth", "f.*")
+        up = up.join(spots.select(F.col("id").alias("other"), F.col("s").alias("q")), "other")
+        for k in range(n):
+            up = up.join(spots.select(F.col("id").alias(f"i{k}"), F.col("s").alias(f"s{k}")), F.col("ids")[k] == F.col(f"i{k}"))
+        p = [tuple(F.col(f"s{k}")[c] for c in "xyz") for k in range(n)]
+        r = [F.col(f"s{k}")["rad"] for k in range(n)]
+        c, own = (p[0], -r[0] * r[0]) if n == 1 else least_power(p, r)
+        q = tuple(F.col("q")[k] for k in "xyz")
+        nearer = G.dot(G.sub(c, q), G.sub(c, q)) - F.col("q")["rad"] * F.col("q")["rad"] < own - 1e-9
+        per = up.groupBy("ids").agg(F.min("birth").alias("up"), F.max(nearer.cast("int")).alias("attached"), F.first(own).alias("own"))
+        born = F.when(F.col("attached") == 1, F.col("up")).otherwise(F.col("own"))
+        source = F.when(F.col("attached") == 1, "coface").otherwise("own")
+        level = per.select("ids", born.alias("birth"), source.alias("source")).checkpoint()
+        out = out.union(level.select(F.lit(n - 1).alias("dim"), "ids", "birth", "source"))
+        simplex = level.select("ids", "birth")
+    return out
+
+
+def closure_issues(filtration: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """Simplices of filtration(ids, birth) that are there before one of their faces: (ids, birth, face, face_birth)."""
+    rows = filtration.where(F.size("ids") > 1).select("ids", "birth", F.explode(F.transform("ids", lambda gone: F.array_remove("ids", gone))).alias("face"))
+    return rows.join(filtration.select(F.col("ids").alias("face"), F.col("birth").alias("face_birth")), "face").where(F.col("face_birth") > F.col("birth") + slack).select("ids", "birth", "face", "face_birth")
+
+
+def alpha_counts(filtration: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """Simplices of filtration(dim, birth) born by each alpha: (alpha, dim, n)."""
     levels = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
-    return verts.select("rad", levels).groupBy("alpha").agg(F.sum((F.col("rad") <= F.col("alpha")).cast("long")).alias("n"))
+    return filtration.select("dim", "birth", levels).groupBy("alpha", "dim").agg(F.sum((F.col("birth") <= F.col("alpha")).cast("long")).alias("n"))

@@ -7,14 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
-from cellspan.operators import graphs, network, spatial
+from cellspan.operators import graphs, network, power_cells, spatial
 from cellspan.sources.balls import from_vectors, table
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 #: Surfaces at most this far apart are neighbours; the wide scale parts the balls enough for a sparse network.
-GAP, NEAR, WIDE, MAX_VERT = 1.0, 0.3, 60.0, 1.4
+#: Vertices of flat networks go up to a radius of 40; those by distance to curved surfaces, of which every four balls in reach
+#: are candidates, up to 1.4.
+GAP, NEAR, WIDE, MAX_VERT, MAX_CURVED = 1.0, 0.3, 60.0, 40.0, 1.4
 
 
 def query(sql: str | None = None):
@@ -140,7 +142,7 @@ def triangle_tetra_angle(spark, sf_dir):
     return r6(f.select("ball_id", G.triangle_area(*p[:3]).alias("area"), G.tetra_volume(*p).alias("volume"), G.angle(p[0], p[1], p[2]).alias("angle")))
 
 
-@query(f"WITH {base()}, {FOLLOW} SELECT chain, count(*) AS n_steps, round(sum(sqrt({_d(_s(1, 0), _s(1, 0))})), 6) AS length FROM f GROUP BY chain")
+@query(f"WITH {base()}, {FOLLOW.replace('p3_x', 'p1_x')} SELECT chain, count(*) AS n_steps, round(sum(sqrt({_d(_s(1, 0), _s(1, 0))})), 6) AS length FROM f GROUP BY chain")
 def path_length(spark, sf_dir):
     f = _following(balls(spark, sf_dir), 1)
     return r6(f.groupBy("chain").agg(F.count("*").alias("n_steps"), F.sum(G.distance(G.point("p1"), G.point("p0"))).alias("length")))
@@ -188,7 +190,7 @@ TOUCH = f"{base('60')}, {PAIRS}, t AS (SELECT a_id AS u, b_id AS v FROM p WHERE
 
 
 @query(
-    f"WITH RECURSIVE {TOUCH}, l AS (SELECT ball_id AS node, 0 AS layer FROM b WHERE chain = 0 UNION SELECT t.v, l.layer + 1 FROM l JOIN t ON t.u = l.node WHERE l.layer < 6) "
+    f"WITH RECURSIVE {TOUCH}, l AS (SELECT ball_id AS node, 0 AS layer FROM b WHERE chain = 0 UNION SELECT t.v, l.layer + 1 FROM l JOIN t ON t.u = l.node WHERE l.layer < 50) "
     "SELECT node, min(layer)::INTEGER AS layer FROM l GROUP BY node"
 )
 def layer_bfs(spark, sf_dir):
@@ -210,7 +212,8 @@ def bipartite_cycle_rank(spark, sf_dir):
 
 
 def verts(spark, sf_dir, scheme: str) -> DataFrame:
-    return network.vertices(balls(spark, sf_dir, WIDE), scheme, MAX_VERT)
+    """A scheme's vertices, kept: what follows reads them several times."""
+    return network.vertices(balls(spark, sf_dir, WIDE), scheme, MAX_CURVED if scheme == "aw" else MAX_VERT).checkpoint()
 
 
 @query()
@@ -228,6 +231,11 @@ def aw_vertices(spark, sf_dir):
     return r6(verts(spark, sf_dir, "aw"))
 
 
+@query()
+def doublet_mark(spark, sf_dir):
+    return r6(network.mark_doublets(verts(spark, sf_dir, "aw")))
+
+
 @query()
 def network_edges(spark, sf_dir):
     return network.edges(verts(spark, sf_dir, "pow"))
@@ -238,11 +246,36 @@ def network_surfaces(spark, sf_dir):
     return network.surfaces(verts(spark, sf_dir, "pow"))
 
 
+@query()
+def network_incidence(spark, sf_dir):
+    return network.incidence(verts(spark, sf_dir, "pow")).groupBy("kind", "a").agg(F.count("*").alias("n"))
+
+
 @query()
 def cell_completeness(spark, sf_dir):
     return network.cells(verts(spark, sf_dir, "pow"))
 
 
+@query()
+def cell_analysis(spark, sf_dir):
+    """Status, volume, area and shape of every cell of the power network."""
+    return r6(power_cells.cell_measures(power_cells.power_cells(balls(spark, sf_dir, WIDE), "pow", MAX_VERT)))
+
+
+@query()
+def face_areas(spark, sf_dir):
+    return r6(power_cells.cell_faces(power_cells.power_cells(balls(spark, sf_dir, WIDE), "pow", MAX_VERT)))
+
+
+@query()
+def scheme_cell_compare(spark, sf_dir):
+    """Volumes and neighbours of the same balls' cells in two schemes."""
+    b = balls(spark, sf_dir, WIDE)
+    one = lambda scheme: power_cells.cell_measures(power_cells.power_cells(b, scheme, MAX_VERT)).select("ball_id", F.col("volume").alias(f"{scheme}_volume"), F.col("n_neighbors").alias(f"{scheme}_neighbors"))
+    both = one("prm").join(one("pow"), "ball_id", "full")
+    return r6(both.withColumn("pct", F.try_divide(200 * (F.col("pow_volume") - F.col("prm_volume")), F.col("pow_volume") + F.col("prm_volume"))))
+
+
 @query()
 def dual_simplex_counts(spark, sf_dir):
     return network.dual_counts(verts(spark, sf_dir, "pow"))
@@ -250,6 +283,18 @@ def dual_simplex_counts(spark, sf_dir):
 
 @query()
 def alpha_complex_counts(spark, sf_dir):
-    # a birth is a vertex's rad, so vertices go up to the largest alpha
-    alphas = (0.0, 0.5, 1.0, 2.0)
-    return network.alpha_counts(network.vertices(balls(spark, sf_dir, WIDE), "pow", max(alphas) ** 0.5), alphas)
+    b = balls(spark, sf_dir, WIDE)
+    return network.alpha_counts(network.alpha_filtration(b, verts(spark, sf_dir, "pow")), (0.0, 0.5, 1.0, 2.0, 8.0, 64.0))
+
+
+@query()
+def alpha_filtration_births(spark, sf_dir):
+    b = balls(spark, sf_dir, WIDE)
+    return r6(network.alpha_filtration(b, verts(spark, sf_dir, "pow")).withColumn("ids", F.array_join("ids", ",")))
+
+
+@query()
+def alpha_closure_issues(spark, sf_dir):
+    """No rows: every simplex is there no earlier than its faces."""
+    b = balls(spark, sf_dir, WIDE)
+    return network.closure_issues(network.alpha_filtration(b, verts(spark, sf_dir, "pow")))

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cellspan.operators import graphs, network, spatial
+from cellspan.operators import graphs, network, power_cells, spatial
 from cellspan.sources import balls as source
 
 COLUMNS = "ball_id long, x double, y double, z double, rad double"
@@ -54,6 +54,70 @@ def test_vertices_like_brute_force(spark, checkpoints, scheme):
     assert {tuple(r) for r in got} == brute(at, rad, scheme, 1.5)
 
 
+@pytest.mark.parametrize("scheme", ["prm", "pow"])
+def test_whole_network_like_brute_force(spark, checkpoints, scheme):
+    """Vertices up to the largest radius, cells and faces; two balls share a place, one is covered by another."""
+    at, rad = some_balls(16, 11)
+    at[14], rad[14] = at[3], rad[3] / 2
+    at[15], rad[15] = at[5] + 0.01, rad[5] / 4
+    b = frame(spark, at, rad)
+    if scheme == "pow":
+        cells = power_cells.power_cells(b, scheme, 40.0, start=0.5).checkpoint()
+        assert {tuple(r) for r in power_cells.cell_vertices(cells).collect()} == brute(at, rad, scheme, 40.0)
+        status = {r.ball_id: r.status for r in power_cells.cell_measures(cells).collect()}
+        assert status[14] == "empty" and set(status) == set(range(16))
+        whole = {i for i, x in status.items() if x == "complete"}
+        areas = {(r.f0, r.f1): r.area for r in power_cells.cell_faces(cells).collect()}
+        for r in power_cells.cell_measures(cells).collect():
+            if r.ball_id in whole:
+                assert abs(sum(a for k, a in areas.items() if r.ball_id in k) - r.area) < 1e-9
+    else:
+        keep = [i for i in range(16) if i != 14]  # twins of one place have no plane between them
+        cells = power_cells.power_cells(frame(spark, at[keep], rad[keep]), scheme, 40.0, start=0.5).checkpoint()
+        assert {tuple(r) for r in power_cells.cell_vertices(cells).collect()} == brute(at[keep], rad[keep], scheme, 40.0)
+
+
+def test_volume_of_a_cell_by_points(spark, checkpoints):
+    at, rad = some_balls(40, 2)
+    got = {r.ball_id: r for r in power_cells.cell_measures(power_cells.power_cells(frame(spark, at, rad), "pow", 40.0)).collect()}
+    spots = np.random.default_rng(1).uniform(0, 4, (200_000, 3))
+    owner = ((spots[:, None] - at[None]) ** 2).sum(2) - rad**2
+    owner = owner.argmin(1)
+    inner = [i for i, r in got.items() if r.status == "complete" and (np.abs(spots[owner == i] - 2) < 1.9).all()]
+    assert inner
+    for i in inner:
+        assert abs((owner == i).mean() * 64 - got[i].volume) < 0.05 * got[i].volume + 0.02
+        assert np.allclose(spots[owner == i].mean(0), [got[i].cx, got[i].cy, got[i].cz], atol=0.1)
+
+
+def test_ends_of_edges_are_paired(spark):
+    verts = [(0, 1, 2, k, float(x), 0.0, 0.0, 1.0) for k, x in ((3, 0), (4, 1), (5, 10), (6, 12))] + [(0, 1, 7, 8, 0.0, 0.0, 0.0, 1.0)]
+    rows = network.edges(spark.createDataFrame(verts, "b0 long, b1 long, b2 long, b3 long, x double, y double, z double, rad double")).collect()
+    by = {(r.f0, r.f1, r.f2, r.edge): (r.n_ends, r.status) for r in rows}
+    assert by[0, 1, 2, 0] == by[0, 1, 2, 1] == (4, "edge") and by[0, 1, 3, 0] == (1, "open")
+    line = lambda *x: np.array([[v, 0.0, 0.0] for v in x])
+    assert network._matched(line(0, 1, 10, 12), [3, 4, 5, 6]) == [(0, 1), (2, 3)]
+    assert network._matched(line(0, 1, 2), [3, 4, 5]) == [] and network._matched(line(0, 1), [3, 3]) == []
+    assert network._matched(line(0, 1, 1.5, 9), [3, 3, 4, 4]) == [(0, 2), (1, 3)] or network._matched(line(0, 1, 1.5, 9), [3, 3, 4, 4]) == [(1, 2), (0, 3)]
+
+
+def test_alpha_births_like_the_smallest_empty_spheres(spark, checkpoints):
+    """A pair is born at its own least power unless a third ball is nearer there; nothing before its faces."""
+    at, rad = some_balls(14, 6)
+    b = frame(spark, at, rad)
+    f = network.alpha_filtration(b, network.vertices(b, "pow", 40.0)).checkpoint()
+    assert network.closure_issues(f).count() == 0
+    for r in f.where("dim = 1").collect():
+        i, j = r.ids
+        d = np.linalg.norm(at[j] - at[i])
+        t = (d * d + rad[i] ** 2 - rad[j] ** 2) / (2 * d * d)
+        c = at[i] + t * (at[j] - at[i])
+        own = ((c - at[i]) ** 2).sum() - rad[i] ** 2
+        every = ((at - c) ** 2).sum(1) - rad**2
+        assert (r.source == "own") == (every.min() >= own - 1e-9)
+        assert r.birth >= own - 1e-9 and (r.source == "coface" or abs(r.birth - own) < 1e-9)
+
+
 def test_aw_vertices_touch_their_four_balls_and_no_other(spark, checkpoints):
     at, rad = some_balls()
     rows = network.vertices(frame(spark, at, rad), "aw", 1.5).collect()
