@@ -3,7 +3,8 @@ from `events`."""
 
 from __future__ import annotations
 
-from cellspan.plans import hierarchy, measures, space
+from cellspan.plans import hierarchy, measures, selection, space
 
-QUERIES: dict = {**space.QUERIES, **hierarchy.QUERIES, **measures.QUERIES}
-SQL: dict = {**space.SQL, **hierarchy.SQL, **measures.SQL}
+MODULES = (space, hierarchy, measures, selection)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL: dict = {name: text for m in MODULES for name, text in m.SQL.items()}
