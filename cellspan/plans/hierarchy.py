@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellspan.operators import analysis
-from cellspan.plans.space import r6
+from cellspan.plans.space import r6, spatial_checkpoints
 from cellspan.sources.balls import parse_pdb, table
 from cellspan.streaming import events as stream
 
@@ -73,37 +73,47 @@ FRAMES = "f AS (SELECT strftime(ts, '%Y-%m-%d') AS frame, event_type, sum(value)
 
 
 @query(
-    f"WITH {FRAMES}, o AS (SELECT event_type AS k, arg_min(value, frame) AS first FROM f GROUP BY 1) SELECT frame, event_type, round(value, 4) AS value, round(100 * (value - first) / first, 4) AS pct FROM f JOIN o ON event_type = k"
+    f"WITH {FRAMES}, o AS (SELECT event_type AS k, arg_min(value, frame) AS first FROM f GROUP BY 1) SELECT frame, event_type, round(value, 4) AS value, round(100 * (value - first) / abs(first), 4) AS pct FROM f JOIN o ON event_type = k"
 )
 def pct_diff_first_frame(spark, sf_dir):
     out = analysis.percent_of_first(frames(spark, sf_dir), ["event_type"], "frame", "value")
     return out.select("frame", "event_type", F.round("value", 4).alias("value"), F.round("pct", 4).alias("pct"))
 
 
-@query(f"WITH {FRAMES} SELECT frame, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS moving FROM f")
+@query(
+    f"WITH {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY frame) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM f), "
+    "o AS (SELECT frame, event_type, n, unnest(range(pos - 2, pos + 3)) AS k FROM n), m AS (SELECT *, ((k % (2 * (n - 1))) + 2 * (n - 1)) % (2 * (n - 1)) AS t FROM o) "
+    "SELECT m.frame, m.event_type, round(avg(n.value), 4) AS moving FROM m JOIN n ON n.event_type = m.event_type AND n.pos = least(t, 2 * (m.n - 1) - t) GROUP BY 1, 2"
+)
 def moving_average(spark, sf_dir):
     out = analysis.moving_average(frames(spark, sf_dir), ["event_type"], "frame", "value", 5)
     return out.select("frame", "event_type", F.round("moving", 4).alias("moving"))
 
 
 @query(
-    "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, "
-    "round(stddev_samp(value) / abs(avg(value)), 6) AS cv, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY event_type"
+    "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, "
+    "round(stddev_samp(value) / abs(avg(value)), 6) AS cv, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, round(max(value) - min(value), 6) AS range, round(100 * (max(value) - min(value)) / abs(avg(value)), 6) AS range_pct FROM events GROUP BY event_type"
 )
 def frame_metric_stats(spark, sf_dir):
+    spatial_checkpoints(spark)
     return r6(analysis.spread(table(spark, sf_dir, "events"), ["event_type"], "value"))
 
 
 @query("WITH q AS (SELECT event_type AS k, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1) SELECT event_id, event_type, round(value, 6) AS value FROM events JOIN q ON event_type = k WHERE value < lo OR value > hi")
 def outlier_percentile(spark, sf_dir):
+    spatial_checkpoints(spark)
     return r6(analysis.percentile_outliers(table(spark, sf_dir, "events"), ["event_type"], "value", 0.01, 0.99).select("event_id", "event_type", "value"))
 
 
-@query(
-    "WITH m AS (SELECT event_type AS k, median(value) AS med FROM events GROUP BY 1), o AS (SELECT event_id, event_type, abs(value - med) AS off FROM events JOIN m ON event_type = k), "
-    "d AS (SELECT event_type AS k, median(off) AS mad FROM o GROUP BY 1) SELECT event_id, event_type, round(0.6745::DOUBLE * off / mad, 6) AS z FROM o JOIN d ON event_type = k WHERE mad > 0 AND 0.6745::DOUBLE * off / mad > 3.5"
+ROBUST = (
+    "m AS (SELECT event_type AS k, median(value) AS med FROM events GROUP BY 1), o AS (SELECT event_id, event_type, value - med AS off FROM events JOIN m ON event_type = k), "
+    "d AS (SELECT event_type AS k, median(abs(off)) AS mad FROM o GROUP BY 1), z AS (SELECT event_id, event_type, CASE WHEN mad <= 1e-12 THEN 0.0 ELSE 0.67448975::DOUBLE * off / mad END AS z FROM o JOIN d ON event_type = k)"
 )
+
+
+@query(f"WITH {ROBUST} SELECT event_id, event_type, round(z, 6) AS z FROM z WHERE abs(z) > 3.5")
 def outlier_robust_z(spark, sf_dir):
+    spatial_checkpoints(spark)
     return r6(analysis.robust_outliers(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_id", "event_type", "z"))
 
 
@@ -112,12 +122,15 @@ def fixed_bin_histogram(spark, sf_dir):
     return analysis.histogram(table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "q", 0.0, 50.0, 10)
 
 
+_rank = lambda c, by: f"(rank() OVER (ORDER BY {c} {by}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE)"
+
+
 @query(
-    "WITH s AS (SELECT l_suppkey, sum(l_quantity)::DOUBLE AS q, sum(l_extendedprice)::DOUBLE AS p, count(*) AS n FROM lineitem GROUP BY 1), "
-    "r AS (SELECT l_suppkey, (rank() OVER (ORDER BY round(q, 2) DESC) + rank() OVER (ORDER BY round(p, 2) DESC) + rank() OVER (ORDER BY n DESC)) / 3.0::DOUBLE AS mean_rank FROM s) "
-    "SELECT l_suppkey, round(mean_rank, 6) AS mean_rank, rank() OVER (ORDER BY mean_rank)::INTEGER AS place FROM r"
+    "WITH s AS (SELECT l_suppkey, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice), 2) AS p, count(*) AS n FROM lineitem GROUP BY 1), "
+    f"r AS (SELECT l_suppkey, round(({_rank('q', 'DESC')} + {_rank('p', 'DESC')} + {_rank('n', 'DESC')}) / 3, 9) AS mean_rank FROM s) SELECT l_suppkey, round(mean_rank, 6) AS mean_rank, {_rank('mean_rank', '')} AS place FROM r"
 )
 def avg_rank(spark, sf_dir):
+    spatial_checkpoints(spark)
     l = table(spark, sf_dir, "lineitem")
     s = l.groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_quantity").cast("double")), 2).alias("q"), F.round(F.sum(F.col("l_extendedprice").cast("double")), 2).alias("p"), F.count("*").alias("n"))
     return r6(analysis.mean_rank(s, "l_suppkey", ["q", "p", "n"]))

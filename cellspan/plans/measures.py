@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
-from cellspan.operators import spatial
+from cellspan.operators import analysis, spatial
 from cellspan.plans.hierarchy import FRAMES, frames
-from cellspan.plans.space import BOTH, GAP, NEAR, PAIRS, TOUCH, WIDE, balls, base, r6
+from cellspan.plans.space import BOTH, GAP, NEAR, PAIRS, TOUCH, WIDE, balls, base, r6, spatial_checkpoints
 from cellspan.sources.balls import table
 from cellspan.streaming import events as stream
 
@@ -91,8 +91,8 @@ def temporal_summary(spark, sf_dir):
 )
 def percentile_clip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    q = lambda p: F.percentile("value", F.lit(p))
-    bounds = e.groupBy("event_type").agg(q(0.05).alias("lo"), q(0.95).alias("hi"))
+    spatial_checkpoints(spark)
+    bounds = analysis.quantiles(e, ["event_type"], "value", {"lo": 0.05, "hi": 0.95})
     # null values stay null, as least and greatest would pass over them
     clipped = F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "lo"), F.col("hi")))
     return r6(e.join(bounds, "event_type").select("event_id", clipped.alias("value")))

@@ -3,8 +3,8 @@ from `events`."""
 
 from __future__ import annotations
 
-from cellspan.plans import hierarchy, measures, selection, space
+from cellspan.plans import hierarchy, measures, selection, space, statistics
 
-MODULES = (space, hierarchy, measures, selection)
+MODULES = (space, hierarchy, measures, selection, statistics)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL: dict = {name: text for m in MODULES for name, text in m.SQL.items()}

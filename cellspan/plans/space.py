@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
-from cellspan.operators import graphs, network, power_cells, spatial
+from cellspan.operators import analysis, graphs, network, power_cells, spatial
 from cellspan.sources.balls import from_vectors, table
 
 QUERIES: dict = {}
@@ -66,10 +66,10 @@ def range_join_neighbors(spark, sf_dir):
     return r6(spatial.range_join(balls(spark, sf_dir), GAP).select("a_id", "b_id", "d", "gap"))
 
 
-@query(f"WITH {base()}, {PAIRS}, {BOTH.format(1.0)} SELECT ball_id, count(*) AS n, round(min(gap), 6) AS nearest_gap, round(avg(d), 6) AS mean_d, round(sqrt(avg(d * d)), 6) AS rms_d FROM n GROUP BY ball_id")
+@query(f"WITH {base()}, {PAIRS}, {BOTH.format(1.0)} SELECT ball_id, count(*) AS n, round(min(gap), 6) AS nearest_gap, round(avg(d), 6) AS mean_d, round(stddev_pop(d), 6) AS rmsd FROM n GROUP BY ball_id")
 def neighbor_distances(spark, sf_dir):
     near = spatial.both_ways(spatial.range_join(balls(spark, sf_dir), GAP))
-    return r6(near.groupBy("ball_id").agg(F.count("*").alias("n"), F.min("gap").alias("nearest_gap"), F.avg("d").alias("mean_d"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms_d")))
+    return r6(near.groupBy("ball_id").agg(F.count("*").alias("n"), F.min("gap").alias("nearest_gap"), F.avg("d").alias("mean_d"), F.stddev_pop("d").alias("rmsd")))
 
 
 @query(f"WITH {base()}, {PAIRS}, n AS (SELECT a_id AS ball_id, b_id AS other, gap FROM p UNION ALL SELECT b_id, a_id, gap FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY ball_id ORDER BY gap, other) AS rank FROM n) SELECT ball_id, other, rank::INTEGER AS rank, round(gap, 6) AS gap FROM r WHERE rank <= 5")
@@ -149,24 +149,19 @@ def path_length(spark, sf_dir):
 
 
 MASS = "4 / 3::DOUBLE * pi() * rad ** 3"
+_about = lambda a, b: f"sum(mass * ({a} - c{a}) * ({b} - c{b}))"
+_diag = lambda c: f"round(sum(0.4::DOUBLE * mass * rad * rad) + {' + '.join(_about(d, d) for d in 'xyz' if d != c)}, 3) AS i{c}{c}"
+_off = lambda a, b: f"round(-{_about(a, b)}, 3) + 0.0 AS i{a}{b}"
 
 
 @query(
     f"WITH {base()}, m AS (SELECT *, {MASS} AS mass FROM b), o AS (SELECT chain AS k, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz FROM m GROUP BY chain) "
-    "SELECT chain, count(*) AS n, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(any_value(cz), 6) AS cz, "
-    "round(sum(mass * ((y - cy) ** 2 + (z - cz) ** 2)), 4) AS ixx, round(-sum(mass * (x - cx) * (y - cy)), 4) AS ixy, round(sqrt(sum(mass * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(mass)), 6) AS gyration, "
-    "round(max(x) - min(x), 6) AS width FROM m JOIN o ON chain = k GROUP BY chain"
+    f"SELECT chain, round(sum(mass), 3) AS mass, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(any_value(cz), 6) AS cz, {', '.join(map(_diag, 'xyz'))}, {_off('x', 'y')}, {_off('x', 'z')}, {_off('y', 'z')} FROM m JOIN o ON chain = k GROUP BY chain"
 )
 def mass_and_inertia(spark, sf_dir):
     b = balls(spark, sf_dir).withColumn("mass", 4 / 3 * 3.141592653589793 * F.pow("rad", F.lit(3.0)))
-    mean = lambda c: (F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(f"c{c}")
-    m = b.join(b.groupBy("chain").agg(*map(mean, "xyz")), "chain")
-    x, y, z = (F.col(c) - F.col(f"c{c}") for c in "xyz")
-    out = m.groupBy("chain").agg(
-        F.count("*").alias("n"), *[F.first(f"c{c}").alias(f"c{c}") for c in "xyz"], F.round(F.sum(F.col("mass") * (y * y + z * z)), 4).alias("ixx"),
-        F.round(-F.sum(F.col("mass") * x * y), 4).alias("ixy"), F.sqrt(F.sum(F.col("mass") * (x * x + y * y + z * z)) / F.sum("mass")).alias("gyration"), (F.max("x") - F.min("x")).alias("width"),
-    )
-    return r6(out)
+    out = analysis.inertia(b, ["chain"], "mass")
+    return out.select("chain", *[(F.round(c, 6 if c[0] == "c" else 3) + F.lit(0.0)).alias(c) for c in out.columns[1:]])
 
 
 @query(f"WITH {base()} SELECT floor(x / 2)::BIGINT AS cx, floor(y / 2)::BIGINT AS cy, floor(z / 2)::BIGINT AS cz, count(*) AS n_balls, min(ball_id) AS first_ball FROM b GROUP BY ALL")
