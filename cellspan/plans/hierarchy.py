@@ -181,7 +181,10 @@ def log_section_parse(spark, sf_dir):
     return lines.groupBy("doc_id", "section").agg(F.sum((F.length(F.trim("line")) > 0).cast("long")).alias("n_rows"))
 
 
-@query()
+_mm = ", ".join(f"printf('%.3f', 20::DOUBLE * embedding[{k}]::DOUBLE)::DOUBLE AS {c}" for k, c in ((1, "x"), (2, "y"), (3, "z")))
+
+
+@query(f"SELECT vec_id % 100000 AS ball_id, {_mm}, 1.7::DOUBLE AS rad, 'CA' AS name, 'C' AS element, 'ALA' AS res_name, chr((65 + label)::INTEGER) AS chain, (vec_id // 10 % 10000)::INTEGER AS res_seq, false AS is_solvent FROM embeddings")
 def pdb_fixed_width_parse(spark, sf_dir):
     """Balls written as PDB lines and read again."""
     v = table(spark, sf_dir, "embeddings")
