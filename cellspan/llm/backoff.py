@@ -98,19 +98,34 @@ def exploded(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("doc", "m", "text").mapInArrow(run, schema)
 
 
-def seen_elsewhere(rows: DataFrame, heavy: int = 4096) -> DataFrame:
-    """Those of the exploded rows whose n-gram other documents have, with others, the times they have it.
+def block_counts(texts: DataFrame, order: int) -> DataFrame:
+    """(h, total, docs, times) of texts(m, text): the n-grams of blocks of a few megabytes, counted before anything is
+    shuffled: their occurrences, the documents that have them, and the rows these make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, rows=100_000, size=4_000_000):
+            of, _, h, times, *_ = document_grams(b.column(1).to_pylist(), order)
+            m = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[of]
+            keys, back = np.unique(h.astype(np.uint64), return_inverse=True)
+            total = lambda x: pa.array(np.bincount(back, x, len(keys)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), total(m * times), total(m), total(None)], names=["h", "total", "docs", "times"])
+
+    return texts.select("m", "text").mapInArrow(run, "h long, total long, docs long, times long")
+
+
+def seen_elsewhere(texts: DataFrame, order: int, heavy: int = 4096) -> DataFrame:
+    """Those of the exploded n-grams of texts(doc, m, text) that other documents have, with others, the times they have it.
 
     The count table has the n-grams of at least two documents. An n-gram of a heavy-th of the rows or more goes to
     several parts of the join, by document; at most `heavy` n-grams are so frequent, so telling them apart takes a
     broadcast of bounded size."""
-    counts = rows.groupBy("h").agg(F.sum(F.col("own").cast("long") * F.col("m")).alias("total"), F.sum("m").alias("docs"), F.count("*").alias("times"))
+    counts = block_counts(texts, order).groupBy("h").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"), F.sum("times").alias("times"))
     counts = materialize(counts.where("docs > 1").drop("docs"))
     every = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     often = counts.where(F.col("times") * heavy >= max(every, 1)).select("h", F.ceil(F.col("times") * heavy / max(every, 1)).cast("int").alias("parts"))
     table = counts.drop("times").join(F.broadcast(often), "h", "left")
     table = table.select("h", "total", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    dealt = rows.join(F.broadcast(often), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    dealt = exploded(texts, order).join(F.broadcast(often), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     return dealt.join(table, ["h", "part"]).withColumn("others", F.col("total") - F.col("own")).drop("part", "total", "m")
 
 
@@ -133,7 +148,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
         base = base.withColumn("doc", F.struct("id", "th"))
         texts = docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("doc"), F.col(text_col).alias("text"))
         texts = texts.dropDuplicates(["doc"]).join(base.groupBy("doc").agg(F.count("*").cast("int").alias("m")), "doc")
-    seen = materialize(seen_elsewhere(exploded(texts, order)))
+    seen = materialize(seen_elsewhere(texts, order))
     # used: how often the document's words are scored by this n-gram; longer: how often by one that it ends or begins
     sums, longer = [], None
     for n in range(order, 0, -1):
