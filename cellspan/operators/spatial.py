@@ -13,11 +13,11 @@ def named(df: DataFrame, prefix: str, *more: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}_{c.removeprefix('ball_')}") for c in ("ball_id", "x", "y", "z", "rad", *more)])
 
 
-def cell(prefix: str, size: float) -> list[Column]:
+def cell(prefix: str, size: float | Column) -> list[Column]:
     return [F.floor(F.col(f"{prefix}_{k}" if prefix else k) / size).cast("long").alias(f"c{k}") for k in "xyz"]
 
 
-def around(df: DataFrame, prefix: str, size: float, reach: int = 1) -> DataFrame:
+def around(df: DataFrame, prefix: str, size: float | Column, reach: int = 1) -> DataFrame:
     """A row for each grid cell at most reach cells away: what lies within size * reach is in one of them."""
     steps = F.array(*[F.lit(i).cast("long") for i in range(-reach, reach + 1)])
     out = df.select("*", *[c.alias(f"o{k}") for k, c in zip("xyz", cell(prefix, size), strict=True)])
@@ -36,11 +36,29 @@ def pairs_within(balls: DataFrame, reach: float, *more: str) -> DataFrame:
 
 
 def range_join(balls: DataFrame, gap: float, *more: str) -> DataFrame:
-    """Pairs a < b whose surfaces are at most gap apart, with d (centres) and gap (surfaces). The cell size comes from the
-    largest radius, one aggregated row."""
-    largest = balls.agg(F.max("rad")).first()[0] or 0.0
-    out = pairs_within(balls, gap + 2 * largest, *more).withColumn("gap", F.col("d") - F.col("a_rad") - F.col("b_rad"))
-    return out.where(F.col("gap") <= gap)
+    """Pairs a < b whose surfaces are at most gap apart, with d (centres) and gap (surfaces).
+
+    Balls are banded by their radius, a band for each doubling. A ball looks among those of its own and of larger bands, in
+    cells of the band's size; so a large ball makes the cells large for large balls only."""
+    band = lambda r: F.floor(F.log2(F.greatest(F.col(r), F.lit(1e-9)))).cast("int")
+    # radii of doubles make at most two thousand bands, real ones a handful
+    bands = sorted(r[0] for r in balls.where("rad IS NOT NULL").select(band("rad")).distinct().collect())
+    sizes = {q: gap + 2.0 ** (q + 2) for q in bands if gap + 2.0 ** (q + 2) > 0}
+    if not sizes:
+        sizes = {0: 1.0}
+    size = F.element_at(F.create_map(*[F.lit(x) for q, s in sizes.items() for x in (q, float(s))]), F.col("level"))
+    a = named(balls, "a", *more).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda q: q >= band("a_rad"))))
+    a = around(a.withColumn("size", size), "a", F.col("size")).drop("size")
+    b = named(balls, "b", *more).withColumn("level", band("b_rad"))
+    b = b.withColumn("size", size).where("size IS NOT NULL").select("*", *cell("b", F.col("size"))).drop("size")
+    both = a.join(b, ["level", "cx", "cy", "cz"]).withColumn("d", G.distance(G.point("a"), G.point("b")))
+    both = both.withColumn("gap", F.col("d") - F.col("a_rad") - F.col("b_rad")).where((F.col("gap") <= gap) & (F.col("a_id") != F.col("b_id")))
+    both = both.where((band("a_rad") < F.col("level")) | (F.col("a_id") < F.col("b_id")))
+    # a pair of two bands was found from its smaller ball: the lesser id goes first
+    turn = F.col("a_id") > F.col("b_id")
+    sides = [c.removeprefix("a_") for c in a.columns if c.startswith("a_")]
+    ordered = [F.when(turn, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in sides]
+    return both.select(*ordered, "d", "gap")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -49,13 +67,16 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def nearest(balls: DataFrame, k: int, start: float) -> DataFrame:
-    """The k nearest balls by surface distance of each ball, rank from 1; ties by id. The range doubles for the balls that
-    have fewer than k within it until none is left, or it has covered all; the others are done."""
-    count = balls.count()
-    found, todo, gap = None, balls.select("ball_id"), start
+    """The k nearest balls by surface distance of each ball, rank from 1; ties by id. Only the balls that do not have k within
+    the range look further, in cells of twice the range; each round's result is kept, so no round runs twice."""
+    count, largest = balls.agg(F.count("*"), F.coalesce(F.max("rad"), F.lit(0.0))).first()
+    found, todo, gap = None, balls, start
     while True:
-        near = both_ways(range_join(balls, gap)).join(todo, "ball_id", "left_semi")
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy("ball_id").orderBy("gap", "other"))).where(F.col("rank") <= k)
+        reach = gap + 2 * largest
+        b = named(balls, "b").select("*", *cell("b", reach))
+        both = around(named(todo, "a"), "a", reach).join(b, ["cx", "cy", "cz"]).where("a_id <> b_id").withColumn("d", G.distance(G.point("a"), G.point("b")))
+        both = both.select(F.col("a_id").alias("ball_id"), F.col("b_id").alias("other"), "d", (F.col("d") - F.col("a_rad") - F.col("b_rad")).alias("gap")).where(F.col("gap") <= gap)
+        near = both.withColumn("rank", F.row_number().over(W.partitionBy("ball_id").orderBy("gap", "other"))).where(F.col("rank") <= k).checkpoint()
         enough = near.groupBy("ball_id").count().where(F.col("count") >= min(k, count - 1)).select("ball_id")
         part = near.join(enough, "ball_id", "left_semi")
         found = part if found is None else found.union(part)
