@@ -190,6 +190,22 @@ def rollover(df: DataFrame, keys: list[str], order: list[str], number: str) -> D
     return rows.withColumn("turn", F.sum("__fell").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__fell")
 
 
+def followers(df: DataFrame, key: str, order: str, values: list[str], n: int) -> DataFrame:
+    """df with p0_<value> .. pn_<value>: each row's own values and those of the n rows that follow it in its key, null beyond.
+
+    Rows are ranged over partitions by key and order, so a large key is split; each partition also gets the first n rows of
+    the n partitions after it, which hold the next n rows at least."""
+    ranged = df.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    parts = ranged.select("__part").distinct().withColumn("__k", F.row_number().over(W.orderBy("__part")))  # a row a partition
+    real = ranged.join(F.broadcast(parts), "__part").withColumn("__ghost", F.lit(False))
+    within = W.partitionBy("__k").orderBy(key, order)
+    heads = real.withColumn("__row", F.row_number().over(within)).where(F.col("__row") <= n).drop("__row")
+    ghosts = heads.withColumn("__k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda d: F.col("__k") - d))).withColumn("__ghost", F.lit(True))
+    rows = real.unionByName(ghosts.select(*real.columns))
+    after = lambda c, d: F.when(F.lead(key, d).over(within).eqNullSafe(F.col(key)), F.lead(c, d).over(within)) if d else F.col(c)
+    return rows.select(*df.columns, "__ghost", *[after(c, d).alias(f"p{d}_{c}") for d in range(n + 1) for c in values]).where("NOT __ghost").drop("__ghost")
+
+
 def top_by_each(df: DataFrame, keys: list[str], scores: list[str], n: int, id_col: str) -> DataFrame:
     """(keys, id, by): the n rows of each key that are largest by any of the scores, with the scores they are there for."""
     picks = None

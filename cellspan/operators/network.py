@@ -18,14 +18,13 @@ SCHEMES = ("prm", "pow", "aw")
 
 
 def quads(balls: DataFrame, reach: float) -> DataFrame:
-    """Four balls, ids ascending as b0 .. b3, of which any two have centres at most reach apart."""
-    pairs = pairs_within(balls, reach).select(F.col("a_id").alias("i"), F.col("b_id").alias("j")).checkpoint()
-    ij = pairs.select(F.col("i").alias("b0"), F.col("j").alias("b1"))
-    ik = pairs.select(F.col("i").alias("b0"), F.col("j").alias("b2"))
-    jk = pairs.select(F.col("i").alias("b1"), F.col("j").alias("b2"))
-    triples = ij.join(ik, "b0").where("b1 < b2").join(jk, ["b1", "b2"])
-    il, jl, kl = (pairs.select(F.col("i").alias(c), F.col("j").alias("b3")) for c in ("b0", "b1", "b2"))
-    return triples.join(il, "b0").where("b2 < b3").join(jl, ["b1", "b3"]).join(kl, ["b2", "b3"]).select("b0", "b1", "b2", "b3")
+    """Four balls, ids ascending as b0 .. b3, of which any two have centres at most reach apart. Each ball's later neighbours
+    are one array, and what two and three balls have in common is intersected; so only whole fours become rows."""
+    pairs = pairs_within(balls, reach).select(F.col("a_id").alias("b0"), F.col("b_id").alias("b1")).checkpoint()
+    later = lambda c: pairs.groupBy(F.col("b0").alias(c)).agg(F.collect_list("b1").alias(f"n_{c}"))
+    both = pairs.join(later("b0"), "b0").join(later("b1"), "b1").select("b0", "b1", F.array_intersect("n_b0", "n_b1").alias("common"))
+    three = both.select("b0", "b1", "common", F.explode("common").alias("b2")).join(later("b2"), "b2")
+    return three.select("b0", "b1", "b2", F.explode(F.array_intersect("common", "n_b2")).alias("b3"))
 
 
 def solve(four: DataFrame, scheme: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
@@ -40,6 +39,9 @@ def spatial_checkpoints(spark: SparkSession) -> None:
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         import tempfile
 
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellspan-"))
 
 
@@ -109,8 +111,7 @@ FOUR = "f AS (SELECT chain, ball_id, x, y, z, lead(x, {k}) OVER w AS x{k}, lead(
 
 def _following(b: DataFrame, n: int = 3) -> DataFrame:
     """Each ball (p0) with the n that follow it in its chain."""
-    w = W.partitionBy("chain").orderBy("ball_id")
-    return b.select("chain", "ball_id", *[F.lead(c, k).over(w).alias(f"p{k}_{c}") for k in range(n + 1) for c in "xyz"]).where(f"p{n}_x IS NOT NULL")
+    return analysis.followers(b, "chain", "ball_id", list("xyz"), n).where(f"p{n}_x IS NOT NULL")
 
 
 LEADS = ", ".join(f"lead({c}, {k}) OVER w AS p{k}_{c}" for k in range(4) for c in "xyz")
