@@ -60,6 +60,21 @@ def face_area(points: np.ndarray, normal: np.ndarray) -> tuple[float, np.ndarray
     return abs(area), middle + (each[:, None] * (p + q) / 3).sum(0) / area if area else middle
 
 
+def edge_curvature(at: np.ndarray, planes: np.ndarray, normals: np.ndarray) -> tuple[float, float]:
+    """Of a polyhedron: half the sum over edges of length times turning of the outward normals, and the sum over vertices of
+    2 pi less the angles of their faces. The latter is 4 pi for every closed one."""
+    i, j = np.nonzero(np.triu((planes[:, None, :, None] == planes[None, :, None, :]).any(3).sum(2) == 2, 1))
+    length = np.linalg.norm(at[i] - at[j], axis=1)
+    shared = (planes[i][:, :, None] == planes[j][:, None, :]).any(2)
+    faces = planes[i][shared].reshape(-1, 2)
+    turn = np.arccos(np.clip((normals[faces[:, 0]] * normals[faces[:, 1]]).sum(1), -1, 1))
+    n = normals[planes]  # at a vertex the face of one plane lies between the edges with the two others
+    ways = [np.cross(n[:, a], n[:, b]) for a, b in ((1, 2), (2, 0), (0, 1))]
+    ways = [w * -np.sign((w * n[:, k]).sum(1))[:, None] / np.maximum(np.linalg.norm(w, axis=1), 1e-300)[:, None] for k, w in enumerate(ways)]
+    angles = sum(np.arccos(np.clip((ways[a] * ways[b]).sum(1), -1, 1)) for a, b in ((0, 1), (1, 2), (0, 2)))
+    return float((length * turn).sum() / 2), float((2 * np.pi - angles).sum())
+
+
 def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.ndarray, half: float, reach: float, most: float) -> dict:
     """The power cell of a ball against others (weights are squared radii; zero for prm): its vertices' planes, its faces,
     and whether a ball beyond reach, of weight `most` at most, could still cut it."""
@@ -87,12 +102,13 @@ def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.nd
             part = size * float(offsets[order[k]]) / 3
             volume, area, moment = volume + part, area + size, moment + part * 0.75 * middle
     out["volume"], out["area"] = (volume, area) if out["bounded"] else (None, None)
+    out["mean_curv"], out["gauss_curv"] = edge_curvature(v, planes, normals[order]) if out["bounded"] else (None, None)
     out["centroid"] = centre + moment / volume if out["bounded"] and volume else None
     return out
 
 
 SOLVED = (
-    "ball_id long, safe boolean, bounded boolean, empty boolean, volume double, area double, cx double, cy double, cz double, "
+    "ball_id long, safe boolean, bounded boolean, empty boolean, volume double, area double, mean_curv double, gauss_curv double, cx double, cy double, cz double, "
     "quads array<array<long>>, faces array<struct<other: long, area: double, n_verts: int, whole: boolean>>"
 )
 
@@ -125,7 +141,7 @@ def power_cells(balls: DataFrame, scheme: str, max_vert: float, start: float = 0
                 got = solve_cell(np.array([r["x"], r["y"], r["z"]]), 0.0 if flat else r["rad"] ** 2, at, weights, half, reach, most)
                 sound = (got["planes"] >= 0).all(1) & (got["rad"] <= max_vert**2)
                 rows.append({
-                    "ball_id": r["ball_id"], "safe": got["safe"] or last, "bounded": got["bounded"], "empty": got["empty"], "volume": got["volume"], "area": got["area"],
+                    "ball_id": r["ball_id"], "safe": got["safe"] or last, "bounded": got["bounded"], "empty": got["empty"], "volume": got["volume"], "area": got["area"], "mean_curv": got["mean_curv"], "gauss_curv": got["gauss_curv"],
                     **dict(zip(("cx", "cy", "cz"), got["centroid"] if got["centroid"] is not None else (None,) * 3, strict=True)),
                     "quads": ids[got["planes"][sound]].tolist(),
                     "faces": [{"other": int(ids[k]), "area": a, "n_verts": n, "whole": w} for k, a, n, w in got["faces"]],
@@ -133,7 +149,7 @@ def power_cells(balls: DataFrame, scheme: str, max_vert: float, start: float = 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = pa.schema([
-        ("ball_id", pa.int64()), ("safe", pa.bool_()), ("bounded", pa.bool_()), ("empty", pa.bool_()), ("volume", pa.float64()), ("area", pa.float64()),
+        ("ball_id", pa.int64()), ("safe", pa.bool_()), ("bounded", pa.bool_()), ("empty", pa.bool_()), ("volume", pa.float64()), ("area", pa.float64()), ("mean_curv", pa.float64()), ("gauss_curv", pa.float64()),
         *((c, pa.float64()) for c in ("cx", "cy", "cz")), ("quads", pa.list_(pa.list_(pa.int64()))),
         ("faces", pa.list_(pa.struct([("other", pa.int64()), ("area", pa.float64()), ("n_verts", pa.int32()), ("whole", pa.bool_())]))),
     ])
@@ -169,12 +185,52 @@ def cell_faces(cells: DataFrame) -> DataFrame:
 
 
 def cell_measures(cells: DataFrame) -> DataFrame:
-    """(ball_id, status, volume, area, sphericity, isoperimetric_quotient, n_neighbors, largest_face, cx, cy, cz): status is
-    complete, unbounded or empty, and all measures but n_neighbors are null unless complete."""
+    """(ball_id, status, volume, area, sphericity, isoperimetric_quotient, n_neighbors, largest_face, mean_curv, gauss_curv,
+    gauss_bonnet, cx, cy, cz): status is complete, unbounded or empty, and all measures but n_neighbors are null unless
+    complete. gauss_bonnet is gauss_curv less the 4 pi that a closed surface without holes has."""
     status = F.when(F.col("empty"), "empty").when(F.col("bounded"), "complete").otherwise("unbounded")
     v, a = F.col("volume"), F.col("area")
     return cells.select(
         "ball_id", status.alias("status"), "volume", "area", F.try_divide(F.lit(np.pi ** (1 / 3)) * F.pow(6 * v, F.lit(2 / 3)), a).alias("sphericity"),
         F.try_divide(36 * np.pi * v * v, a * a * a).alias("isoperimetric_quotient"), F.size("faces").alias("n_neighbors"),
-        F.when(F.col("bounded"), F.array_max(F.transform("faces", lambda f: f["area"]))).alias("largest_face"), "cx", "cy", "cz",
+        F.when(F.col("bounded"), F.array_max(F.transform("faces", lambda f: f["area"]))).alias("largest_face"), "mean_curv", "gauss_curv", (F.col("gauss_curv") - 4 * np.pi).alias("gauss_bonnet"), "cx", "cy", "cz",
+    )
+
+
+def cell_neighbors(cells: DataFrame, balls: DataFrame) -> DataFrame:
+    """(ball_id, n_neighbors, nearest_neighbor, nearest_distance, mean_distance, rmsd, overlap, contact_area, n_second,
+    mean_second): over the balls that a cell has a face with, by the distance of surfaces; rmsd is the deviation from the mean,
+    overlap the largest one, contact_area the faces towards overlapping balls. Second neighbours are the faces' neighbours'
+    neighbours that are neither; mean_second is the mean distance of their centres."""
+    own = lambda c: balls.select(F.col("ball_id").alias(c), F.struct("x", "y", "z", "rad").alias(f"{c}_s"))
+    near = cells.select("ball_id", F.explode("faces").alias("f")).select("ball_id", F.col("f.other").alias("other"), F.col("f.area").alias("area")).checkpoint()
+
+    def apart(rows: DataFrame) -> DataFrame:
+        j = rows.join(own("ball_id"), "ball_id").join(own("other"), "other")
+        a, b = F.col("ball_id_s"), F.col("other_s")
+        d = F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
+        return j.withColumns({"centre": d, "gap": d - a["rad"] - b["rad"]}).drop("ball_id_s", "other_s")
+
+    first = apart(near).groupBy("ball_id").agg(
+        F.count("*").alias("n_neighbors"), F.min_by("other", F.struct("gap", "other")).alias("nearest_neighbor"), F.min("gap").alias("nearest_distance"), F.avg("gap").alias("mean_distance"),
+        F.stddev_pop("gap").alias("rmsd"), F.max(F.greatest(-F.col("gap"), F.lit(0.0))).alias("overlap"), F.sum(F.when(F.col("gap") < 0, F.col("area")).otherwise(0.0)).alias("contact_area"),
+    )
+    two = near.select("ball_id", "other").join(near.select(F.col("ball_id").alias("other"), F.col("other").alias("second")), "other").where("second <> ball_id")
+    two = two.select("ball_id", F.col("second").alias("other")).distinct().join(near.select("ball_id", "other"), ["ball_id", "other"], "left_anti")
+    return first.join(apart(two).groupBy("ball_id").agg(F.count("*").alias("n_second"), F.avg("centre").alias("mean_second")), "ball_id", "left")
+
+
+def group_summary(cells: DataFrame, balls: DataFrame, members: DataFrame, mass: str) -> DataFrame:
+    """(group_id, n_cells, n_complete, volume, mass, vdw_volume, packing_fraction, cx, cy, cz, surface_area) of
+    members(group_id, ball_id): sums over complete cells, the centre by mass, and the faces between the group and all else
+    (null if one of them is cut)."""
+    rows = members.join(cells.select("ball_id", "bounded", "volume", "faces"), "ball_id").join(balls, "ball_id")
+    whole, m, vdw = F.col("bounded"), F.col(mass), F.lit(4 / 3 * np.pi) * F.col("rad") * F.col("rad") * F.col("rad")
+    if_whole = lambda x: F.sum(F.when(whole, x))
+    out = rows.groupBy("group_id").agg(
+        F.count("*").alias("n_cells"), F.sum(whole.cast("long")).alias("n_complete"), if_whole(F.col("volume")).alias("volume"), if_whole(m).alias("mass"), if_whole(vdw).alias("vdw_volume"),
+        F.try_divide(if_whole(vdw), if_whole(F.col("volume"))).alias("packing_fraction"), *[F.try_divide(if_whole(m * F.col(c)), if_whole(m)).alias(f"c{c}") for c in "xyz"],
     )
+    faces = rows.select("group_id", F.explode("faces").alias("f")).select("group_id", F.col("f.other").alias("ball_id"), F.col("f.area").alias("area"))
+    rim = faces.join(members, ["group_id", "ball_id"], "left_anti").groupBy("group_id").agg(F.when(F.count("area") == F.count("*"), F.sum("area")).alias("surface_area"))
+    return out.join(rim, "group_id", "left")

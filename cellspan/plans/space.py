@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellspan.functions import curvature
 from cellspan.functions import geometry as G
 from cellspan.operators import analysis, graphs, network, power_cells, spatial
 from cellspan.sources.balls import from_vectors, table
@@ -200,7 +201,10 @@ def connected_components(spark, sf_dir):
     return graphs.components(spatial.range_join(balls(spark, sf_dir, WIDE), NEAR).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
-@query()
+@query(
+    "WITH RECURSIVE g AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), t AS (SELECT a AS u, b AS v FROM g UNION SELECT b, a FROM g), l AS (SELECT DISTINCT u AS node, u AS c FROM t UNION SELECT t.v, l.c FROM l JOIN t ON t.u = l.node WHERE l.c < t.v), "
+    "n AS (SELECT node, min(c) AS component FROM l GROUP BY node), e AS (SELECT component, count(*) AS n_edges FROM g JOIN n ON node = a GROUP BY 1) SELECT component, count(*) AS n_nodes, any_value(n_edges) AS n_edges, any_value(n_edges) - count(*) + 1 AS rank FROM n JOIN e USING (component) GROUP BY component"
+)
 def bipartite_cycle_rank(spark, sf_dir):
     spatial_checkpoints(spark)
     l = table(spark, sf_dir, "lineitem")
@@ -294,3 +298,29 @@ def alpha_closure_issues(spark, sf_dir):
     """No rows: every simplex is there no earlier than its faces."""
     b = balls(spark, sf_dir, WIDE)
     return network.closure_issues(network.alpha_filtration(b, verts(spark, sf_dir, "pow")))
+
+
+@query()
+def cell_neighbor_analysis(spark, sf_dir):
+    b = balls(spark, sf_dir, WIDE)
+    return r6(power_cells.cell_neighbors(power_cells.power_cells(b, "pow", MAX_VERT), b))
+
+
+@query()
+def group_summary(spark, sf_dir):
+    """Each chain's cells as a group: volume, mass, centre, packing and boundary."""
+    b = balls(spark, sf_dir, WIDE).withColumn("mass", F.col("rad") * F.col("rad") * F.col("rad"))
+    members = b.select(F.col("chain").alias("group_id"), "ball_id")
+    return r6(power_cells.group_summary(power_cells.power_cells(b.drop("chain", "res_seq"), "pow", MAX_VERT).checkpoint(), b.drop("chain", "res_seq"), members, "mass"))
+
+
+@query(
+    f"WITH {base()}, {PAIRS}, k AS (SELECT a_id, b_id, 1 / ((d + a_rad - b_rad) / 2) - 1 / ((d - a_rad + b_rad) / 2) AS k FROM p WHERE gap <= 1.0 AND d > abs(a_rad - b_rad) + 1e-3) SELECT a_id, b_id, round(k / 2, 6) + 0.0 AS mean, round(k * k / 4, 6) AS gauss FROM k"
+)
+def bisector_curvature(spark, sf_dir):
+    """Mean and Gaussian curvature of the surface between two balls where it cuts the line of their centres."""
+    p = spatial.range_join(balls(spark, sf_dir), GAP).where("d > abs(a_rad - b_rad) + 1e-3")
+    share = (F.col("d") + F.col("a_rad") - F.col("b_rad")) / 2 / F.col("d")
+    a, b = G.point("a"), G.point("b")
+    gradient, hessian = curvature.bisector(tuple(x + (y - x) * share for x, y in zip(a, b, strict=True)), a, b)
+    return r6(p.select("a_id", "b_id", curvature.mean_curvature(gradient, hessian).alias("mean"), curvature.gaussian_curvature(gradient, hessian).alias("gauss")))

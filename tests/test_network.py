@@ -5,6 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from cellspan.functions import curvature
+from cellspan.functions import geometry as G
 from cellspan.operators import graphs, network, power_cells, spatial
 from cellspan.sources import balls as source
 
@@ -90,6 +92,37 @@ def test_volume_of_a_cell_by_points(spark, checkpoints):
         assert np.allclose(spots[owner == i].mean(0), [got[i].cx, got[i].cy, got[i].cz], atol=0.1)
 
 
+def test_curvature_of_a_cube_and_of_closed_cells():
+    grid = np.array([[x, y, z] for x in range(3) for y in range(3) for z in range(3)], float)
+    other = [k for k in range(27) if k != 13]
+    cube = power_cells.solve_cell(grid[13], 0.0, grid[other], np.zeros(26), 40.0, 1e9, 0.0)
+    assert np.allclose([cube["volume"], cube["area"], cube["mean_curv"], cube["gauss_curv"]], [1, 6, 3 * np.pi, 4 * np.pi])
+    at, rad = some_balls(40, 4)
+    for i in range(40):
+        other = [k for k in range(40) if k != i]
+        got = power_cells.solve_cell(at[i], rad[i] ** 2, at[other], rad[other] ** 2, 40.0, 1e9, 1.0)
+        assert not got["bounded"] or abs(got["gauss_curv"] - 4 * np.pi) < 1e-6
+
+
+def test_curvature_of_bisectors_by_differences(spark):
+    """The trace of the shape operator by finite differences of the unit normal."""
+    a, b, p = np.array([0.0, 0, 0]), np.array([4.0, 1, 0]), np.array([1.5, 1.0, 0.7])
+    row = spark.createDataFrame([(*p.tolist(), *a.tolist(), *b.tolist())], ", ".join(f"{n}_{c} double" for n in "pab" for c in "xyz"))
+    g, h = curvature.bisector(G.point("p"), G.point("a"), G.point("b"))
+    mean, gauss = row.select(curvature.mean_curvature(g, h), curvature.gaussian_curvature(g, h)).first()
+
+    def normal(x):
+        u, v = (x - a) / np.linalg.norm(x - a), (x - b) / np.linalg.norm(x - b)
+        return (u - v) / np.linalg.norm(u - v)
+
+    step = 1e-5
+    jac = np.stack([(normal(p + step * e) - normal(p - step * e)) / (2 * step) for e in np.eye(3)], 1)
+    n = normal(p)
+    basis = np.linalg.svd(n[None])[2][1:]
+    shape = basis @ jac @ basis.T
+    assert abs(mean - np.trace(shape) / 2) < 1e-6 and abs(gauss - np.linalg.det(shape)) < 1e-6
+
+
 def test_ends_of_edges_are_paired(spark):
     verts = [(0, 1, 2, k, float(x), 0.0, 0.0, 1.0) for k, x in ((3, 0), (4, 1), (5, 10), (6, 12))] + [(0, 1, 7, 8, 0.0, 0.0, 0.0, 1.0)]
     rows = network.edges(spark.createDataFrame(verts, "b0 long, b1 long, b2 long, b3 long, x double, y double, z double, rad double")).collect()
