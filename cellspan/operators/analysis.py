@@ -207,13 +207,13 @@ def followers(df: DataFrame, key: str, order: str, values: list[str], n: int) ->
 
 
 def top_by_each(df: DataFrame, keys: list[str], scores: list[str], n: int, id_col: str) -> DataFrame:
-    """(keys, id, by): the n rows of each key that are largest by any of the scores, with the scores they are there for."""
+    """(keys, id, scores): the n rows of each key that are largest by any of the scores, with the scores they are there for."""
     picks = None
     for c in scores:
         place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(c), id_col))
         part = df.where(F.col(c).isNotNull()).withColumn("__place", place).where(F.col("__place") <= n).select(*keys, id_col, F.lit(c).alias("c"))
         picks = part if picks is None else picks.union(part)
-    return picks.groupBy(*keys, id_col).agg(F.sort_array(F.collect_set("c")).alias("by"))
+    return picks.groupBy(*keys, id_col).agg(F.sort_array(F.collect_set("c")).alias("scores"))
 
 
 def unique_points(points: DataFrame, decimals: int, id_col: str) -> DataFrame:

@@ -112,7 +112,7 @@ def chain_map(a: DataFrame, b: DataFrame, identity: list[str]) -> DataFrame:
 
 
 def match_atoms(a: DataFrame, b: DataFrame, identity: list[str], near: DataFrame | None = None) -> DataFrame:
-    """(ball_id, other, by) for every atom of a: by the chain and identity (exact), by identity alone where that is one atom of
+    """(ball_id, other, matched_by) for every atom of a: by the chain and identity (exact), by identity alone where that is one atom of
     b (relaxed), by place, near(ball_id, other, d) being candidates (nearest), else null."""
     exact = a.join(b.select(F.col("ball_id").alias("other"), "chain", *identity), ["chain", *identity]).groupBy("ball_id").agg(F.min("other").alias("exact"))
     alone = b.groupBy(*identity).agg(F.count("*").alias("n"), F.min("ball_id").alias("relaxed")).where("n = 1").drop("n")
@@ -122,7 +122,7 @@ def match_atoms(a: DataFrame, b: DataFrame, identity: list[str], near: DataFrame
     else:
         out = out.withColumn("nearest", F.lit(None).cast("long"))
     by = F.when(F.col("exact").isNotNull(), "exact").when(F.col("relaxed").isNotNull(), "relaxed").when(F.col("nearest").isNotNull(), "nearest")
-    return out.select("ball_id", F.coalesce("exact", "relaxed", "nearest").alias("other"), by.alias("by"))
+    return out.select("ball_id", F.coalesce("exact", "relaxed", "nearest").alias("other"), by.alias("matched_by"))
 
 
 def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def chain_map_inference(spark, sf_dir):
 
 @query(
     f"WITH {ATOMS}, {OTHER}, e AS (SELECT a.ball_id, min(o.ball_id) AS other FROM a JOIN o USING (chain, res_seq, name) GROUP BY 1), u AS (SELECT res_seq, name, min(ball_id) AS other FROM o GROUP BY 1, 2 HAVING count(*) = 1) "
-    "SELECT a.ball_id, coalesce(e.other, u.other) AS other, CASE WHEN e.other IS NOT NULL THEN 'exact' WHEN u.other IS NOT NULL THEN 'relaxed' END AS by FROM a LEFT JOIN e USING (ball_id) LEFT JOIN u ON u.res_seq = a.res_seq AND u.name = a.name"
+    "SELECT a.ball_id, coalesce(e.other, u.other) AS other, CASE WHEN e.other IS NOT NULL THEN 'exact' WHEN u.other IS NOT NULL THEN 'relaxed' END AS matched_by FROM a LEFT JOIN e USING (ball_id) LEFT JOIN u ON u.res_seq = a.res_seq AND u.name = a.name"
 )
 def atom_identity_match(spark, sf_dir):
     return M.match_atoms(atoms(spark, sf_dir), _other(spark, sf_dir), ["res_seq", "name"])
@@ -178,7 +178,7 @@ def atom_identity_match(spark, sf_dir):
 
 @query(
     f"WITH {ATOMS}, n AS (SELECT a.ball_id, arg_min(c.ball_id, sqrt((a.x - c.x - 0.01) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2)) AS other FROM a JOIN a c ON sqrt((a.x - c.x - 0.01) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2) <= 0.05 GROUP BY 1) "
-    "SELECT a.ball_id, n.other, CASE WHEN n.other IS NOT NULL THEN 'nearest' END AS by FROM a LEFT JOIN n USING (ball_id)"
+    "SELECT a.ball_id, n.other, CASE WHEN n.other IS NOT NULL THEN 'nearest' END AS matched_by FROM a LEFT JOIN n USING (ball_id)"
 )
 def log_system_map(spark, sf_dir):
     """Atoms whose names say nothing, found again by their places, which are off by a little."""

@@ -163,12 +163,12 @@ def residue_rollover(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT l_suppkey, l_orderkey, round(sum(l_extendedprice), 2) AS price, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL), r AS (SELECT l_suppkey, l_orderkey, 'price' AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY price DESC, l_orderkey) AS k FROM s "
-    "UNION ALL SELECT l_suppkey, l_orderkey, 'qty', row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, l_orderkey) FROM s) SELECT l_suppkey, l_orderkey, string_agg(c, ',' ORDER BY c) AS by FROM r WHERE k <= 3 GROUP BY ALL"
+    "UNION ALL SELECT l_suppkey, l_orderkey, 'qty', row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, l_orderkey) FROM s) SELECT l_suppkey, l_orderkey, string_agg(c, ',' ORDER BY c) AS scores FROM r WHERE k <= 3 GROUP BY ALL"
 )
 def residue_top_candidates(spark, sf_dir):
     """The three largest of each supplier by either score."""
     s = items(spark, sf_dir).groupBy("l_suppkey", "l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.sum("l_quantity"), 2).alias("qty"))
-    return A.top_by_each(s, ["l_suppkey"], ["price", "qty"], 3, "l_orderkey").withColumn("by", F.array_join("by", ","))
+    return A.top_by_each(s, ["l_suppkey"], ["price", "qty"], 3, "l_orderkey").withColumn("scores", F.array_join("scores", ","))
 
 
 @query(f"WITH {base()} SELECT round(x, 0) + 0.0 AS x, round(y, 0) + 0.0 AS y, round(z, 0) + 0.0 AS z, min(ball_id) AS ball_id, count(*) AS n FROM b GROUP BY 1, 2, 3")
