@@ -45,13 +45,16 @@ def mix_sources(
     Running sums never pass through one task: they are taken in hash ranges of a source (grain of them, so a source with
     a third of all rows is split), and the ranges' totals, at most grain a source, are added up in front. The cut is
     found the same way: fair queueing gives every stretch of virtual time about the same number of words, so grain
-    stretches a unit of time are an even range partitioning; only the one stretch in which the total is reached is sorted.
+    stretches a unit of time are an even range partitioning. The one stretch in which the total is reached is parted into
+    grain once more, and only the part in which it is reached is sorted.
 
-    Null text: size 0, never taken. Null source: one more source, the last. Null id: shuffled as an empty one. Rows with
+    Null text: size 0, never taken. Null source: one more source, the last. Null id: shuffled by the text. Rows with
     the same id are ordered by size and text hash; rows alike in all these are interchangeable. Reruns agree. Other
     columns are not read. An empty table, or one without a word, gives rows with target 0 and taken 0 (or no rows)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # rows without an id are dealt by their text, so that they do not all share a place
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own))
     items = materialize(docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(source_col).alias("source"),
         F.size(words(F.col(text_col))).cast("long").alias("size"), key.alias("key"),
@@ -84,8 +87,15 @@ def mix_sources(
         copies = F.when(F.col("size") > 0, F.lit(max_repeats)).otherwise(0)
         return queued.select(F.col("id").alias(id_col), "th", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
     edge = many.where(stretch(F.col("turn")) == cut["at"]).withColumn("time", finish(F.col("turn")))
+    # the stretch itself is parted once more, so that what is sorted is a share of grain ** -2 of all
+    fine = F.floor((F.col("time") * grain - cut["at"]) * grain).cast("long")
+    sums = edge.groupBy(fine.alias("fine")).agg(F.sum("size").alias("size")).select("fine", F.sum("size").over(W.orderBy("fine").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), "size")
+    last = sums.where(F.col("upto") + cut["before"] > cut["total"]).agg(F.min_by(F.struct("fine", (F.col("upto") - F.col("size")).alias("ahead")), "fine").alias("c")).first()["c"]
+    surely = edge.where(fine < last["fine"])
+    edge = edge.where(fine == last["fine"])
     in_order = W.orderBy("time", F.col("source").isNull(), "source", "key", F.col("id").isNull(), "id", "size", "th", "turn").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("sum", F.sum("size").over(in_order) + cut["before"]).where(F.col("sum") <= cut["total"])
+    edge = edge.withColumn("sum", F.sum("size").over(in_order) + cut["before"] + last["ahead"]).where(F.col("sum") <= cut["total"])
+    edge = edge.drop("sum").union(surely)
     # of rows alike in id, text and source, `through` tells which is which
     edge = edge.groupBy(F.col("id").alias("e_id"), F.col("th").alias("e_th"), F.col("source").alias("e_source"), F.col("through").alias("e_through")).agg(F.count("*").alias("more"))
     sure = sum((F.when(stretch(F.lit(i)) < cut["at"], 1).otherwise(0) for i in range(max_repeats)), F.lit(0))
