@@ -132,12 +132,14 @@ def power_cells(balls: DataFrame, scheme: str, max_vert: float, start: float = 0
 
     def run(batches: Iterator[pa.RecordBatch], reach: float, last: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                near = r["near"] or []
-                ids = np.array([n["id"] for n in near], np.int64)
-                at = np.array([(n["x"], n["y"], n["z"]) for n in near], float).reshape(-1, 3)
-                weights = np.zeros(len(near)) if flat else np.array([n["rad"] for n in near], float) ** 2
+            rows, near = [], b.column(b.schema.get_field_index("near"))
+            cuts, values = near.offsets.to_numpy(), near.values
+            every_id, every_rad = values.field("id").to_numpy(zero_copy_only=False), values.field("rad").to_numpy(zero_copy_only=False)
+            every_at = np.column_stack([values.field(c).to_numpy(zero_copy_only=False) for c in "xyz"])
+            for k, r in enumerate(b.select(["ball_id", "x", "y", "z", "rad"]).to_pylist()):
+                part = slice(cuts[k], cuts[k + 1])
+                ids, at = every_id[part], every_at[part]
+                weights = np.zeros(len(ids)) if flat else every_rad[part] ** 2
                 got = solve_cell(np.array([r["x"], r["y"], r["z"]]), 0.0 if flat else r["rad"] ** 2, at, weights, half, reach, most)
                 sound = (got["planes"] >= 0).all(1) & (got["rad"] <= max_vert**2)
                 rows.append({
