@@ -169,23 +169,33 @@ def perimeters(verts: DataFrame) -> DataFrame:
     one = F.array(*[F.struct(F.col(ids[i]).alias("f0"), F.col(ids[j]).alias("f1")) for i, j in pick])
     rows = verts.select(*ids, F.explode(one).alias("f")).select("f.f0", "f.f1", *ids)
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        f0, f1 = int(group["f0"].iloc[0]), int(group["f1"].iloc[0])
-        corners = sorted({tuple(map(int, r)) for r in group[list(ids)].itertuples(index=False)})
+    def walk(corners: list[tuple]) -> list[tuple]:
+        f0, f1 = corners[0][:2]
+        four = sorted({c[2:] for c in corners})
         by_third: dict[int, list] = {}
-        for v in corners:
+        for v in four:
             for x in set(v) - {f0, f1}:
                 by_third.setdefault(x, []).append(v)
-        loop = []
-        if len(corners) > 2 and all(len(x) == 2 for x in by_third.values()):
-            near = {v: sorted(w for x in set(v) - {f0, f1} for w in by_third[x] if w != v) for v in corners}
-            loop, now = [corners[0]], near[corners[0]][0]
-            while now != corners[0]:
-                loop.append(now)
-                now = next(w for w in near[now] if w != loop[-2])
-        return pd.DataFrame({"f0": [f0], "f1": [f1], "loop": [[list(v) for v in loop] if len(loop) == len(corners) else None]})
-
-    return rows.groupBy("f0", "f1").applyInPandas(walk, "f0 long, f1 long, loop array<array<long>>").where("loop IS NOT NULL")
+        if len(four) < 3 or any(len(x) != 2 for x in by_third.values()):
+            return []
+        near = {v: sorted(w for x in set(v) - {f0, f1} for w in by_third[x] if w != v) for v in four}
+        loop, now = [four[0]], near[four[0]][0]
+        while now != four[0]:
+            loop.append(now)
+            now = next(w for w in near[now] if w != loop[-2])
+        return loop if len(loop) == len(four) else []
+
+    def several(group: pd.DataFrame) -> pd.DataFrame:
+        faces_: dict[tuple, list] = {}
+        for r in group[["f0", "f1", *ids]].itertuples(index=False):
+            faces_.setdefault((int(r[0]), int(r[1])), []).append(tuple(map(int, r)))
+        done = [(f0, f1, [list(v) for v in loop]) for (f0, f1), c in faces_.items() if (loop := walk(c))]
+        return pd.DataFrame(done, columns=["f0", "f1", "loop"])
+
+    # whole faces by hash, some hundreds a group, so that a face is not a call of its own
+    groups = rows.count() // 5000 + 1
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("f0", "f1"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandas(several, "f0 long, f1 long, loop array<array<long>>")
 
 
 def insertion_points(values: DataFrame, asked: DataFrame, value: str) -> DataFrame:

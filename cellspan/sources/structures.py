@@ -175,7 +175,7 @@ def txt_balls(lines: DataFrame) -> DataFrame:
     return out.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND rad IS NOT NULL")
 
 
-def voronota_vertices(lines: DataFrame) -> DataFrame:
+def tangent_vertices(lines: DataFrame) -> DataFrame:
     """b0 .. b3 (in order), x, y, z, rad of lines of four numbers of balls and a sphere."""
     p = lines.withColumn("p", F.split(F.trim("value"), r"\s+")).where(F.size("p") >= 8)
     b = F.sort_array(F.array(*[F.expr(f"try_cast(p[{k}] AS bigint)") for k in range(4)]))

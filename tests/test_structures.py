@@ -58,7 +58,7 @@ def test_index_files_tables_and_logs(spark, tmp_path):
     rows = R.read_lines(spark, put(tmp_path, "a.txt", "# x y z r\n1, 2, 3, 0.5\n4 5 6 0.7\nbad line here now\n"))
     assert [(r.x, r.rad) for r in R.txt_balls(rows).orderBy("x").collect()] == [(1.0, 0.5), (4.0, 0.7)]
     rows = R.read_lines(spark, put(tmp_path, "a.vta", "4 1 3 2 0.5 0.6 0.7 1.5\nnothing\n"))
-    assert [tuple(r) for r in R.voronota_vertices(rows).collect()] == [(1, 2, 3, 4, 0.5, 0.6, 0.7, 1.5)]
+    assert [tuple(r) for r in R.tangent_vertices(rows).collect()] == [(1, 2, 3, 4, 0.5, 0.6, 0.7, 1.5)]
     rows = R.read_lines(spark, put(tmp_path, "a.csv", "Atoms\nIndex, Cell  Volume\n0,1.5\n1,\n\nsurfaces,,\nA,B,Area\n1,2\n"))
     got = {(r.table, r.row): r.fields for r in R.log_tables(rows, ["atoms", "surfaces"]).collect()}
     assert got == {("atoms", 1): {"index": "0", "cell_volume": "1.5"}, ("atoms", 2): {"index": "1", "cell_volume": None}, ("surfaces", 1): {"a": "1", "b": "2", "area": None}}
