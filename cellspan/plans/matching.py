@@ -38,6 +38,15 @@ def vertex_edge_join(spark, sf_dir):
     return M.edge_counts(keys(spark, sf_dir))
 
 
+@query(
+    f"WITH {KEYS}, {TRIPLES} SELECT 0 AS dim, count(DISTINCT x) AS n FROM (SELECT unnest([b0, b1, b2, b3]) AS x FROM v) UNION ALL SELECT 1, count(DISTINCT f0 * 1000 + f1) FROM (SELECT unnest([b0, b0, b0, b1, b1, b2]) AS f0, unnest([b1, b2, b3, b2, b3, b3]) AS f1 FROM v) "
+    "UNION ALL SELECT 2, count(DISTINCT f0 * 1000000 + f1 * 1000 + f2) FROM t UNION ALL SELECT 3, count(*) FROM v"
+)
+def key_dual_counts(spark, sf_dir):
+    """Simplices of the dual of given vertices, by dimension."""
+    return network.dual_counts(keys(spark, sf_dir))
+
+
 @query(f"WITH {KEYS}, {TRIPLES}, e AS (SELECT DISTINCT f0, f1, f2 FROM t), b AS (SELECT unnest([f0, f1, f2]) AS ball_id, f0, f1, f2 FROM e) SELECT ball_id, count(*) AS n, min(f0 * 1000000 + f1 * 1000 + f2) AS first FROM b GROUP BY 1")
 def reverse_adjacency_edges(spark, sf_dir):
     a = M.adjacency(M.edge_counts(keys(spark, sf_dir)), ["f0", "f1", "f2"])

@@ -222,7 +222,16 @@ def crystal_region(spark, sf_dir):
     return balls(spark, sf_dir).select("ball_id", S.in_region(middle, planes).alias("inside"), S.in_region(middle, planes, 1.25).alias("inside_scaled"))
 
 
-@query()
+_each = lambda text: ", ".join(text.format(c=c) for c in "xyz")
+SHELL = (
+    f"{base()}, o AS (SELECT {_each('min({c} - rad) - 2.8::DOUBLE AS {c}0, max({c} + rad) + 2.8::DOUBLE AS {c}1')} FROM b), n AS (SELECT *, {_each('greatest(2, ceil(({c}1 - {c}0) / 2.5::DOUBLE)::INTEGER + 1) AS n{c}')} FROM o), "
+    "g AS (SELECT *, unnest(range(nx)) AS kx FROM n), h AS (SELECT *, unnest(range(ny)) AS ky FROM g), i AS (SELECT *, unnest(range(nz)) AS kz FROM h), "
+    f"p AS (SELECT {_each('round({c}0 + k{c} * ({c}1 - {c}0) / (n{c} - 1), 10) AS {c}, ({c}0 + {c}1) / 2 AS m{c}')} FROM i WHERE kx IN (0, nx - 1) OR ky IN (0, ny - 1) OR kz IN (0, nz - 1)), "
+    "q AS (SELECT *, 0.05::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * sin(x * 12.9898::DOUBLE + y * 78.233::DOUBLE + z * 37.719::DOUBLE)) / sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS w FROM p)"
+)
+
+
+@query(f"WITH {SHELL} SELECT {_each('round({c} + ({c} - m{c}) * w, 6) + 0.0 AS {c}')}, 1.5::DOUBLE AS rad FROM q")
 def virtual_shell(spark, sf_dir):
     return r6(S.virtual_shell(balls(spark, sf_dir)).drop("shell_id"))
 
