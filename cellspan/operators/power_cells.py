@@ -167,9 +167,10 @@ def power_cells(balls: DataFrame, scheme: str, max_vert: float, start: float = 0
         solved = todo.join(near, "ball_id", "left").mapInArrow(lambda batches, r=reach, e=last: run(batches, r, e), SOLVED).checkpoint()
         done = solved.where("safe").drop("safe")
         found = done if found is None else found.union(done)
-        todo = todo.join(solved.where("not safe").select("ball_id"), "ball_id", "left_semi").checkpoint()
-        if last or todo.isEmpty():
+        still = solved.where("not safe").select("ball_id")
+        if last or still.isEmpty():
             return found
+        todo = balls.select("ball_id", "x", "y", "z", "rad").join(still, "ball_id", "left_semi")
         reach = min(3 * reach, end)
 
 
