@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm import backoff, decontaminate, factorisation, html_text, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity
+from cellspan.llm import backoff, cover_tree, decontaminate, factorisation, html_text, line_dedup, mixing, periodic_runs, quality_rules, simhash, token_counts, toxicity, vector_codes
 from cellspan.llm.common import table
 
 
@@ -58,6 +58,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_backoff, op3_line_dedup, op4_mixing, op5_quality_rules, op6_factorisation, op7_toxicity, op8_decontaminate, op9_token_counts, op10_html_text, pipeline,
+    op1_simhash, op2_backoff, op3_line_dedup, op4_mixing, op5_quality_rules, op6_factorisation, op7_toxicity, op8_decontaminate, op9_token_counts, op10_html_text,
+    op11_cover_tree, op12_delta_lloyd, op13_periodic_runs, pipeline,
 )}
 
 LINE_DEDUP_SQL = """
@@ -122,4 +136,22 @@ SELECT n.doc_id, n.n_words::BIGINT AS n_words, round(coalesce(log, 0.0), 4) + 0.
 FROM n LEFT JOIN t ON t.doc_id = n.doc_id
 """
 
-SQL = {"op2_backoff": BACKOFF_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL}
+RUNS_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, o, h, len(o) AS n, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM t),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE o END AS w FROM a),
+e AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m),
+s AS (SELECT doc_id, q, min(i) AS i, count(*) + q AS l FROM g GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, i, l, min(q) AS q FROM s GROUP BY doc_id, i, l),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(i, l, q), struct_pack(l := -l, i := i, q := q)) AS best, string_agg(i || ',' || l || ',' || q || chr(10), '' ORDER BY i, q) AS listed FROM r GROUP BY doc_id),
+z AS (SELECT DISTINCT doc_id, unnest(range(i + q, i + l)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN z USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.i::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+SQL = {"op2_backoff": BACKOFF_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL, "op11_cover_tree": cover_tree.SQL, "op12_delta_lloyd": vector_codes.encode_sql(), "op13_periodic_runs": RUNS_SQL}
