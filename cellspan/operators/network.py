@@ -1,5 +1,4 @@
-"""Voronoi networks of balls: vertices by a candidate join, a solve in Columns and an anti-join; edges, surfaces and duals
-by exploding their keys."""
+"""Voronoi networks of balls: vertices from whole cells; edges, surfaces and duals by exploding their keys."""
 
 from __future__ import annotations
 
@@ -11,22 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
+from cellspan.operators.curved_cells import cell_quads, curved_cells
 from cellspan.operators.power_cells import cell_vertices, power_cells
-from cellspan.operators.spatial import around, cell, named, pairs_within
+from cellspan.operators.spatial import named
 
 SCHEMES = ("prm", "pow", "aw")
 
 
-def quads(balls: DataFrame, reach: float) -> DataFrame:
-    """Four balls, ids ascending as b0 .. b3, of which any two have centres at most reach apart. Each ball's later neighbours
-    are one array, and what two and three balls have in common is intersected; so only whole fours become rows."""
-    pairs = pairs_within(balls, reach).select(F.col("a_id").alias("b0"), F.col("b_id").alias("b1")).checkpoint()
-    later = lambda c: pairs.groupBy(F.col("b0").alias(c)).agg(F.collect_list("b1").alias(f"n_{c}"))
-    both = pairs.join(later("b0"), "b0").join(later("b1"), "b1").select("b0", "b1", F.array_intersect("n_b0", "n_b1").alias("common"))
-    three = both.select("b0", "b1", "common", F.explode("common").alias("b2")).join(later("b2"), "b2")
-    return three.select("b0", "b1", "b2", F.explode(F.array_intersect("common", "n_b2")).alias("b3"))
-
-
 def solve(four: DataFrame, scheme: str) -> DataFrame:
     """Adds (x, y, z, rad) of the point at equal distance of the four balls p0 .. p3: plain distance (prm), power, whose
     value is rad (pow), or distance to the surfaces (aw, up to two rows). Balls in one plane give no row."""
@@ -62,15 +52,16 @@ def solve(four: DataFrame, scheme: str) -> DataFrame:
     return four.withColumns({k: F.col(f"c{k}") + F.col("rad") * F.col(f"s{k}") for k in "xyz"})
 
 
-def vertices(balls: DataFrame, scheme: str, max_vert: float, slack: float = 1e-9) -> DataFrame:
+def vertices(balls: DataFrame, scheme: str, max_vert: float) -> DataFrame:
     """(b0, b1, b2, b3, x, y, z, rad): the points at equal distance of four balls to which no other ball is nearer, the
     touching sphere (for pow, the sphere whose radius is the square root of rad) having at most max_vert as its radius."""
     if scheme not in SCHEMES:
         raise ValueError(f"scheme {scheme} is none of {', '.join(SCHEMES)}")
     if scheme == "aw":
-        return curved_vertices(balls, max_vert, slack)
-    limit = max_vert**2 if scheme == "pow" else max_vert
-    return located(balls, cell_vertices(power_cells(balls, scheme, max_vert)), scheme).where(F.col("rad") <= limit).select("b0", "b1", "b2", "b3", "x", "y", "z", "rad")
+        return cell_quads(curved_cells(balls, max_vert))
+    flat = cell_vertices(power_cells(balls, scheme, max_vert))
+    rad = F.col("power") if scheme == "pow" else F.sqrt(F.greatest("power", F.lit(0.0)))
+    return flat.select("b0", "b1", "b2", "b3", "x", "y", "z", rad.alias("rad")).where(F.col("rad") <= (max_vert**2 if scheme == "pow" else max_vert))
 
 
 def located(balls: DataFrame, four: DataFrame, scheme: str) -> DataFrame:
@@ -80,19 +71,6 @@ def located(balls: DataFrame, four: DataFrame, scheme: str) -> DataFrame:
     return solve(four, scheme)
 
 
-def curved_vertices(balls: DataFrame, max_vert: float, slack: float) -> DataFrame:
-    """The vertices by distance to the surfaces. Four such balls' centres are within 2 * (max_vert + largest radius); so
-    candidates come from a grid join of that reach, and other balls that might be nearer from one around the point."""
-    largest = balls.agg(F.max("rad")).first()[0] or 0.0
-    halo = max_vert + largest
-    found = located(balls, quads(balls, 2 * halo), "aw").where(F.col("rad") <= max_vert).select("b0", "b1", "b2", "b3", "x", "y", "z", "rad").checkpoint()
-    at = found.select("*", *[F.col(k).alias(f"v_{k}") for k in "xyz"])
-    near = around(at, "v", halo).join(named(balls, "q").select("*", *cell("q", halo)), ["cx", "cy", "cz"])
-    near = near.where("q_id <> b0 AND q_id <> b1 AND q_id <> b2 AND q_id <> b3")
-    worse = near.where(G.distance(G.point("v"), G.point("q")) - F.col("q_rad") < F.col("rad") - slack).select("b0", "b1", "b2", "b3", "rad").distinct()
-    return found.join(worse, ["b0", "b1", "b2", "b3", "rad"], "left_anti").select(*found.columns)
-
-
 def faces(verts: DataFrame, n: int) -> DataFrame:
     """Each vertex's keys of n of its four balls: columns f0 .. and the vertex's b0 .. b3."""
     keys = F.array(*[F.array(*[F.col(f"b{k}") for k in pick]) for pick in combinations(range(4), n)])

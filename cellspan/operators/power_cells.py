@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators.spatial import around, cell, named
+from cellspan.operators.spatial import gathered, named, pieces
 
+#: The most that is added to a weight to part ties: far above rounding, far below what six places show.
+NUDGE = 1e-8
 CUBE = np.array([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]], float)
 CORNERS = np.array([[x, y, z] for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], float)
 CORNER_PLANES = np.array([[0 if x > 0 else 1, 2 if y > 0 else 3, 4 if z > 0 else 5] for x, y, z in CORNERS])
 
 
-def clip(normals: np.ndarray, offsets: np.ndarray, half: float, slack: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+def clip(normals: np.ndarray, offsets: np.ndarray, half: float, slack: float = 1e-13) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (n, 3) of the part of a cube of half-width `half` around 0 with normals @ x <= offsets, and the three planes
     that meet in each: -6 .. -1 for the cube's sides, else places in normals. Planes should come nearest first."""
     at, planes = CORNERS * half, CORNER_PLANES - 6
@@ -75,9 +77,9 @@ def edge_curvature(at: np.ndarray, planes: np.ndarray, normals: np.ndarray) -> t
     return float((length * turn).sum() / 2), float((2 * np.pi - angles).sum())
 
 
-def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.ndarray, half: float, reach: float, most: float) -> dict:
+def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.ndarray, half: float, most: float) -> dict:
     """The power cell of a ball against others (weights are squared radii; zero for prm): its vertices' planes, its faces,
-    and whether a ball beyond reach, of weight `most` at most, could still cut it."""
+    its corners, and how far off (need) a ball of weight `most` can be that could still cut one of them."""
     d = at - centre
     length = np.linalg.norm(d, axis=1)
     real = length > 0
@@ -88,9 +90,9 @@ def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.nd
     v, planes = clip(normals[order], offsets[order], half)
     far = np.linalg.norm(v, axis=1)
     own = far**2 - weight
-    safe = bool((((reach - far) >= 0) & ((reach - far) ** 2 - most >= own)).all()) if len(v) else True
+    need = far + np.sqrt(np.maximum(own + most, 0.0))
     named = np.where(planes >= 0, np.append(order, 0)[np.maximum(planes, 0)], -1)
-    out = {"planes": named, "rad": own, "faces": [], "safe": safe, "empty": not len(v)}
+    out = {"planes": named, "rad": own, "faces": [], "at": centre + v, "need": need, "empty": not len(v)}
     out["bounded"] = bool(len(v)) and bool((planes >= 0).all())
     volume, area, moment = 0.0, 0.0, np.zeros(3)
     for k in np.unique(planes[planes >= 0]):
@@ -108,77 +110,82 @@ def solve_cell(centre: np.ndarray, weight: float, at: np.ndarray, weights: np.nd
 
 
 SOLVED = (
-    "ball_id long, safe boolean, bounded boolean, empty boolean, volume double, area double, mean_curv double, gauss_curv double, cx double, cy double, cz double, "
-    "quads array<array<long>>, faces array<struct<other: long, area: double, n_verts: int, whole: boolean>>"
+    "ball_id long, x double, y double, z double, rad double, reach double, need double, corners array<struct<x: double, y: double, z: double, power: double>>, bounded boolean, empty boolean, volume double, area double, mean_curv double, gauss_curv double, cx double, cy double, cz double, "
+    "quads array<struct<o: array<long>, x: double, y: double, z: double, power: double>>, faces array<struct<other: long, area: double, n_verts: int, whole: boolean>>"
 )
 
 
 def power_cells(balls: DataFrame, scheme: str, max_vert: float, start: float = 0.0) -> DataFrame:
     """A row for each ball: its cell cut off at a cube that holds every vertex of up to max_vert (radius of the touching
-    sphere, for pow the root of the power). quads are the vertices' other three balls, by id; bounded: the cube cuts
-    nothing; empty: the ball has no cell, as others cover it.
+    sphere, for pow the root of the power). quads are the vertices' other three balls, by id, with their place and power;
+    bounded: the cube cuts nothing; empty: the ball has no cell, as others cover it.
 
-    A round joins the open balls with those within reach, by grid cells of that size, and cuts their cells, each from its
-    own neighbours; the balls whose cell might be cut by one further off go on with three times the reach. Inner cells close in
-    the first rounds whatever max_vert is; only those at the rim look as far as max_vert asks for."""
+    Weights are made a little larger, each by its own amount from its ball's id, so that no five balls have the same power in one
+    place: all cells see the same weights, so they agree on the vertices of balls on a lattice, where eight would meet in one.
+
+    A round joins the open balls with those in reach, by grid cells, and cuts their cells, each from its own neighbours. A cell is
+    the hull of its corners, so in later rounds only balls that are nearer to one of them than its own ball is are sent, besides those
+    with a face. A ball goes on until no ball further off could cut a corner: with three times the reach, or what its
+    corners ask for if that is less. Inner cells close in the first rounds whatever max_vert is."""
     if scheme not in ("prm", "pow"):
         raise ValueError(f"cells of scheme {scheme} are not flat")
+    share = F.pmod(F.xxhash64("ball_id"), F.lit(1 << 20)) / float(1 << 20)
+    weight = NUDGE * share if scheme == "prm" else F.col("rad") * F.col("rad") + NUDGE * share
+    balls = balls.select("ball_id", "x", "y", "z", "rad")
     count, largest = balls.agg(F.count("*"), F.coalesce(F.max("rad"), F.lit(0.0))).first()
-    most = largest**2 if scheme == "pow" else 0.0
+    most = (largest**2 if scheme == "pow" else 0.0) + NUDGE
     half = (max_vert**2 + most) ** 0.5
     end = 2 * 3**0.5 * half + 2 * largest
     reach = min(start or 4 * largest + 1e-6, end)
-    flat = scheme == "prm"
+    # the root of the weight stands for the radius from here on
+    own = balls.withColumn("rad", F.sqrt(weight))
 
-    def run(batches: Iterator[pa.RecordBatch], reach: float, last: bool) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             rows, near = [], b.column(b.schema.get_field_index("near"))
-            cuts, values = near.offsets.to_numpy(), near.values
+            cuts, values = near.offsets.to_numpy() - near.offsets[0].as_py(), near.flatten()
             every_id, every_rad = values.field("id").to_numpy(zero_copy_only=False), values.field("rad").to_numpy(zero_copy_only=False)
             every_at = np.column_stack([values.field(c).to_numpy(zero_copy_only=False) for c in "xyz"])
-            for k, r in enumerate(b.select(["ball_id", "x", "y", "z", "rad"]).to_pylist()):
+            for k, r in enumerate(b.drop_columns(["near"]).to_pylist()):
                 part = slice(cuts[k], cuts[k + 1])
                 ids, at = every_id[part], every_at[part]
-                weights = np.zeros(len(ids)) if flat else every_rad[part] ** 2
-                got = solve_cell(np.array([r["x"], r["y"], r["z"]]), 0.0 if flat else r["rad"] ** 2, at, weights, half, reach, most)
+                got = solve_cell(np.array([r["x"], r["y"], r["z"]]), r["rad"] ** 2, at, every_rad[part] ** 2, half, most)
                 sound = (got["planes"] >= 0).all(1) & (got["rad"] <= max_vert**2)
-                rows.append({
-                    "ball_id": r["ball_id"], "safe": got["safe"] or last, "bounded": got["bounded"], "empty": got["empty"], "volume": got["volume"], "area": got["area"], "mean_curv": got["mean_curv"], "gauss_curv": got["gauss_curv"],
+                corner = lambda i: {"x": float(got["at"][i, 0]), "y": float(got["at"][i, 1]), "z": float(got["at"][i, 2]), "power": float(got["rad"][i])}  # noqa: B023, E731
+                rows.append(r | {
+                    "need": min(float(got["need"].max()), end) if len(got["need"]) else 0.0, "corners": [corner(i) for i in np.flatnonzero(got["need"] > r["reach"])],
+                    "bounded": got["bounded"], "empty": got["empty"], "volume": got["volume"], "area": got["area"], "mean_curv": got["mean_curv"], "gauss_curv": got["gauss_curv"],
                     **dict(zip(("cx", "cy", "cz"), got["centroid"] if got["centroid"] is not None else (None,) * 3, strict=True)),
-                    "quads": ids[got["planes"][sound]].tolist(),
+                    "quads": [{"o": ids[got["planes"][i]].tolist()} | corner(i) for i in np.flatnonzero(sound)],
                     "faces": [{"other": int(ids[k]), "area": a, "n_verts": n, "whole": w} for k, a, n, w in got["faces"]],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    place = [(c, pa.float64()) for c in ("x", "y", "z", "power")]
     arrow = pa.schema([
-        ("ball_id", pa.int64()), ("safe", pa.bool_()), ("bounded", pa.bool_()), ("empty", pa.bool_()), ("volume", pa.float64()), ("area", pa.float64()), ("mean_curv", pa.float64()), ("gauss_curv", pa.float64()),
-        *((c, pa.float64()) for c in ("cx", "cy", "cz")), ("quads", pa.list_(pa.list_(pa.int64()))),
-        ("faces", pa.list_(pa.struct([("other", pa.int64()), ("area", pa.float64()), ("n_verts", pa.int32()), ("whole", pa.bool_())]))),
+        ("ball_id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "z", "rad", "reach", "need")), ("corners", pa.list_(pa.struct(place))),
+        ("bounded", pa.bool_()), ("empty", pa.bool_()), *((c, pa.float64()) for c in ("volume", "area", "mean_curv", "gauss_curv", "cx", "cy", "cz")),
+        ("quads", pa.list_(pa.struct([("o", pa.list_(pa.int64())), *place]))), ("faces", pa.list_(pa.struct([("other", pa.int64()), ("area", pa.float64()), ("n_verts", pa.int32()), ("whole", pa.bool_())]))),
     ])
-    todo, found = balls.select("ball_id", "x", "y", "z", "rad"), None
-    other = named(balls, "q")
+    other, found = named(own, "q"), None
+    todo = own.withColumn("reach", F.lit(float(reach)))
     while True:
-        a = around(todo.select(F.col("ball_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in "xyz"]), "a", reach)
-        close = a.join(other.select("*", *cell("q", reach)), ["cx", "cy", "cz"]).where("a_id <> q_id")
-        d2 = sum(((F.col(f"a_{c}") - F.col(f"q_{c}")) * (F.col(f"a_{c}") - F.col(f"q_{c}")) for c in "xyz"), F.lit(0.0))
-        near = close.where(d2 <= reach * reach).groupBy(F.col("a_id").alias("ball_id"))
-        near = near.agg(F.collect_list(F.struct(F.col("q_id").alias("id"), *[F.col(f"q_{c}").alias(c) for c in ("x", "y", "z", "rad")])).alias("near"))
-        last = reach >= end or count < 2
-        solved = todo.join(near, "ball_id", "left").mapInArrow(lambda batches, r=reach, e=last: run(batches, r, e), SOLVED).checkpoint()
-        done = solved.where("safe").drop("safe")
+        solved = gathered(todo, other, reach).mapInArrow(run, SOLVED).checkpoint()
+        done = solved.where("need <= reach").drop("x", "y", "z", "rad", "reach", "need", "corners")
         found = done if found is None else found.union(done)
-        still = solved.where("not safe").select("ball_id")
-        if last or still.isEmpty():
+        further = F.least(F.col("need") * (1 + 1e-9), 3 * F.col("reach"))
+        todo = solved.where("need > reach").select("ball_id", "x", "y", "z", "rad", further.alias("reach"), F.col("reach").alias("inner"), F.col("faces.other").alias("known"), "corners")
+        reach = todo.agg(F.max("reach")).first()[0]
+        if reach is None:
             return found
-        todo = balls.select("ball_id", "x", "y", "z", "rad").join(still, "ball_id", "left_semi")
-        reach = min(3 * reach, end)
 
 
 def cell_vertices(cells: DataFrame) -> DataFrame:
-    """(b0, b1, b2, b3), ids ascending, of each vertex once; its four cells name it alike."""
-    q = cells.select("ball_id", F.explode("quads").alias("o"))
-    ids = q.select(F.sort_array(F.array_append("o", F.col("ball_id"))).alias("k"))
-    return ids.select(*[F.col("k")[i].alias(f"b{i}") for i in range(4)]).distinct()
+    """(b0, b1, b2, b3, x, y, z, power), ids ascending, of each vertex once, as the cell of its smallest id has it; all its
+    four cells name it alike."""
+    q = cells.select("ball_id", F.explode("quads").alias("q")).where(F.col("ball_id") < F.array_min("q.o"))
+    ids = F.sort_array(F.array_append("q.o", F.col("ball_id")))
+    return q.select(*[ids[i].alias(f"b{i}") for i in range(4)], "q.x", "q.y", "q.z", "q.power")
 
 
 def cell_faces(cells: DataFrame) -> DataFrame:

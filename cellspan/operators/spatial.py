@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,47 @@ def around(df: DataFrame, prefix: str, size: float | Column, reach: int = 1) ->
     return out.drop("ox", "oy", "oz", "sx", "sy", "sz")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 200, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches whose rows hold arrays, cut into runs of few rows and, but for a row that is longer by itself, few bytes."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
+
+
+def dealt(df: DataFrame, rows: int, key: str, each: int = 500) -> DataFrame:
+    """df dealt by key for work that is heavy for its bytes: so many partitions that each has about that many of the rows, and
+    every core at least one. Counts of bytes would put all of it into a few tasks."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * 4, -(-rows // each)), key)
+
+
+def gathered(todo: DataFrame, other: DataFrame, reach: float) -> DataFrame:
+    """todo's rows (ball_id, x, y, z, rad, reach), each with near, an array of the other balls (q_id ..) within its reach,
+    which is at most the given one. One shuffle by ball brings both together.
+
+    If todo has inner, known and corners (x, y, z, power), then of the balls beyond inner only those are taken to which one of
+    the corners has less power, and of those within it the known ids alone."""
+    more = [c for c in ("inner", "known", "corners") if c in todo.columns]
+    own = [c for c in todo.columns if c not in ("ball_id", *more)]
+    a = around(todo.select(F.col("ball_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "z", "reach", *more)]), "a", reach)
+    close = a.join(other.select("*", *cell("q", reach)), ["cx", "cy", "cz"]).where("a_id <> q_id")
+    d2 = sum(((F.col(f"a_{c}") - F.col(f"q_{c}")) * (F.col(f"a_{c}") - F.col(f"q_{c}")) for c in "xyz"), F.lit(0.0))
+    q = F.struct(F.col("q_id").alias("id"), *[F.col(f"q_{c}").alias(c) for c in ("x", "y", "z", "rad")])
+    close = close.where(d2 <= F.col("a_reach") * F.col("a_reach"))
+    if more:
+        power = lambda c: sum(((c[k] - F.col(f"q_{k}")) * (c[k] - F.col(f"q_{k}")) for k in "xyz"), -F.col("q_rad") * F.col("q_rad"))
+        cuts = F.when(d2 > F.col("a_inner") * F.col("a_inner"), F.exists("a_corners", lambda c: power(c) < c["power"] + 1e-9))
+        close = close.where(cuts.otherwise(F.array_contains("a_known", F.col("q_id"))))
+    rows = close.select(F.col("a_id").alias("ball_id"), q.alias("q"))
+    rows = rows.unionByName(todo.select("ball_id", F.struct(*own).alias("own")), allowMissingColumns=True)
+    both = dealt(rows, todo.count(), "ball_id").groupBy("ball_id").agg(F.first("own", ignorenulls=True).alias("own"), F.collect_list("q").alias("near"))
+    return both.select("ball_id", "own.*", "near")
+
+
 def pairs_within(balls: DataFrame, reach: float, *more: str) -> DataFrame:
     """Pairs a < b whose centres are at most reach apart, with their distance. An equi-join on grid cells of that size, so
     work is in proportion to the balls near each other; no ball meets those beyond its 27 cells."""

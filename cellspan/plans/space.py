@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from cellspan.functions import curvature
 from cellspan.functions import geometry as G
-from cellspan.operators import analysis, graphs, network, power_cells, spatial
+from cellspan.operators import analysis, curved_cells, curved_measures, graphs, network, power_cells, spatial
 from cellspan.sources.balls import from_vectors, table
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 #: Surfaces at most this far apart are neighbours; the wide scale parts the balls enough for a sparse network.
-#: Vertices of flat networks go up to a radius of 40; those by distance to curved surfaces, of which every four balls in reach
-#: are candidates, up to 1.4.
-GAP, NEAR, WIDE, MAX_VERT, MAX_CURVED = 1.0, 0.3, 60.0, 40.0, 1.4
+#: Vertices go up to a radius of 40.
+GAP, NEAR, WIDE, MAX_VERT = 1.0, 0.3, 60.0, 40.0
 
 
 def query(sql: str | None = None):
@@ -213,7 +212,7 @@ def bipartite_cycle_rank(spark, sf_dir):
 
 def verts(spark, sf_dir, scheme: str) -> DataFrame:
     """A scheme's vertices, kept: what follows reads them several times."""
-    return network.vertices(balls(spark, sf_dir, WIDE), scheme, MAX_CURVED if scheme == "aw" else MAX_VERT).checkpoint()
+    return network.vertices(balls(spark, sf_dir, WIDE), scheme, MAX_VERT).checkpoint()
 
 
 @query()
@@ -236,6 +235,48 @@ def doublet_mark(spark, sf_dir):
     return r6(network.mark_doublets(verts(spark, sf_dir, "aw")))
 
 
+def curved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Balls and their cells by distance to surfaces, kept."""
+    b = balls(spark, sf_dir, WIDE)
+    return b, curved_cells.curved_cells(b, MAX_VERT)
+
+
+@query()
+def aw_cells(spark, sf_dir):
+    """Status, vertices, edges and neighbours of every cell of the additively weighted network."""
+    cells = curved(spark, sf_dir)[1]
+    return cells.select("ball_id", "status", F.size("verts").alias("n_verts"), F.size("arcs").alias("n_edges"), F.size("faces").alias("n_neighbors"))
+
+
+@query()
+def aw_edges(spark, sf_dir):
+    """Every curved edge with its ends, length and integrals of curvature."""
+    b, cells = curved(spark, sf_dir)
+    found = curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)
+    return r6(found.select("b0", "b1", "b2", "end0", "end1", "closed", "length", "turning", "turning_sq"))
+
+
+@query()
+def aw_edge_curvature(spark, sf_dir):
+    """Mean and Gaussian curvature that each edge adds to each of its three cells."""
+    b, cells = curved(spark, sf_dir)
+    return r6(curved_measures.by_ball(curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)).drop("start"))
+
+
+@query()
+def aw_face_curvature(spark, sf_dir):
+    b, cells = curved(spark, sf_dir)
+    return r6(curved_measures.by_face(curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)))
+
+
+@query()
+def aw_gauss_bonnet(spark, sf_dir):
+    """Curvature of every cell's faces, edges and vertices: 4 pi in all for complete ones."""
+    b, cells = curved(spark, sf_dir)
+    integrals = curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)
+    return r6(curved_measures.gauss_bonnet(cells, integrals, curved_measures.vertex_defects(curved_cells.cell_quads(cells), b)))
+
+
 @query()
 def network_edges(spark, sf_dir):
     return network.edges(verts(spark, sf_dir, "pow"))
