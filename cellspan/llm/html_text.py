@@ -49,11 +49,11 @@ class Node:
     """kids holds texts (str) and Nodes in page order; mark is 2 where the element says that it is no part of an article,
     1 where one of its names has a part that says so."""
 
-    __slots__ = ("tag", "mark", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "marked", "density", "total")
+    __slots__ = ("tag", "mark", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "in_links", "marked", "density", "total")
 
     def __init__(self, tag: str, mark: int = 0, parent: Node | None = None):
         self.tag, self.mark, self.parent, self.kids = tag, mark, parent, []
-        self.chars = self.tags = self.link_chars = self.link_tags = self.marked = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.in_links = self.marked = 0
         self.density = self.total = 0.0
 
     def nodes(self) -> list[Node]:
@@ -81,10 +81,8 @@ def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
 
 
 def marks(attrs: dict[str, str]) -> int:
-    """3 for a hidden element, 2 for one of whose names all words that say something mark an aside, 1 for one that has
-    such a word among others, 0 else."""
-    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return 3
+    """2 for an element of whose names all words that say something mark an aside, 1 for one that has such a word among
+    others, 0 else. Hidden elements are judged like any other: what a page shows on request is still its text."""
     most = 0
     for name in " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs).split():
         parts = [w.lower() for w in WORDS.findall(name)]
@@ -195,6 +193,8 @@ def measure(root: Node) -> Node:
                 node.chars += k.chars
                 node.tags += k.tags + 1
                 node.link_tags += k.link_tags + (k.tag == "a")
+                node.in_links += k.in_links
+        node.in_links += node.chars * (node.tag == "a")
     for node in reversed(order):
         if node.mark and node.chars > (0.5 if node.mark == 1 else 0.9) * root.chars:
             node.mark = 0
@@ -277,7 +277,7 @@ def is_part(node: Node, kept: Node) -> bool:
         return node.parent is not None and node.parent is not kept
     if node.mark == 2:
         return own < 1
-    return not (node.mark == 1 and (3 * node.chars <= own or 2 * sum(n.chars for n in node.nodes() if n.tag == "a") > node.chars))
+    return not (node.mark == 1 and (3 * node.chars <= own or 2 * node.in_links > node.chars))
 
 
 def blocks(node: Node) -> list[str]:
