@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellspan.llm.common import matching, pieces, text_hash
+from cellspan.llm.common import matching, materialize, pieces, text_hash
 
 WORD = re.compile(r"[^\W_]+")
 #: Between texts that are laid end to end; no normalised text holds it.
@@ -102,8 +102,7 @@ class GramIndex:
                 w = tuple(t.split(" "))
                 self.brief.setdefault(len(w), {}).setdefault(w, []).append(i)
         m = np.array([len(x) for x in self.items])
-        # the most edits for which the lemma still asks for a shared q-gram
-        self.budget = np.maximum(0, np.minimum(np.floor(m * self.edits + 1e-9), (m - self.q) // self.q)).astype(np.int64)
+        self.budget = np.floor(m * self.edits + 1e-9).astype(np.int64)
         self.need = np.maximum(1, m - self.q + 1 - self.q * self.budget)
         grams = [_codes(x, self.q) for x in self.items]
         codes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -144,9 +143,9 @@ class GramIndex:
         item, place = self.item[post], np.repeat(place, times)
         doc = np.searchsorted(starts, place, "right") - 1
         pair = doc * len(self.items) + item
-        # enough in the whole document first: that drops nearly all and needs no sort
-        enough = np.bincount(pair, minlength=len(starts) * len(self.items)) >= np.tile(self.need, len(starts))
-        keep = enough[pair]
+        # enough in the whole document first: that drops nearly all; counts of the pairs that occur take no more room than these
+        seen, back, n = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = (n >= self.need[seen % len(self.items)])[back]
         pair, item, place, post = pair[keep], item[keep], place[keep], post[keep]
         diagonal = place - starts[pair // len(self.items)] - self.at[post] + len(chars)
         width = self.budget[item] + 1
@@ -196,6 +195,25 @@ class GramIndex:
         return best
 
 
+def gram_size(chars: int, q: int, edits: float) -> int:
+    """The largest q, up to the one asked for, with which the lemma asks for a shared q-gram whatever an item's edits are."""
+    return max(1, min(q, chars // (int(chars * edits + 1e-9) + 1))) if chars >= q else q
+
+
+class Indexes:
+    """The q-grams of some benchmark items, by the q that fits their length: few for short items."""
+
+    def __init__(self, ids: list, texts: list[str], q: int, edits: float) -> None:
+        self.ids, self.sizes = ids, [len(t) for t in texts]
+        sizes: dict[int, list[int]] = {}
+        for k, t in enumerate(texts):
+            sizes.setdefault(gram_size(len(t), q, edits), []).append(k)
+        self.parts = [(of, GramIndex([ids[k] for k in of], [_chars(texts[k]) for k in of], size, edits)) for size, of in sorted(sizes.items())]
+
+    def search(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        return {(d, of[i]): best for of, index in self.parts for (d, i), best in index.search(texts).items()}
+
+
 def _original(text: str, start: int, end: int) -> tuple[int, int]:
     """The place in text of a place in its normalised form (start and end are drawn to the words they touch)."""
     at, first, last = 0, None, None
@@ -217,15 +235,15 @@ def leaks(
     end (characters of the lower-cased text, which is longer than the text where a capital has two small letters),
     item_chars.
 
-    Held: some part of the normalised text is within edits * (the item's normalised length) edits of the whole item; for
-    items so short that the q-gram lemma would then ask for nothing, the largest number of edits for which it does. The
+    Held: some part of the normalised text is within edits * (the item's normalised length) edits of the whole item. The
     lemma: a part within k edits of an item of m characters shares m - q + 1 - k * q q-grams with it, on diagonals at most
-    k apart. Items with fewer than q normalised characters are held where their words stand in a row, unchanged (an item
+    k apart; items so short that it would ask for none have a smaller q. Items with fewer than q normalised characters are held where their words stand in a row, unchanged (an item
     without any is held nowhere). Null or empty texts hold nothing; null items
     are skipped; repeated rows give repeated results; repeated items each count. Columns beyond those named are not read.
 
-    Benchmark items go to the executors in blocks of about block_chars characters, each held against all documents, so
-    that what is sent is bounded however large the benchmark is. Documents are not shuffled."""
+    Benchmark items go to the executors in blocks of about block_chars characters, each held against all documents before
+    the next is read; so what the driver holds and sends is bounded however large the benchmark is. Documents are not
+    shuffled, and are read once a block; the rows found are kept in the shared folder."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -241,20 +259,20 @@ def leaks(
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         texts = [(r["i"], normalise(r["t"])) for r in own]
         texts = sorted(((i, t) for i, t in texts if t), key=lambda x: (x[0] is None, x[0], x[1]))
-        args = ([i for i, _ in texts], [_chars(t) for _, t in texts], q, edits)
+        args = ([i for i, _ in texts], [t for _, t in texts], q, edits)
 
         def run(batches: Iterator[pa.RecordBatch], args: tuple = args) -> Iterator[pa.RecordBatch]:
-            index = GramIndex(*args)
+            index = Indexes(*args)
             for batch in pieces(batches):
                 raw = batch.column(2).to_pylist()
-                got = index.search([normalise(t) for t in raw]) if index.items else {}
-                hits = [(d, i, *best, *_original(raw[d], *best[1:]), len(index.items[i])) for (d, i), best in sorted(got.items())]
+                got = index.search([normalise(t) for t in raw]) if index.ids else {}
+                hits = [(d, i, *best, *_original(raw[d], *best[1:]), index.sizes[i]) for (d, i), best in sorted(got.items())]
                 take = pa.array([h[0] for h in hits], pa.int64())
                 cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array([index.ids[h[1]] for h in hits], arrow[item_col].type)]
                 cols += [pa.array([h[k] for h in hits], pa.int32()) for k in (2, 5, 6, 7)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        part = rows.mapInArrow(run, schema)
+        part = materialize(rows.mapInArrow(run, schema))
         found = part if found is None else found.union(part)
     return found
 
