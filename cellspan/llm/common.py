@@ -99,13 +99,30 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def matching(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (all columns) semi- or anti-joined with keys(id, th), null ids equal. The keys are hashed in each partition and
-    the texts stream past them unsorted."""
-    own = docs.select("*", F.col(id_col).alias("__own_id"), text_hash(F.col(text_col)).alias("__own_th"))
-    keys = keys.select(F.col("id").alias("__key_id"), F.col("th").alias("__key_th")).hint("shuffle_hash")
-    on = F.col("__own_id").eqNullSafe(F.col("__key_id")) & (F.col("__own_th") == F.col("__key_th"))
-    return own.join(keys, on, how).select(*docs.columns)
+    """docs (all columns, whatever their names) semi- or anti-joined with keys(id, th), null ids equal. The keys are hashed in
+    each partition and the texts stream past them unsorted."""
+    own_id, own_th, key_id, key_th = free(docs, "own_id", "own_th", "key_id", "key_th")
+    own = docs.select("*", F.col(id_col).alias(own_id), text_hash(F.col(text_col)).alias(own_th))
+    keys = keys.select(F.col("id").alias(key_id), F.col("th").alias(key_th)).hint("shuffle_hash")
+    on = F.col(own_id).eqNullSafe(F.col(key_id)) & (F.col(own_th) == F.col(key_th))
+    return own.join(keys, on, how).select(*quoted(docs.columns))
 
 
 def one_each(docs: DataFrame, keys: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import SPACE, ascii_lower, materialize, skewed_join
+from cellspan.llm.common import SPACE, ascii_lower, free, materialize, quoted, skewed_join
 
 
 def line_key(line: Column) -> Column:
@@ -41,7 +41,7 @@ def _without(lines: Column, dropped: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """All columns of docs but n_lines, n_dropped and kept_text, then these three: lines before dropping (long), lines
+    """All columns of docs but those named n_lines, n_dropped and kept_text in any case, then these three: lines before dropping (long), lines
     dropped (long), and the text that stays, its lines joined by \\n.
 
     A key of at least min_chars code points that at least min_docs documents (distinct ids) hold loses all its lines
@@ -52,18 +52,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     side, and lines that very many documents hold are joined where they are."""
     lines = materialize(_lines(docs, id_col, text_col, min_chars))
     gone = _gone(lines, _common(lines, min_docs))
-    gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    of_id, of_th, at, own_id, own_th, whole = free(docs, "of_id", "of_th", "gone_at", "own_id", "own_th", "whole_text")
+    gone = gone.groupBy(F.col("id").alias(of_id), F.col("th").alias(of_th)).agg(F.sort_array(F.collect_set("pos")).alias(at))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    new = {c for c in kept if c.startswith("__")}
-    if new & {"__id", "__th", "__gone", "__of", "__own", "__text"}:
-        raise ValueError(f"columns {sorted(new)} are reserved")
-    rows = docs.select(*kept, F.col(id_col).alias("__own"), text.alias("__text"), F.xxhash64(text).alias("__of"))
-    rows = rows.join(gone.hint("shuffle_hash"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__th")), "left")
-    gone_or_none = F.coalesce("__gone", F.array().cast("array<int>"))
+    rows = docs.select(*quoted(kept), F.col(id_col).alias(own_id), text.alias(whole), F.xxhash64(text).alias(own_th))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col(own_id).eqNullSafe(F.col(of_id)) & (F.col(own_th) == F.col(of_th)), "left")
+    gone_or_none = F.coalesce(at, F.array().cast("array<int>"))
     # transform over a one-element array names the split once; a plain alias would be split again for each slice
-    out = F.when(F.size(gone_or_none) == 0, F.col("__text")).otherwise(
-        F.get(F.transform(F.array(F.split("__text", "\n")), lambda x: F.array_join(_without(x, gone_or_none), "\n")), F.lit(0))
+    out = F.when(F.size(gone_or_none) == 0, F.col(whole)).otherwise(
+        F.get(F.transform(F.array(F.split(whole, "\n")), lambda x: F.array_join(_without(x, gone_or_none), "\n")), F.lit(0))
     )
-    n_lines = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("\n"), F.lit(""))) + 1
-    return rows.select(*kept, n_lines.cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"), out.alias("kept_text"))
+    n_lines = F.length(whole) - F.length(F.replace(F.col(whole), F.lit("\n"), F.lit(""))) + 1
+    return rows.select(*quoted(kept), n_lines.cast("long").alias("n_lines"), F.size(gone_or_none).cast("long").alias("n_dropped"), out.alias("kept_text"))

@@ -135,3 +135,25 @@ def test_queries_give_the_contract_columns(spark, sf_dir):
     assert {r["doc_id"]: r["fingerprint"] for r in one.collect()} == {d["doc_id"]: f"{brute_fingerprint(d['text']):016x}" for d in docs}
     want = {(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_line_dedup([(d["doc_id"], d["text"]) for d in docs])}
     assert {tuple(r) for r in QUERIES["op3_line_dedup"](spark, sf_dir).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()} == want
+
+
+NAMES = ["__text", "__id", "__own_id", "__own_th", "__gone", "own_id", "OWN_TH", "key_id", "Key_Th", "whole_text", "gone_at", "N_LINES", "Kept_Text", "id", "th", "a.b", "copies", "h1"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """No stage's own columns clash with those of a table; those that a stage returns itself replace a table's in any case."""
+    from cellspan.llm import decontaminate, jaccard, quality_rules
+
+    line = "a line of some length that many documents share"
+    rows = [(i, f"{line}\nword{i} and {i} more of it", *([f"v{i}"] * len(NAMES))) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *NAMES])
+    quoted = [f"`{c}`" for c in NAMES]
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *[c for c in NAMES if c.lower() not in ("n_lines", "kept_text")], "n_lines", "n_dropped", "kept_text"]
+    assert {r.doc_id: (r["own_id"], r["a.b"], r.n_dropped) for r in got.collect()} == {i: (f"v{i}", f"v{i}", int(i != 5)) for i in range(6)}
+    items = spark.createDataFrame([(1, "word3 and 3 more of it")], "item_id long, text string")
+    kept = decontaminate.drop_leaks(docs, items)
+    assert kept.columns == docs.columns and 3 not in {r.doc_id for r in kept.select("doc_id", *quoted).collect()}
+    for stage in (quality_rules.keep_good, jaccard.keep_one, simhash.keep_one):
+        out = stage(docs)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= set(range(6))

@@ -219,7 +219,8 @@ def test_broken_pages(page, text):
 
 @pytest.mark.parametrize("page, text", [
     ("<p data-x=it's>Four five six.</p>", "Four five six."), ("<div title=it's><p>Seven eight.</p></div>", "Seven eight."),
-    ("<p title='The hidden cost of x'>shown</p>", "shown"), ("<p hidden>not shown</p><p>shown</p>", "shown"),
+    ("<p title='The hidden cost of x'>shown</p>", "shown"), ("<p hidden>on request</p><p>shown</p>", "on request\nshown"),
+    ("<article><p>One is here.</p><p aria-hidden=true>Two is here.</p><p style='display:none'>Three is here.</p></article>", "One is here.\nTwo is here.\nThree is here."),
     ("<div class='content no-sidebar'><p>One is here.</p><p>Two is here.</p></div>", "One is here.\nTwo is here."),
     ("<div class=elementor-widget><p>One is here.</p><p>Two is here.</p></div>", "One is here.\nTwo is here."),
     ("<article><p>The first half of it.</p><div class='related-work'><p>The second half of it.</p></div></article>", "The first half of it.\nThe second half of it."),
@@ -233,7 +234,7 @@ def test_attributes_names_and_nesting(page, text):
 
 @pytest.mark.parametrize("page", [
     "<a " * 350_000, "<b>" * 20_000 + "</i>" * 20_000, "<p><b>" * 50_000, "<div>" * 100_000, "<!--" * 100_000, "<table><tr><td>" * 30_000, "<header>" * 50_000,
-    "< " * 300_000, "<div class=related>" * 50_000, "<a href='" * 100_000, "<p>" + "word " * 400_000,
+    "< " * 300_000, "<div class=related>" * 50_000, "<div class='x-comment'>text " * 20_000, "<a href='" * 100_000, "<p>" + "word " * 400_000,
 ])
 def test_time_is_linear_in_hostile_and_long_pages(page):
     import time
@@ -355,3 +356,45 @@ def test_arrow_types_are_kept(spark):
     df = spark.createDataFrame([("a", "some text"), (None, None)], "doc_id string, text string")
     assert {r["doc_id"] for r in backoff.stupid_backoff(df).collect()} == {"a", None}
     assert isinstance(df.toArrow(), pa.Table)
+
+
+@pytest.mark.parametrize("chars", [8, 10, 13, 15, 20, 23, 30, 31, 40])
+def test_short_items_have_the_edits_of_their_length(chars):
+    """One budget holds for all lengths: a part with that many edits, spread as far as they go, is found, one more is not."""
+    import random
+
+    rng = random.Random(chars)
+    letters = "abcdefghijklmnopqrstuvw"
+    for _ in range(20):
+        item = "".join(rng.choice(letters) for _ in range(chars))
+        k = int(chars * 0.1 + 1e-9)
+        index = decontaminate.Indexes(["i"], [item], 8, 0.1)
+        for n in (k, k + 1):
+            part = list(item)
+            for e in range(n):
+                part[(2 * e + 1) * chars // (2 * n)] = "z"
+            got = index.search(["xx " + "".join(part) + " yy"])
+            assert bool(got) == (n <= k) and (n > k or got[0, 0][0] == k)
+
+
+def test_many_short_items_take_little_room():
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    items = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(40_000)]
+    index = decontaminate.Indexes(list(range(len(items))), items, 8, 0.1)
+    texts = [" ".join(rng.choice(items) for _ in range(3)) for _ in range(300)]
+    tracemalloc.start()
+    got = index.search(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len({d for d, _ in got}) == 300 and most < 100_000_000
+
+
+def test_items_come_in_blocks(spark):
+    rows = [(i, f"passage number {'abcdefghij'[i]} is held here and nowhere else in the world") for i in range(10)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, t[8:]) for i, t in rows], "item_id long, text string")
+    one = decontaminate.leaks(docs, items)
+    many = decontaminate.leaks(docs, items, block_chars=90)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect())) and many.count() >= 10
