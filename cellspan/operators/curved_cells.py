@@ -93,7 +93,7 @@ def rivals(a: np.ndarray, b: np.ndarray, least: float, first: int = 20) -> np.nd
 
 def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[int, bool], float]:
     """Vertices (three functions, direction, value), arcs (two functions, the functions at both ends, circle, angles), the
-    functions with a face, and the least value of the greatest function, which is nowhere below least (the cap's)."""
+    functions with a face and whether their greatest value is in it, and the least value of the greatest function, which is nowhere below least (the cap's)."""
     a, b = np.vstack([a, np.zeros(3)]), np.append(b, least)
     cap = len(b) - 1
     name = lambda k: CAP if k == cap else int(k)
@@ -109,7 +109,8 @@ def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[in
         found = False
         if inside(low):
             found, lowest = True, min(lowest, b[j] - np.linalg.norm(a[j]))
-        found = found or inside(top)
+        direct = inside(top)
+        found = found or direct
         for u, (k, l) in zip(hits, of, strict=True):
             found, lowest = True, min(lowest, a[j] @ u + b[j])
             if k >= 0 and l >= 0:
@@ -140,27 +141,27 @@ def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[in
                     who = [None if e is None else name(others[e]) for e in (first, last)]
                     arcs.append((j, int(others[k]), *who, middle, e1, e2, float(start), float(end), a[j], b[j]))
         if found:
-            faces[j] = True
+            faces[j] = direct
     return vertices, arcs, faces, lowest if faces else least
 
 
 VECTOR = "struct<x: double, y: double, z: double>"
 SOLVED = (
     "ball_id long, status string, need double, reach double, verts array<struct<o1: long, o2: long, o3: long, x: double, y: double, z: double, rad: double>>, "
-    f"arcs array<struct<o1: long, o2: long, end0: long, end1: long, closed: boolean, middle: {VECTOR}, e1: {VECTOR}, e2: {VECTOR}, start: double, stop: double, a: {VECTOR}, b: double>>, faces array<long>"
+    f"arcs array<struct<o1: long, o2: long, end0: long, end1: long, closed: boolean, middle: {VECTOR}, e1: {VECTOR}, e2: {VECTOR}, start: double, stop: double, a: {VECTOR}, b: double>>, faces array<long>, direct array<long>"
 )
 _V = pa.struct([(c, pa.float64()) for c in "xyz"])
 ARROW = pa.schema([
     ("ball_id", pa.int64()), ("status", pa.string()), ("need", pa.float64()), ("reach", pa.float64()),
     ("verts", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "o3")), *((c, pa.float64()) for c in ("x", "y", "z", "rad"))]))),
     ("arcs", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "end0", "end1")), ("closed", pa.bool_()), *((c, _V) for c in ("middle", "e1", "e2")), ("start", pa.float64()), ("stop", pa.float64()), ("a", _V), ("b", pa.float64())]))),
-    ("faces", pa.list_(pa.int64())),
+    ("faces", pa.list_(pa.int64())), ("direct", pa.list_(pa.int64())),
 ])
 
 
 def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at: np.ndarray, rads: np.ndarray, max_vert: float, largest: float) -> dict:
     """A row of SOLVED. need is how far from the centre a ball may be that could still change the cell."""
-    none = {"ball_id": ball_id, "need": 0.0, "verts": [], "arcs": [], "faces": []}
+    none = {"ball_id": ball_id, "need": 0.0, "verts": [], "arcs": [], "faces": [], "direct": []}
     a, b, which, swallowed = functions(centre, rad, at, rads)
     if swallowed:
         return none | {"status": "empty"}
@@ -180,7 +181,7 @@ def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at
     for j, k, e0, e1, middle, x, y, start, stop, of_a, of_b in arcs:
         o = sorted((int(ids[j]), int(ids[k])))
         rows.append({"o1": o[0], "o2": o[1], "end0": who(e0), "end1": who(e1), "closed": e0 is None, "middle": v(middle), "e1": v(x), "e2": v(y), "start": start, "stop": stop, "a": v(of_a), "b": float(of_b)})
-    return none | {"status": "unbounded" if lowest <= least else "complete", "need": float(2 * far - rad + largest), "verts": verts, "arcs": rows, "faces": [int(ids[k]) for k in faces]}
+    return none | {"status": "unbounded" if lowest <= least else "complete", "need": float(2 * far - rad + largest), "verts": verts, "arcs": rows, "faces": [int(ids[k]) for k in faces], "direct": [int(ids[k]) for k, x in faces.items() if x]}
 
 
 def nudged(balls: DataFrame, by: float) -> DataFrame:
@@ -190,6 +191,32 @@ def nudged(balls: DataFrame, by: float) -> DataFrame:
     return balls.withColumn("rad", F.col("rad") + by * share)
 
 
+def alpha_births(cells: DataFrame, balls: DataFrame) -> DataFrame:
+    """(dim, ids, birth) of every simplex of the additively weighted alpha filtration up to the cells' max_vert: the least
+    amount by which all balls must grow (shrink, if negative) until the simplex's balls meet in a point that no other has
+    taken. For one ball that is where it vanishes, for four the vertex. Along an edge the touching sphere is least where a . u + b is
+    greatest, a point of the arc or one of its ends; on a face it is least between the two centres if that point is in the face, and
+    else on one of its edges. Simplices of several vertices or edges are born with the first; covered balls never are."""
+    points = cells.where("status <> 'empty'").join(balls.select("ball_id", "rad"), "ball_id")
+    points = points.select(F.lit(0).alias("dim"), F.array("ball_id").alias("ids"), (-F.col("rad")).alias("birth"))
+    e = cell_edges(cells).join(balls.select(F.col("ball_id").alias("b0"), "rad"), "b0")
+    dot = lambda v, w: sum((F.col(f"{v}.{c}") * F.col(f"{w}.{c}") for c in "xyz"), F.lit(0.0))
+    x, y, level = dot("a", "e1"), dot("a", "e2"), dot("a", "middle") + F.col("b")
+    value = lambda t: x * F.cos(t) + y * F.sin(t)
+    top = F.pmod(F.atan2(y, x) - F.col("start"), F.lit(TURN)) + F.col("start")
+    most = F.when(F.col("closed") | (top <= F.col("stop")), F.sqrt(x * x + y * y)).otherwise(F.greatest(value(F.col("start")), value(F.col("stop"))))
+    edges = e.select("b0", "b1", "b2", (1 / (level + most) - F.col("rad")).alias("birth")).groupBy("b0", "b1", "b2").agg(F.min("birth").alias("birth")).checkpoint()
+    pairs = cells.select("ball_id", "direct", F.explode("faces").alias("other")).where("ball_id < other")
+    own = lambda c: balls.select(F.col("ball_id").alias(c), F.struct("x", "y", "z", "rad").alias(f"{c}_s"))
+    pairs = pairs.join(own("ball_id"), "ball_id").join(own("other"), "other")
+    gap = F.sqrt(sum(((F.col(f"ball_id_s.{c}") - F.col(f"other_s.{c}")) * (F.col(f"ball_id_s.{c}") - F.col(f"other_s.{c}")) for c in "xyz"), F.lit(0.0))) - F.col("ball_id_s.rad") - F.col("other_s.rad")
+    direct = pairs.where(F.array_contains("direct", F.col("other"))).select(F.array("ball_id", "other").alias("ids"), (gap / 2).alias("birth"))
+    around_ = edges.select(F.explode(F.array(F.array("b0", "b1"), F.array("b0", "b2"), F.array("b1", "b2"))).alias("ids"), "birth")
+    faces = direct.union(around_).groupBy("ids").agg(F.min("birth").alias("birth")).select(F.lit(1).alias("dim"), "ids", "birth")
+    verts = cell_quads(cells).groupBy(F.array("b0", "b1", "b2", "b3").alias("ids")).agg(F.min("rad").alias("birth")).select(F.lit(3).alias("dim"), "ids", "birth")
+    return points.union(faces).union(edges.select(F.lit(2), F.array("b0", "b1", "b2"), "birth")).union(verts)
+
+
 def curved_cells(balls: DataFrame, max_vert: float, start: float = 0.0, nudge: float = 1e-8) -> DataFrame:
     """A row for each ball, as SOLVED says: its cell where that is no further from its surface than max_vert, the largest
     radius of a touching sphere. status: complete, unbounded (beyond max_vert it goes on), or empty.

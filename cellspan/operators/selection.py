@@ -6,7 +6,9 @@ case and blanks."""
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +36,9 @@ def whole_residues(atoms: DataFrame, picked: DataFrame) -> DataFrame:
 
 def nth(atoms: DataFrame, of: str, first: int, last: int) -> DataFrame:
     """Atoms of the chains ("chain") or residues ("residue") numbered first to last from 0 in order of their first atom.
-    Only a row a chain or residue is numbered."""
+    Only the rows up to the last one asked for meet in one task."""
     key = ["chain"] if of == "chain" else ["chain", "res_seq", "res_name"]
-    firsts = atoms.groupBy(*key).agg(F.min("pos").alias("start"))
+    firsts = atoms.groupBy(*key).agg(F.min("pos").alias("start")).orderBy("start").limit(last + 1)
     number = F.row_number().over(W.orderBy("start")) - 1
     return atoms.join(F.broadcast(firsts.withColumn("k", number).where(F.col("k").between(first, last)).select(*key)), key, "left_semi").select(*atoms.columns)
 
@@ -112,21 +114,29 @@ def virtual_shell(balls: DataFrame, offset: float = 2.8, spacing: float = 2.5, r
 
 
 def lattice_region(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> tuple[list[float], list[tuple[list[float], float]]]:
-    """The middle of a crystal's unit cell and the half-spaces (normal, offset) of the points nearer to it than to its images
-    in two shells of the lattice; of a half-space that others imply it does not matter that it is there."""
-    from itertools import product
-    from math import cos, radians, sin, sqrt
-
-    al, be, ga = map(radians, (alpha, beta, gamma))
-    if min(a, b, c) <= 0 or abs(sin(ga)) < 1e-12:
-        raise ValueError("lengths must be positive and gamma must not be flat")
-    cy = c * (cos(al) - cos(be) * cos(ga)) / sin(ga)
-    left = c * c - (c * cos(be)) ** 2 - cy * cy
-    if left <= 0:
-        raise ValueError("the angles make no cell in space")
-    rows = [(a, 0.0, 0.0), (b * cos(ga), b * sin(ga), 0.0), (c * cos(be), cy, sqrt(left))]
-    normals = [[sum(k[i] * rows[i][j] for i in range(3)) for j in range(3)] for k in product(range(-2, 3), repeat=3) if any(k)]
-    return [sum(r[j] for r in rows) / 2 for j in range(3)], [(n, sum(x * x for x in n) / 2) for n in normals]
+    """The middle of a crystal's unit cell and the half-spaces (normal, offset) of the points nearer to it than to its images.
+
+    The lattice is known by the scalar products of its edges. Edges and the opposite of their sum are turned over, one pair at a time,
+    until no two of the four form an acute angle; the sums of some but not all of them are then the fourteen images that
+    can bound the region, and no other has to be looked at. The products' triangular root gives places in space."""
+    size = np.array([a, b, c], float)
+    turn = np.cos(np.radians([[0, gamma, beta], [gamma, 0, alpha], [beta, alpha, 0]]))
+    products = np.outer(size, size) * turn
+    if size.min() <= 0 or np.linalg.eigvalsh(products)[0] <= 1e-12 * size.max() ** 2:
+        raise ValueError("lengths must be positive and the angles must make a cell in space")
+    four = np.vstack([np.eye(3), -np.ones(3)])
+    while True:
+        angles = np.triu(four @ products @ four.T, 1)
+        i, j = np.unravel_index(np.argmax(angles), (4, 4))
+        if angles[i, j] <= 1e-9 * size.max() ** 2:
+            break
+        others = [k for k in range(4) if k not in (i, j)]
+        four[others] += four[i]
+        four[i] = -four[i]
+    images = [sum(four[k] for k in some) for n in (1, 2, 3) for some in combinations(range(4), n)]
+    edges = np.linalg.cholesky(products)
+    normals = [v @ edges for v in images]
+    return (edges.sum(0) / 2).tolist(), [(n.tolist(), float(n @ n) / 2) for n in normals]
 
 
 def in_region(middle: list[float], planes: list[tuple[list[float], float]], scale: float = 1.0) -> Column:

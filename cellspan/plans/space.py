@@ -277,6 +277,13 @@ def aw_gauss_bonnet(spark, sf_dir):
     return r6(curved_measures.gauss_bonnet(cells, integrals, curved_measures.vertex_defects(curved_cells.cell_quads(cells), b)))
 
 
+@query()
+def aw_alpha_births(spark, sf_dir):
+    """Births of all simplices of the additively weighted alpha filtration."""
+    b, cells = curved(spark, sf_dir)
+    return r6(curved_cells.alpha_births(cells, b).withColumn("ids", F.array_join("ids", ",")))
+
+
 @query()
 def network_edges(spark, sf_dir):
     return network.edges(verts(spark, sf_dir, "pow"))

@@ -316,3 +316,32 @@ def test_curvature_of_every_complete_cell_is_that_of_a_sphere(spark, checkpoints
     closed = {r.ball_id for r in whole}
     k = {(r.f0, r.f1): r.gauss for r in curved_measures.by_face(integrals).collect() if closed & {r.f0, r.f1}}
     assert all(x > -1e-9 for x in k.values()) and max(k.values()) > 0.05
+
+
+def test_curved_births_like_dense_samples(spark, checkpoints):
+    """Each simplex is born at the least distance to its balls among the points that have no nearer ball, and after its faces."""
+    rng = np.random.default_rng(7)
+    at, rad = rng.uniform(0, 5, (14, 3)), rng.choice([0.3, 0.8, 1.3], 14) * rng.uniform(0.9, 1.1, 14)
+    b = frame(spark, at, rad)
+    got = {tuple(r.ids): r.birth for r in curved_cells.alpha_births(curved_cells.curved_cells(b, 40.0).checkpoint(), b).collect()}
+    assert {len(k) for k in got} == {1, 2, 3, 4}
+    for ids, birth in got.items():
+        for k in range(len(ids)) if len(ids) > 1 else ():
+            face = ids[:k] + ids[k + 1 :]
+            assert face in got and got[face] <= birth + 1e-7
+    spots = rng.uniform(-1, 6, (1_500_000, 3))
+    far = np.linalg.norm(spots[:, None] - at[None], axis=2) - rad
+    order = np.argsort(far, axis=1)[:, :3]
+    near = np.take_along_axis(far, order, 1)
+    for n, slack in ((1, 0.0), (2, 0.04), (3, 0.06)):
+        close = near[:, n - 1] - near[:, 0] <= slack
+        keys, least = np.sort(order[close, :n], axis=1), near[close, n - 1]
+        seen: dict[tuple, list] = {}
+        for k, x in zip(map(tuple, keys.tolist()), least.tolist(), strict=True):
+            seen.setdefault(k, []).append(x)
+        checked = 0
+        for k, x in seen.items():
+            if len(x) > 40:
+                checked += 1
+                assert k in got and got[k] - 4 * slack - 1e-6 <= min(x) <= got[k] + 0.25, (k, got.get(k), min(x))
+        assert checked > 10

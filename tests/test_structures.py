@@ -1,5 +1,6 @@
 """Readers and writers of structure files, over files."""
 
+import numpy as np
 import pytest
 
 from cellspan.operators import analysis, matching, selection
@@ -126,3 +127,19 @@ def test_insertion_points_of_values_below_between_and_above(spark, checkpoints):
     values = spark.createDataFrame([(2,), (2,), (5,), (9,)], "v long")
     asked = spark.createDataFrame([(1,), (2,), (3,), (9,), (10,)], "v long")
     assert {r.v: r.place for r in matching.insertion_points(values, asked, "v").collect()} == {1: 0, 2: 0, 3: 2, 9: 3, 10: 4}
+
+
+def test_lattice_region_is_that_of_all_images():
+    """Fourteen half-spaces hold the same points as those of all images in four shells, for slanted and flat cells too."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for a, b, c, al, be, ga in ((12, 14, 16, 90, 95, 100), (1, 1, 1, 60, 60, 60), (3, 20, 5, 70, 110, 60), (2, 9, 9, 25, 80, 85), (5, 5, 5, 109.47, 109.47, 109.47)):
+        middle, planes = selection.lattice_region(a, b, c, al, be, ga)
+        rows = np.linalg.cholesky(np.outer([a, b, c], [a, b, c]) * np.cos(np.radians([[0, ga, be], [ga, 0, al], [be, al, 0]])))
+        assert np.allclose(np.linalg.norm(rows, axis=1), [a, b, c]) and np.allclose(middle, rows.sum(0) / 2) and len(planes) == 14
+        images = np.array([k for k in product(range(-6, 7), repeat=3) if any(k)]) @ rows
+        spots = rng.normal(size=(4000, 3)) * max(a, b, c) / 2
+        every = (spots @ images.T <= (images**2).sum(1) / 2 + 1e-9).all(1)
+        ours = (spots @ np.array([n for n, _ in planes]).T <= np.array([o for _, o in planes]) + 1e-9).all(1)
+        assert (every == ours).all() and every.any()
