@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from cellspan.functions import geometry as G
 from cellspan.operators.curved_cells import cell_quads, curved_cells
 from cellspan.operators.power_cells import cell_vertices, power_cells
-from cellspan.operators.spatial import named
 
 SCHEMES = ("prm", "pow", "aw")
 
@@ -64,13 +63,6 @@ def vertices(balls: DataFrame, scheme: str, max_vert: float) -> DataFrame:
     return flat.select("b0", "b1", "b2", "b3", "x", "y", "z", rad.alias("rad")).where(F.col("rad") <= (max_vert**2 if scheme == "pow" else max_vert))
 
 
-def located(balls: DataFrame, four: DataFrame, scheme: str) -> DataFrame:
-    """four(b0 .. b3) with the balls' places and the point at equal distance of them."""
-    for k in range(4):
-        four = four.join(named(balls, f"p{k}").withColumnRenamed(f"p{k}_id", f"b{k}"), f"b{k}")
-    return solve(four, scheme)
-
-
 def faces(verts: DataFrame, n: int) -> DataFrame:
     """Each vertex's keys of n of its four balls: columns f0 .. and the vertex's b0 .. b3."""
     keys = F.array(*[F.array(*[F.col(f"b{k}") for k in pick]) for pick in combinations(range(4), n)])

@@ -143,6 +143,27 @@ def triangle_tetra_angle(spark, sf_dir):
     return r6(f.select("ball_id", G.triangle_area(*p[:3]).alias("area"), G.tetra_volume(*p).alias("volume"), G.angle(p[0], p[1], p[2]).alias("angle")))
 
 
+_m, _own = [_s(k, 0) for k in (1, 2, 3)], [f"({_d([f'p{k}_{c}' for c in 'xyz'], [f'p{k}_{c}' for c in 'xyz'])} - p{k}_rad * p{k}_rad)" for k in range(4)]
+_inverse = [_x(_m[1], _m[2]), _x(_m[2], _m[0]), _x(_m[0], _m[1])]
+_place = {c: "(" + " + ".join(f"{_inverse[k][i]} * ({_own[k + 1]} - {_own[0]}) / 2" for k in range(3)) + ") / det" for i, c in enumerate("xyz")}
+_size = " * ".join(f"sqrt({_d(r, r)})" for r in _m)
+RADII = ", ".join(f"lead(rad, {k}) OVER w AS p{k}_rad" for k in range(4))
+
+
+@query(
+    f"WITH {base()}, {FOLLOW.replace(LEADS, f'{LEADS}, {RADII}')}, d AS (SELECT *, {_d(_m[0], _x(_m[1], _m[2]))} AS det, {_size} AS size FROM f), "
+    f"c AS (SELECT *, {', '.join(f'{v} AS {c}' for c, v in _place.items())} FROM d WHERE abs(det) > 0.01 * size) "
+    f"SELECT ball_id, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in 'xyz')}, round((x - p0_x) ** 2 + (y - p0_y) ** 2 + (z - p0_z) ** 2 - p0_rad * p0_rad, 3) + 0.0 AS power FROM c"
+)
+def power_centres(spark, sf_dir):
+    """Where each ball and the three that follow it in its chain have equal power; fours near one plane are left out."""
+    four = analysis.followers(balls(spark, sf_dir), "chain", "ball_id", ["x", "y", "z", "rad"], 3).where("p3_x IS NOT NULL")
+    own = [G.sub(G.point(f"p{k}"), G.point("p0")) for k in (1, 2, 3)]
+    size = F.sqrt(G.dot(own[0], own[0])) * F.sqrt(G.dot(own[1], own[1])) * F.sqrt(G.dot(own[2], own[2]))
+    met = network.solve(four, "pow").where(F.abs("det") > 0.01 * size)
+    return met.select("ball_id", *[(F.round(c, 3) + F.lit(0.0)).alias(n) for c, n in (("x", "x"), ("y", "y"), ("z", "z"), ("rad", "power"))])
+
+
 @query(f"WITH {base()}, {FOLLOW.replace('p3_x', 'p1_x')} SELECT chain, count(*) AS n_steps, round(sum(sqrt({_d(_s(1, 0), _s(1, 0))})), 6) AS length FROM f GROUP BY chain")
 def path_length(spark, sf_dir):
     f = _following(balls(spark, sf_dir), 1)
