@@ -1,7 +1,11 @@
-"""Measures of curved cells: integrals along edges, angular defects at vertices, and the Gauss-Bonnet sum of every cell.
+"""Measures of curved cells: integrals along edges, areas and volumes, angular defects at vertices, and the Gauss-Bonnet sum of
+every cell.
 
 An edge is x = p + u / (a . u + b), u running along a circle of directions from the centre p of its first ball. Integrals are Gauss
-sums over intervals that are halved, in rounds, until halves and whole agree; a round's intervals are rows, and so are their nodes."""
+sums over intervals that are halved, in rounds, until halves and whole agree; a round's intervals are rows, and so are their nodes.
+
+A face is a sheet of a hyperboloid around the line of its balls' centres. Area and volume between that line and a direction have
+closed forms, so by Stokes a face's area, and the volume of the cone from a ball to it, are integrals along the face's edges."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from cellspan.functions import geometry as G
 
 KEY = ["b0", "b1", "b2", "start"]
 PAIRS = ((0, 1), (0, 2), (1, 2))
-SUMS = ("length", "turning", "turning_sq", "m0", "m1", "m2", "g01", "g02", "g12", "k01", "k02", "k12")
+SUMS = ("length", "turning", "turning_sq", "m0", "m1", "m2", "g01", "g02", "g12", "k01", "k02", "k12", "a01", "a02", "a12", "v01", "v10", "v02", "v20", "v12", "v21")
 NODES = 10
 
 
@@ -34,10 +38,29 @@ def _norm(v: G.Vec) -> Column:
     return F.sqrt(G.dot(v, v))
 
 
+def sheet_area(a: Column, b: Column, far: Column, z: Column) -> Column:
+    """Area of the sheet at distance 1 / (a z + b) from the ball, from its axis out to z (a cosine), per radian around the axis and
+    divided by 1 - z * z; far is the distance at z. Differences are taken apart by hand, so nothing cancels near the axis."""
+    g = F.sqrt((a - b) * (a + b))
+    y = g * g * far + b
+    s = F.sqrt(F.greatest(y * y - b * b, F.lit(0.0)))
+    slope = (y + a) / (s + g)
+    q = (1 + slope) / (a + g)
+    grown = (y - a) * q
+    log = F.when(F.abs(grown) < 1e-7, q * (1 - grown / 2)).otherwise(q * F.log1p(grown) / grown)
+    return (s + a * slope - b * b * log) * far / (2 * g * (a + b) * (1 + z))
+
+
+def cone_volume(a: Column, b: Column, far: Column, z: Column) -> Column:
+    """The same for the volume between the ball's centre and the sheet."""
+    return (a + b + 1 / far) * far * far / (6 * (a + b) * (a + b) * (1 + z))
+
+
 def integrands(rows: DataFrame) -> DataFrame:
     """rows with the edge's columns, its balls' places p0 .. p2 and an angle t, to the SUMS per unit of t: length, turning and
     squared curvature; half the angle between the two faces' normals for each ball's cell (m); and for each face geodesic
-    curvature towards its inside (g) and the area its normals sweep on the unit sphere (k)."""
+    curvature towards its inside (g), the area its normals sweep on the unit sphere (k), its own area (a) and the volumes of the
+    cones from either ball to it (v)."""
     at, one = G.point, F.lit(1.0)
     rows = rows.withColumns({"cos": F.cos("t"), "sin": F.sin("t")})
     cos, sin = F.col("cos"), F.col("sin")
@@ -68,9 +91,18 @@ def integrands(rows: DataFrame) -> DataFrame:
         # the inside of a face lies away from the third ball
         side = -F.signum(G.dot(G.cross(n, at("d")), normal(i, third)))
         axis = G.sub(at(f"p{j}"), at(f"p{i}"))
-        axis = _mix((1 / _norm(axis), axis))
+        apart = _norm(axis)
+        axis = _mix((1 / apart, axis))
+        wider = F.col(f"far{j}") - F.col(f"far{i}")
+        over = 2 / ((apart - wider) * (apart + wider))
+        steep, shift = apart * over, wider * over
         sweep = G.dot(G.cross(n, G.sub(at(f"dr{i}"), at(f"dr{j}"))), axis) / (F.col(f"len{i}{j}") * (1 + G.dot(n, axis)))
         out |= {f"g{i}{j}": side * G.dot(at("dd"), G.cross(n, at("d"))) / (speed * speed), f"k{i}{j}": side * sweep}
+        for m, (o, sign) in {i: (j, 1), j: (i, -1)}.items():
+            turn, z = side * G.dot(axis, G.cross(at(f"r{m}"), at(f"dr{m}"))), sign * G.dot(axis, at(f"r{m}"))
+            out[f"v{m}{o}"] = turn * cone_volume(steep, sign * shift, F.col(f"far{m}"), z)
+            if m == i:
+                out[f"a{i}{j}"] = turn * sheet_area(steep, shift, F.col(f"far{i}"), z)
     return rows.select(*[c for c in rows.columns if c in (*KEY, "lo", "hi", "part", "weight")], *[v.alias(c) for c, v in out.items()])
 
 
@@ -154,3 +186,28 @@ def gauss_bonnet(cells: DataFrame, integrals: DataFrame, defects: DataFrame) ->
     sums = faces.union(edges).union(corners).groupBy("ball_id").agg(*[F.sum(c).alias(c) for c in ("faces", "edges", "vertices")])
     out = cells.select("ball_id", "status").join(sums, "ball_id")
     return out.withColumn("residual", F.when(F.col("status") == "complete", F.col("faces") + F.col("edges") + F.col("vertices") - 4 * np.pi))
+
+
+def face_measures(cells: DataFrame, integrals: DataFrame) -> DataFrame:
+    """(f0, f1, n_edges, whole, area, volume0, volume1): each face's area and the volumes of the cones from its two balls to it,
+    null unless the face is whole, that is, unless one of its cells is complete."""
+    of = [F.struct(F.col(f"b{i}").alias("f0"), F.col(f"b{j}").alias("f1"), F.col(f"a{i}{j}").alias("area"), F.col(f"v{i}{j}").alias("v0"), F.col(f"v{j}{i}").alias("v1")) for i, j in PAIRS]
+    rows = integrals.select(F.explode(F.array(*of)).alias("f")).select("f.*")
+    sums = rows.groupBy("f0", "f1").agg(F.count("*").alias("n_edges"), *[F.sum(c).alias(c) for c in ("area", "v0", "v1")])
+    done = cells.select("ball_id", (F.col("status") == "complete").alias("done"))
+    for c in ("f0", "f1"):
+        sums = sums.join(done.select(F.col("ball_id").alias(c), F.col("done").alias(f"done_{c}")), c)
+    sums = sums.withColumn("whole", F.col("done_f0") | F.col("done_f1"))
+    own = {"area": "area", "v0": "volume0", "v1": "volume1"}
+    return sums.select("f0", "f1", "n_edges", "whole", *[F.when(F.col("whole"), F.col(c)).alias(n) for c, n in own.items()])
+
+
+def cell_measures(cells: DataFrame, integrals: DataFrame) -> DataFrame:
+    """(ball_id, status, n_faces, area, volume, sphericity) of every cell; the last three are null unless it is complete. Sphericity
+    is the area of a sphere of the cell's volume over the cell's area."""
+    f = face_measures(cells, integrals)
+    sides = f.select(F.col("f0").alias("ball_id"), "area", F.col("volume0").alias("volume")).union(f.select("f1", "area", "volume1"))
+    sums = sides.groupBy("ball_id").agg(F.sum("area").alias("area"), F.sum("volume").alias("volume"))
+    out = cells.select("ball_id", "status", F.size("faces").cast("long").alias("n_faces")).join(sums, "ball_id", "left")
+    out = out.withColumns({c: F.when(F.col("status") == "complete", F.col(c)) for c in ("area", "volume")})
+    return out.withColumn("sphericity", np.pi ** (1 / 3) * F.pow(6 * F.col("volume"), F.lit(2 / 3)) / F.col("area"))

@@ -290,6 +290,20 @@ def aw_face_curvature(spark, sf_dir):
     return r6(curved_measures.by_face(curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)))
 
 
+@query()
+def aw_face_areas(spark, sf_dir):
+    """Area of every curved face, and the volumes between it and its two balls."""
+    b, cells = curved(spark, sf_dir)
+    return r6(curved_measures.face_measures(cells, curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)))
+
+
+@query()
+def aw_cell_measures(spark, sf_dir):
+    """Surface, volume and sphericity of every cell of the additively weighted network."""
+    b, cells = curved(spark, sf_dir)
+    return r6(curved_measures.cell_measures(cells, curved_measures.edge_integrals(curved_cells.cell_edges(cells), b)))
+
+
 @query()
 def aw_gauss_bonnet(spark, sf_dir):
     """Curvature of every cell's faces, edges and vertices: 4 pi in all for complete ones."""
