@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellspan.functions import curvature
 from cellspan.functions import geometry as G
-from cellspan.operators import analysis, curved_cells, curved_measures, graphs, network, power_cells, spatial
+from cellspan.operators import analysis, curved_cells, curved_measures, exposure, graphs, network, power_cells, spatial
 from cellspan.sources.balls import from_vectors, table
 
 QUERIES: dict = {}
@@ -319,6 +319,35 @@ def aw_alpha_births(spark, sf_dir):
     return r6(curved_cells.alpha_births(cells, b).withColumn("ids", F.array_join("ids", ",")))
 
 
+def _exposed() -> str:
+    """Exposed areas from all circles and all third balls; the sphere's area is taken from its far pole, along x."""
+    way = "(c.{0} - a.{0}) / sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2) AS n{0}"
+    d2 = "((a.x - c.x) ** 2 + (a.y - c.y) ** 2 + (a.z - c.z) ** 2)"
+    near = f"k AS (SELECT a.ball_id AS i, c.ball_id AS j, a.chain = c.chain AS alike, a.rad AS r, {', '.join(way.format(x) for x in 'xyz')}, (a.rad ** 2 + {d2} - c.rad ** 2) / (2 * a.rad * sqrt({d2})) AS c FROM b a JOIN b c ON a.ball_id <> c.ball_id AND {d2} < (a.rad + c.rad) ** 2)"
+    # half-axes of a circle: the first has the lean of x, the second is square to x and to the circle's normal
+    axes = "e AS (SELECT *, sqrt(1 - c * c) AS s, sqrt(ny * ny + nz * nz) AS q FROM k WHERE abs(c) < 1)"
+    inner = "h AS (SELECT e.i, e.j, e.alike AND k.alike AS own, e.s * (e.q * k.nx - e.nx * (e.ny * k.ny + e.nz * k.nz) / e.q) AS u, e.s * (e.nz * k.ny - e.ny * k.nz) / e.q AS v, k.c - e.c * (e.nx * k.nx + e.ny * k.ny + e.nz * k.nz) AS need FROM e JOIN k ON e.i = k.i AND e.j <> k.j)"
+    spans = (
+        "w AS (SELECT *, need <= -sqrt(u * u + v * v) AS all_of, acos(greatest(-1, least(1, need / sqrt(u * u + v * v)))) AS half, atan2(v, u) AS mid FROM h WHERE need < sqrt(u * u + v * v)), "
+        "y AS (SELECT i, j, own, CASE WHEN all_of THEN 0 WHEN mid - half < 0 THEN mid - half + 2 * pi() ELSE mid - half END AS lo, CASE WHEN all_of THEN 2 * pi() WHEN mid - half < 0 THEN mid + half + 2 * pi() ELSE mid + half END AS hi FROM w), "
+        "z AS (SELECT i, j, own, lo, least(hi, 2 * pi()) AS hi FROM y UNION ALL SELECT i, j, own, 0, hi - 2 * pi() FROM y WHERE hi > 2 * pi()), "
+        "m AS (SELECT i, j, false AS own, lo, hi FROM z UNION ALL SELECT i, j, true, lo, hi FROM z WHERE own UNION ALL SELECT i, j, false, 2 * pi(), 2 * pi() FROM e UNION ALL SELECT i, j, true, 2 * pi(), 2 * pi() FROM e WHERE alike), "
+        "f AS (SELECT i, j, own, coalesce(max(hi) OVER (PARTITION BY i, j, own ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, lo AS hi FROM m)"
+    )
+    part = "(-c * {0} + sign(nx + c) * ({0} - 2 * atan2(s * q * sin({0}), 1 + c * nx + abs(nx + c) + s * q * cos({0}))))"
+    sums = f"t AS (SELECT i, own, sum({part.format('f.hi')} - {part.format('f.lo')}) AS swept, count(*) FILTER (f.lo > 0 OR f.hi = 2 * pi()) AS n, sum(s * r * (f.hi - f.lo)) AS len FROM f JOIN e USING (i, j) WHERE f.lo < f.hi GROUP BY i, own)"
+    pole = "g AS (SELECT i, max((c < 1 AND nx + c < 0)::INT) AS pole, max((c <= -1)::INT) AS hid, max((alike AND c < 1 AND nx + c < 0)::INT) AS own_pole, max((alike AND c <= -1)::INT) AS own_hid FROM k GROUP BY i)"
+    free = "CASE WHEN coalesce({0}hid, 0) = 1 THEN 0 ELSE rad ** 2 * greatest(0, CASE WHEN coalesce({0}pole, 0) = 1 THEN 0 ELSE 4 * pi() END - coalesce({1}.swept, 0)) END"
+    last = f"r AS (SELECT ball_id, 4 * pi() * rad ** 2 AS area, {free.format('', 't1')} AS exposed, {free.format('own_', 't2')} AS own_exposed, CASE WHEN coalesce(hid, 0) = 1 THEN 0 ELSE coalesce(t1.n, 0) END AS n_arcs, CASE WHEN coalesce(hid, 0) = 1 THEN 0 ELSE coalesce(t1.len, 0) END AS arc_length FROM b LEFT JOIN g ON g.i = ball_id LEFT JOIN t t1 ON t1.i = ball_id AND NOT t1.own LEFT JOIN t t2 ON t2.i = ball_id AND t2.own)"
+    return ", ".join([near, axes, inner, spans, sums, pole, last])
+
+
+@query(f"WITH {base('60')}, {_exposed()} SELECT ball_id, round(area, 6) AS area, round(exposed, 6) + 0.0 AS exposed, round(own_exposed, 6) + 0.0 AS own_exposed, round(greatest(0, own_exposed - exposed), 6) + 0.0 AS contact, n_arcs::BIGINT AS n_arcs, round(arc_length, 6) + 0.0 AS arc_length FROM r")
+def contact_surface(spark, sf_dir):
+    """What other balls, and balls of other chains alone, cover of each ball's sphere, exactly."""
+    return r6(exposure.exposures(balls(spark, sf_dir, WIDE), "chain"))
+
+
 @query()
 def network_edges(spark, sf_dir):
     return network.edges(verts(spark, sf_dir, "pow"))
