@@ -152,11 +152,11 @@ def scheme_compare(spark, sf_dir):
     return r6(M.scheme_differences(*_cells(spark, sf_dir), "k", ["vol", "sa"], cut=5.0))
 
 
-@query(f"WITH {CELLS} SELECT k, CASE WHEN abs(b.vol - a.vol) > 5 OR abs(b.sa - a.sa) > 5000 THEN 'off' ELSE 'near' END AS kind FROM a JOIN b USING (k) JOIN orders ON o_orderkey = k WHERE o_totalprice > 1000")
+@query(f"WITH {CELLS} SELECT k, CASE WHEN abs(b.vol - a.vol) > 5 OR abs(b.sa - a.sa) > 5000 THEN 'off' ELSE 'near' END AS kind FROM a JOIN b USING (k) JOIN orders ON o_orderkey = k")
 def atom_compare(spark, sf_dir):
     """Three schemes' cells by key, with cuts on their differences."""
     a, b = _cells(spark, sf_dir)
-    three = table(spark, sf_dir, "orders").where("o_totalprice > 1000").select(F.col("o_orderkey").alias("k"))
+    three = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     j = a.alias("a").join(b.alias("b"), "k").join(three, "k")
     off = (F.abs(F.col("b.vol") - F.col("a.vol")) > 5) | (F.abs(F.col("b.sa") - F.col("a.sa")) > 5000)
     return j.select("k", F.when(off, "off").otherwise("near").alias("kind"))
@@ -207,13 +207,13 @@ def compare_tables(spark, sf_dir):
 
 
 SOLVES = (
-    "a AS (SELECT l_partkey % 50 AS f0, l_suppkey AS f1, sum(l_quantity) AS area, sum(l_discount) AS curv FROM lineitem WHERE l_linenumber < 6 GROUP BY 1, 2), "
-    "b AS (SELECT l_partkey % 50 AS f0, l_suppkey AS f1, sum(l_quantity) AS area, sum(l_discount) + CASE WHEN l_suppkey % 3 = 0 THEN 0.5 ELSE 0 END AS curv FROM lineitem WHERE l_linenumber < 6 AND l_suppkey % 10 <> 0 GROUP BY 1, 2 UNION ALL SELECT 60, 1, 1.0, 1.0)"
+    "a AS (SELECT l_partkey % 50 AS f0, l_suppkey AS f1, sum(l_quantity) AS area, sum(l_discount) AS curv FROM lineitem GROUP BY 1, 2), "
+    "b AS (SELECT l_partkey % 50 AS f0, l_suppkey AS f1, sum(l_quantity) AS area, sum(l_discount) + CASE WHEN l_suppkey % 3 = 0 THEN 0.5 ELSE 0 END AS curv FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY 1, 2 UNION ALL SELECT 60, 1, 1.0, 1.0)"
 )
 
 
 def _solves(spark, sf_dir):
-    l = items(spark, sf_dir).where("l_linenumber < 6").groupBy((F.col("l_partkey") % 50).alias("f0"), F.col("l_suppkey").alias("f1"))
+    l = items(spark, sf_dir).groupBy((F.col("l_partkey") % 50).alias("f0"), F.col("l_suppkey").alias("f1"))
     a = l.agg(F.sum("l_quantity").alias("area"), F.sum("l_discount").alias("curv"))
     b = a.where("f1 % 10 <> 0").withColumn("curv", F.col("curv") + F.when(F.col("f1") % 3 == 0, 0.5).otherwise(0.0))
     return a, b.union(spark.createDataFrame([(60, 1, 1.0, 1.0)], "f0 long, f1 long, area double, curv double"))
@@ -294,9 +294,9 @@ def sorted_search(spark, sf_dir):
     return M.insertion_points(items(spark, sf_dir).select(F.col("l_partkey").alias("v")), asked, "v")
 
 
-@query("SELECT l_suppkey, count(*) AS n, count(DISTINCT l_returnflag || l_linestatus) = 1 AS consistent FROM lineitem WHERE l_quantity > 49 GROUP BY 1")
+@query("SELECT l_suppkey, count(*) AS n, count(DISTINCT l_returnflag || l_linestatus) = 1 AS consistent FROM lineitem GROUP BY 1")
 def shared_results_collection(spark, sf_dir):
-    return M.single_context(items(spark, sf_dir).where("l_quantity > 49"), "l_suppkey", ["l_returnflag", "l_linestatus"])
+    return M.single_context(items(spark, sf_dir), "l_suppkey", ["l_returnflag", "l_linestatus"])
 
 
 @query(
