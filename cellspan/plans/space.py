@@ -231,6 +231,29 @@ def bipartite_cycle_rank(spark, sf_dir):
     return graphs.cycle_rank(l.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct())
 
 
+BRIDGES = (
+    f"WITH RECURSIVE {TOUCH}, l AS (SELECT u, v, u AS node FROM t WHERE u < v UNION SELECT l.u, l.v, t.v FROM l JOIN t ON t.u = l.node WHERE NOT (least(t.u, t.v) = l.u AND greatest(t.u, t.v) = l.v)), "
+    "e AS (SELECT u AS a, v AS b, NOT bool_or(node = v) AS bridge FROM l GROUP BY u, v) "
+)
+
+
+@query(BRIDGES + "SELECT a, b, bridge FROM e")
+def contact_bridges(spark, sf_dir):
+    return contact_blocks(spark, sf_dir).select("a", "b", "bridge")
+
+
+@query(
+    f"WITH RECURSIVE {TOUCH}, h AS (SELECT DISTINCT u AS hub FROM t), l AS (SELECT t.u AS hub, t.v AS node, t.v AS first FROM t UNION SELECT l.hub, t.v, l.first FROM l JOIN t ON t.u = l.node WHERE t.v <> l.hub), "
+    "c AS (SELECT hub, node, min(first) AS c FROM l GROUP BY hub, node) SELECT hub AS node, count(DISTINCT c) AS n_blocks FROM c GROUP BY hub HAVING count(DISTINCT c) > 1"
+)
+def contact_articulations(spark, sf_dir):
+    return graphs.articulation_points(contact_blocks(spark, sf_dir))
+
+
+def contact_blocks(spark, sf_dir) -> DataFrame:
+    return graphs.blocks(spatial.range_join(balls(spark, sf_dir, WIDE), NEAR).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).checkpoint()
+
+
 def verts(spark, sf_dir, scheme: str) -> DataFrame:
     """A scheme's vertices, kept: what follows reads them several times."""
     return network.vertices(balls(spark, sf_dir, WIDE), scheme, MAX_VERT).checkpoint()

@@ -318,6 +318,21 @@ def test_curvature_of_every_complete_cell_is_that_of_a_sphere(spark, checkpoints
     assert all(x > -1e-9 for x in k.values()) and max(k.values()) > 0.05
 
 
+def seen_from(a, c, n=4_000_000, step=200_000):
+    """Least distance, area of each face and volume of a curved cell, from n directions. A face that is seen at a slant needs many:
+    its area by 200,000 directions is off by up to 9 per cent."""
+    least, per, volume = np.inf, np.zeros(len(c)), 0.0
+    for first in range(0, n, step):
+        i = np.arange(first, first + step)
+        z, turn = 1 - (2 * i + 1) / n, i * np.pi * (3 - 5**0.5)
+        values = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z]) @ a.T + c
+        owner, r = values.argmax(1), 1 / values.max(1)
+        sloped = np.linalg.norm(a, axis=1)[owner] ** 2 - (1 / r - c[owner]) ** 2
+        per += np.bincount(owner, r * np.sqrt(r * r + r**4 * np.maximum(sloped, 0)), len(c)) * 4 * np.pi / n
+        least, volume = min(least, r.min()), volume + (r**3).sum() * 4 * np.pi / 3 / n
+    return least, per, volume
+
+
 @pytest.mark.parametrize("sizes", [[0.7], [0.3, 1, 1.5]])
 def test_curved_areas_and_volumes(spark, checkpoints, sizes):
     """Equal balls give the flat network's areas and volumes; mixed ones those of dense directions from each centre."""
@@ -342,27 +357,19 @@ def test_curved_areas_and_volumes(spark, checkpoints, sizes):
         # flat faces are perturbed against ties, these are not: small ones may differ
         assert all(abs(r.area - area.get(k, 0.0)) < 1e-4 * max(1, r.area) for k, r in faces.items() if r.area is not None)
         return
-    n = 200_000
-    z = 1 - (2 * np.arange(n) + 1) / n
-    turn = np.arange(n) * np.pi * (3 - 5**0.5)
-    u = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z])
     checked = 0
     for k in sorted(whole):
         a, c, which, _ = curved_cells.functions(at[k], rad[k], np.delete(at, k, 0), np.delete(rad, k))
-        values = u @ a.T + c
-        owner = values.argmax(1)
-        r = 1 / values.max(1)
-        if r.min() < 0.2 or got[k].volume > 100:  # directions sample a surface next to the centre, or far from it, too thinly
+        r, per, volume = seen_from(a, c)
+        if r < 0.2 or got[k].volume > 100:  # directions sample a surface next to the centre, or far from it, too thinly
             continue
         checked += 1
-        assert abs((r**3).mean() * 4 * np.pi / 3 - got[k].volume) < 2e-3 * got[k].volume
-        sloped = np.linalg.norm(a, axis=1)[owner] ** 2 - (values.max(1) - c[owner]) ** 2
-        per = r * np.sqrt(r * r + r**4 * np.maximum(sloped, 0))
-        assert abs(per.mean() * 4 * np.pi - got[k].area) < 2e-3 * got[k].area
+        assert abs(volume - got[k].volume) < 2e-3 * got[k].volume
+        assert abs(per.sum() - got[k].area) < 2e-3 * got[k].area
         ids = np.delete(np.arange(40), k)[which]
-        for j in np.unique(owner):
+        for j in np.flatnonzero(per):
             area = faces[tuple(sorted((k, int(ids[j]))))].area
-            assert abs(per[owner == j].sum() * 4 * np.pi / n - area) < 0.01 * max(area, 0.5)
+            assert abs(per[j] - area) < 0.01 * max(area, 0.5)
     assert checked > 5
 
 
