@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.operators.power_cells import clip
-from cellspan.operators.spatial import gathered, named, pieces
+from cellspan.operators.spatial import close_reach, gathered, named, pieces
 
 CAP = -1
 TURN = 2 * np.pi
@@ -33,10 +33,12 @@ def functions(centre: np.ndarray, rad: float, at: np.ndarray, rads: np.ndarray)
 
 def circle(normal: np.ndarray, offset: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Middle and two half-axes of the unit sphere's circle normal @ u = offset."""
-    e1 = np.cross(normal, np.eye(3)[np.argmin(np.abs(normal))])
+    (x, y, z), (lx, ly, lz) = normal.tolist(), np.eye(3)[np.argmin(np.abs(normal))].tolist()
+    e1 = np.array([y * lz - z * ly, z * lx - x * lz, x * ly - y * lx])
     e1 /= np.linalg.norm(e1)
+    ex, ey, ez = e1.tolist()
     size = np.sqrt(max(1 - offset * offset, 0.0))
-    return normal * offset, e1 * size, np.cross(normal, e1) * size
+    return normal * offset, e1 * size, np.array([y * ez - z * ey, z * ex - x * ez, x * ey - y * ex]) * size
 
 
 def crossings(at: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +93,21 @@ def rivals(a: np.ndarray, b: np.ndarray, least: float, first: int = 20) -> np.nd
     return np.append(np.array(kept, np.int64), rest[over])
 
 
-def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[int, bool], float]:
+def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[int, bool], float, list]:
     """Vertices (three functions, direction, value), arcs (two functions, the functions at both ends, circle, angles), the
-    functions with a face and whether their greatest value is in it, and the least value of the greatest function, which is nowhere below least (the cap's)."""
+    functions with a face and whether their greatest value is in it, the least value of the greatest function, which is nowhere below
+    least (the cap's), and for each function that is greatest somewhere, the cap's too, its number, its polyhedron's corners and
+    its values there: another one that exceeds none of these changes nothing."""
     a, b = np.vstack([a, np.zeros(3)]), np.append(b, least)
     cap = len(b) - 1
     name = lambda k: CAP if k == cap else int(k)
-    vertices, arcs, faces, lowest = [], [], {}, np.inf
-    for j in range(cap):
+    vertices, arcs, faces, lowest, tops = [], [], {}, np.inf, []
+    for j in range(cap + 1):
         if (found_at := polyhedron(a, b, j)) is None:
             continue
+        tops.append((j, found_at[0], found_at[0] @ a[j] + b[j]))
+        if j == cap:
+            break
         at, planes, normals, offsets, others = found_at
         top = a[j] / max(np.linalg.norm(a[j]), 1e-300)
         inside = lambda u, k=None: bool((normals @ u <= offsets + np.where(np.arange(len(offsets)) == k, np.inf, 1e-12)).all())
@@ -142,13 +149,14 @@ def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[in
                     arcs.append((j, int(others[k]), *who, middle, e1, e2, float(start), float(end), a[j], b[j]))
         if found:
             faces[j] = direct
-    return vertices, arcs, faces, lowest if faces else least
+    return vertices, arcs, faces, lowest if faces else least, tops
 
 
 VECTOR = "struct<x: double, y: double, z: double>"
 SOLVED = (
     "ball_id long, status string, need double, reach double, verts array<struct<o1: long, o2: long, o3: long, x: double, y: double, z: double, rad: double>>, "
-    f"arcs array<struct<o1: long, o2: long, end0: long, end1: long, closed: boolean, middle: {VECTOR}, e1: {VECTOR}, e2: {VECTOR}, start: double, stop: double, a: {VECTOR}, b: double>>, faces array<long>, direct array<long>"
+    f"arcs array<struct<o1: long, o2: long, end0: long, end1: long, closed: boolean, middle: {VECTOR}, e1: {VECTOR}, e2: {VECTOR}, start: double, stop: double, a: {VECTOR}, b: double>>, faces array<long>, direct array<long>, "
+    "known array<long>, corners array<struct<x: double, y: double, z: double, value: double>>"
 )
 _V = pa.struct([(c, pa.float64()) for c in "xyz"])
 ARROW = pa.schema([
@@ -156,12 +164,14 @@ ARROW = pa.schema([
     ("verts", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "o3")), *((c, pa.float64()) for c in ("x", "y", "z", "rad"))]))),
     ("arcs", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "end0", "end1")), ("closed", pa.bool_()), *((c, _V) for c in ("middle", "e1", "e2")), ("start", pa.float64()), ("stop", pa.float64()), ("a", _V), ("b", pa.float64())]))),
     ("faces", pa.list_(pa.int64())), ("direct", pa.list_(pa.int64())),
+    ("known", pa.list_(pa.int64())), ("corners", pa.list_(pa.struct([(c, pa.float64()) for c in ("x", "y", "z", "value")]))),
 ])
 
 
-def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at: np.ndarray, rads: np.ndarray, max_vert: float, largest: float) -> dict:
-    """A row of SOLVED. need is how far from the centre a ball may be that could still change the cell."""
-    none = {"ball_id": ball_id, "need": 0.0, "verts": [], "arcs": [], "faces": [], "direct": []}
+def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at: np.ndarray, rads: np.ndarray, max_vert: float, largest: float, reach: float = np.inf) -> dict:
+    """A row of SOLVED. need is how far from the centre a ball may be that could still change the cell. Where that is more than
+    twice the reach, the row has what known balls bound the cell and the corners that a further one has to exceed."""
+    none = {"ball_id": ball_id, "need": 0.0, "verts": [], "arcs": [], "faces": [], "direct": [], "known": [], "corners": []}
     a, b, which, swallowed = functions(centre, rad, at, rads)
     if swallowed:
         return none | {"status": "empty"}
@@ -169,8 +179,9 @@ def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at
     least = 1 / max(max_vert + rad, 1e-12)
     few = rivals(a, b, least)
     a, b, ids = a[few], b[few], ids[few]
-    vertices, arcs, faces, lowest = cut(a, b, least)
-    far = 1 / max(lowest, least)
+    vertices, arcs, faces, lowest, tops = cut(a, b, least)
+    need = float(2 / max(lowest, least) - rad + largest)
+    further = tops if need > 2 * reach else []
     v = lambda x: dict(zip("xyz", map(float, x), strict=True))
     who = lambda k: None if k is None or k == CAP else int(ids[k])
     verts = []
@@ -181,7 +192,8 @@ def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at
     for j, k, e0, e1, middle, x, y, start, stop, of_a, of_b in arcs:
         o = sorted((int(ids[j]), int(ids[k])))
         rows.append({"o1": o[0], "o2": o[1], "end0": who(e0), "end1": who(e1), "closed": e0 is None, "middle": v(middle), "e1": v(x), "e2": v(y), "start": start, "stop": stop, "a": v(of_a), "b": float(of_b)})
-    return none | {"status": "unbounded" if lowest <= least else "complete", "need": float(2 * far - rad + largest), "verts": verts, "arcs": rows, "faces": [int(ids[k]) for k in faces], "direct": [int(ids[k]) for k, x in faces.items() if x]}
+    return none | {"status": "unbounded" if lowest <= least else "complete", "need": need, "verts": verts, "arcs": rows, "faces": [int(ids[k]) for k in faces], "direct": [int(ids[k]) for k, x in faces.items() if x],
+        "known": [int(ids[k]) for k, _, _ in further if k < len(ids)], "corners": [v(c) | {"value": float(w)} for _, at_, values in further for c, w in zip(at_, values, strict=True)]}
 
 
 def nudged(balls: DataFrame, by: float) -> DataFrame:
@@ -223,7 +235,8 @@ def curved_cells(balls: DataFrame, max_vert: float, start: float = 0.0, nudge: f
 
     A round joins the open balls with those in reach, by grid cells, and cuts their cells; a ball whose cell asks for more
     goes on with twice the reach, or what it asks for if that is less. Inner cells are closed by their neighbours, whatever max_vert
-    is. Each round's cells are kept in the checkpoint folder."""
+    is. One that asks for still more is sent, of the balls beyond its reach, only those that exceed its greatest function at a corner.
+    Each round's cells are kept in the checkpoint folder."""
     count, largest = balls.agg(F.count("*"), F.coalesce(F.max("rad"), F.lit(0.0))).first()
     largest += nudge
 
@@ -236,21 +249,28 @@ def curved_cells(balls: DataFrame, max_vert: float, start: float = 0.0, nudge: f
             rows = []
             for k, r in enumerate(b.drop_columns(["near"]).to_pylist()):
                 own = slice(cuts[k], cuts[k + 1])
-                rows.append(solve_cell(r["ball_id"], np.array([r["x"], r["y"], r["z"]]), r["rad"], ids[own], at[own], rads[own], max_vert, largest) | {"reach": r["reach"]})
+                rows.append(solve_cell(r["ball_id"], np.array([r["x"], r["y"], r["z"]]), r["rad"], ids[own], at[own], rads[own], max_vert, largest, r["reach"]) | {"reach": r["reach"]})
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
+    def cuts(r: dict, at: np.ndarray, rads: np.ndarray) -> np.ndarray:
+        d, s = at - np.array([r["x"], r["y"], r["z"]]), rads - r["rad"]
+        room, out = (d * d).sum(1) - s * s, np.zeros(len(at), bool)
+        for c in r["corners"]:
+            out |= 2 * (d @ np.array([c["x"], c["y"], c["z"]]) + s) > (c["value"] - 1e-9) * room
+        return np.where(room > 0, out, s >= 0)
+
     own = nudged(balls.select("ball_id", "x", "y", "z", "rad"), nudge)
     other, found = named(own, "q"), None
-    todo = own.withColumn("reach", F.lit(float(start or 4 * largest + 1e-6)))
+    todo = own.withColumn("reach", F.lit(float(start or close_reach(balls, 4 * largest + 1e-6, 30.0))))
     while True:
-        widest = todo.agg(F.max("reach")).first()[0]
-        if widest is None:
-            return found if found is not None else gathered(todo, other, 1.0).mapInArrow(run, SOLVED).drop("reach")
-        solved = gathered(todo, other, widest).mapInArrow(run, SOLVED).checkpoint()
-        done = solved.where("need <= reach").drop("reach")
+        solved = gathered(todo, other, count, cuts).mapInArrow(run, SOLVED).checkpoint()
+        done = solved.where("need <= reach").drop("reach", "known", "corners")
         found = done if found is None else found.union(done)
-        still = solved.where("need > reach").select("ball_id", F.least(F.col("need") * (1 + 1e-9), 2 * F.col("reach")).alias("reach"))
+        inner = F.when(F.size("corners") > 0, F.col("reach"))
+        still = solved.where("need > reach").select("ball_id", F.least(F.col("need") * (1 + 1e-9), 2 * F.col("reach")).alias("reach"), inner.alias("inner"), "known", "corners")
         todo = own.join(still, "ball_id").checkpoint()
+        if todo.isEmpty():
+            return found
 
 
 def cell_quads(cells: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Work on balls that lie close grows with the balls, not with the pairs within a fixed reach."""
 
 import numpy as np
+import pytest
 
-from cellspan.operators import spatial
+from cellspan.operators import curved_cells, power_cells, spatial
 from cellspan.plans.space import spatial_checkpoints
 
 
@@ -13,6 +14,34 @@ def dense(spark, n, seed=5):
     return at, rad, spark.createDataFrame([(i, *map(float, p), float(r)) for i, (p, r) in enumerate(zip(at, rad, strict=True))], "ball_id long, x double, y double, z double, rad double")
 
 
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("cells", [lambda b: power_cells.power_cells(b, "pow", 40.0), lambda b: curved_cells.curved_cells(b, 40.0)])
+def test_first_round_sends_few_neighbours(spark, monkeypatch, cells):
+    _, _, b = dense(spark, 3000)
+
+    def look(*args):
+        raise Seen(gathered(*args).selectExpr("sum(size(near))").first()[0])
+
+    gathered = spatial.gathered
+    for module in (power_cells, curved_cells):
+        monkeypatch.setattr(module, "gathered", look)
+    with pytest.raises(Seen) as seen:
+        cells(b)
+    assert 3000 < seen.value.args[0] < 3000 * 200
+
+
+def test_few_balls_meet_all_others_in_blocks(spark):
+    at, rad, b = dense(spark, 300)
+    own = spatial.named(b, "q")
+    todo = b.where("ball_id % 20 = 3").selectExpr("*", "4.0D AS reach")
+    near = {r.ball_id: sorted(q.id for q in r.near) for r in spatial.gathered(todo, own, 300).collect()}
+    for i in range(3, 300, 20):
+        assert near[i] == [j for j in range(300) if j != i and ((at[i] - at[j]) ** 2).sum() <= 16]
+
+
 def test_nearest_of_copies_in_one_place(spark):
     at, rad, b = dense(spark, 200)
     at, rad = np.vstack([at, np.repeat(at[:1], 60, 0)]), np.append(rad, np.repeat(rad[:1], 60))
