@@ -46,11 +46,27 @@ PDB = (
 CRYSTAL = (("a", 7, 9), ("b", 16, 9), ("c", 25, 9), ("alpha", 34, 7), ("beta", 41, 7), ("gamma", 48, 7))
 
 
+def hybrid(number: Column, places: int) -> Column:
+    """A number in so many places: decimal, then in base 36 with a first letter A to Z, then in small letters; beyond that anew."""
+    ten, each = 10**places, 26 * 36 ** (places - 1)
+    n = F.pmod(number, F.lit(ten + 2 * each))
+    lettered = lambda k: F.conv((n - ten - k * each + 10 * 36 ** (places - 1)).cast("string"), 10, 36)
+    return F.when(number < ten, F.format_string(f"%{places}d", number)).when(n < ten, F.format_string(f"%{places}d", n)).when(n < ten + each, lettered(0)).otherwise(F.lower(lettered(1)))
+
+
+def from_hybrid(text: Column, places: int, kind: str) -> Column:
+    ten, each = 10**places, 26 * 36 ** (places - 1)
+    value = F.conv(text, 36, 10).cast("long") - 10 * 36 ** (places - 1) + ten
+    large = F.when(text.rlike(f"^[A-Z][0-9A-Z]{{{places - 1}}}$"), value).when(text.rlike(f"^[a-z][0-9a-z]{{{places - 1}}}$"), value + each)
+    return F.coalesce(F.trim(text).try_cast(kind), large.cast(kind))
+
+
 def pdb_record(lines: DataFrame) -> DataFrame:
-    """The fields of atom lines by place; those that are no numbers are null. Massless sites (M, MW) are left out."""
+    """The fields of atom lines by place; those that are no numbers are null. Numbers of atoms and residues may go on in base 36
+    (hybrid). Massless sites (M, MW) are left out."""
     cut = lambda at, n: f"substring(value, {at}, {n})"
     rows = lines.where(F.trim(F.substring("value", 1, 6)).isin("ATOM", "HETATM"))
-    out = rows.select(*[c for c in lines.columns if c != "value"], *[number(cut(at, n), kind).alias(c) for c, at, n, kind in PDB])
+    out = rows.select(*[c for c in lines.columns if c != "value"], *[(from_hybrid(F.substring("value", at, n), n, kind) if c in ("serial", "res_seq") else number(cut(at, n), kind)).alias(c) for c, at, n, kind in PDB])
     return out.where(~F.col("name").isin("M", "MW") & ~F.upper("element").isin("M", "MW"))
 
 
@@ -112,9 +128,39 @@ def cif_atoms(lines: DataFrame) -> DataFrame:
 # GRO
 
 
+def unrolled(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """rows (lines in their order, with section) whose number starts anew at `size`: each fall by more than half of that, within a
+    section, counts as one turn. Splits are counted up by themselves, as in running_section()."""
+    order = W.partitionBy("system_id", "block").orderBy("at")
+    here = F.struct("section", name)
+    ends = rows.groupBy("system_id", "block").agg(F.max_by(here, "at").alias("__last"))
+    ahead = ends.select("system_id", "block", F.lag("__last").over(W.partitionBy("system_id").orderBy("block")).alias("__prior"))
+    rows = rows.join(ahead, ["system_id", "block"]).withColumn("__last", F.coalesce(F.lag(here).over(order), "__prior"))
+    fell = (F.col("__last.section") == F.col("section")) & (F.col(f"__last.{name}") - F.col(name) > size // 2)
+    rows = running_section(rows.withColumn("__fell", fell).drop("__last", "__prior"), F.col("__fell"), "__turn")
+    first = rows.groupBy("system_id", "section").agg(F.min("__turn").alias("__first"))
+    rows = rows.join(first, ["system_id", "section"]).withColumn(name, F.col(name) + size * (F.col("__turn") - F.col("__first")))
+    return rows.drop("__fell", "__turn", "__first")
+
+
+def gro_whole(lines: DataFrame) -> DataFrame:
+    """gro_atoms() with the numbers of atoms and residues that the format's five places have cut off: they go on within a frame,
+    and other lines than atoms part frames."""
+    kept = lines.columns
+    atom = F.col("value").rlike(GRO_LINE)
+    rows = gro_atoms(running_section(lines, ~F.coalesce(atom, F.lit(False))))
+    for name in ("serial", "res_seq"):
+        rows = unrolled(rows.withColumn(name, F.col(name).cast("long")), name, 100000)
+    return rows.select(*[c for c in kept if c != "value"], *[c for c in rows.columns if c not in (*kept, "section")])
+
+
+#: What a line of an atom looks like.
+GRO_LINE = r"^[ \d]{4}\d.{10}[ \d]{4}\d( *-?\d+\.\d+){3}"
+
+
 def gro_atoms(lines: DataFrame) -> DataFrame:
     """Atoms of GRO lines of any precision, in angstrom: the places between the decimal points give the width of a number."""
-    rows = lines.where(F.col("value").rlike(r"^[ \d]{4}\d.{10}[ \d]{4}\d( *-?\d+\.\d+){3}"))
+    rows = lines.where(F.col("value").rlike(GRO_LINE))
     rows = rows.withColumn("__w", F.expr("locate('.', substring(value, 21), locate('.', substring(value, 21)) + 1) - locate('.', substring(value, 21))"))
     at = [(number(f"substring(value, 21 + {k} * __w, __w)") * 10).alias(c) for k, c in enumerate("xyz")]
     element = F.upper(F.regexp_extract(F.trim(F.substring("value", 11, 5)), "[A-Za-z]", 0))
@@ -218,13 +264,13 @@ def log_tables(lines: DataFrame, titles: list[str]) -> DataFrame:
 
 
 def pdb_lines(atoms: DataFrame) -> DataFrame:
-    """(value) of atoms in the PDB format; numbers of atoms and residues start anew where the format has no more places."""
+    """(value) of atoms in the PDB format; numbers of atoms and residues go on in base 36 where the format has no more places."""
     name = F.when(F.length("name") < 4, F.concat(F.lit(" "), F.rpad("name", 3, " "))).otherwise(F.substring("name", 1, 4))
     text = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in atoms.columns else F.lit(d)
     num = lambda c, d: F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in atoms.columns else F.lit(d)
     line = F.format_string(
-        "ATOM  %5d %s%s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("serial") % 100000, name, F.rpad(text("alt_loc", ""), 1, " "), text("res_name", "UNK"), F.rpad(text("chain", ""), 1, " "),
-        F.col("res_seq") % 10000, F.rpad(text("i_code", ""), 1, " "), F.col("x"), F.col("y"), F.col("z"), num("occupancy", 1.0), num("b_factor", 0.0), text("element", ""),
+        "ATOM  %5s %s%s%3s %1s%4s%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", hybrid(F.col("serial"), 5), name, F.rpad(text("alt_loc", ""), 1, " "), text("res_name", "UNK"), F.rpad(text("chain", ""), 1, " "),
+        hybrid(F.col("res_seq"), 4), F.rpad(text("i_code", ""), 1, " "), F.col("x"), F.col("y"), F.col("z"), num("occupancy", 1.0), num("b_factor", 0.0), text("element", ""),
     )
     return atoms.select(line.alias("value"))
 
@@ -232,7 +278,7 @@ def pdb_lines(atoms: DataFrame) -> DataFrame:
 def gro_lines(atoms: DataFrame, decimals: int = 3) -> DataFrame:
     at = f"%{decimals + 5}.{decimals}f"
     line = F.format_string(f"%5d%-5s%5s%5d{at}{at}{at}", F.col("res_seq") % 100000, "res_name", "name", F.col("serial") % 100000, *[F.col(c) / 10 for c in "xyz"])
-    return atoms.select(line.alias("value"))
+    return atoms.select(*[c for c in ORDER if c in atoms.columns], line.alias("value"))
 
 
 def xyzr_lines(balls: DataFrame) -> DataFrame:

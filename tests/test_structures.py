@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellspan.operators import analysis, matching, selection
 from cellspan.sources import structures as R
@@ -143,3 +144,17 @@ def test_lattice_region_is_that_of_all_images():
         every = (spots @ images.T <= (images**2).sum(1) / 2 + 1e-9).all(1)
         ours = (spots @ np.array([n for n, _ in planes]).T <= np.array([o for _, o in planes]) + 1e-9).all(1)
         assert (every == ours).all() and every.any()
+
+
+def test_numbers_beyond_the_places(spark):
+    given = [(n, n // 7, n // 1000, n) for n in (1, 99999, 100000, 100001, 1234567, 43770015, 43770016, 43770017)]
+    a = spark.createDataFrame(given, "serial long, res_seq long, block long, at long").selectExpr("*", "'CA' AS name", "'ALA' AS res_name", "'A' AS chain", "1.0D AS x", "2.0D AS y", "3.0D AS z", "'one' AS system_id")
+    got = R.pdb_record(R.pdb_lines(a.withColumn("res_seq", F.col("res_seq") % 2400000))).orderBy("serial").collect()
+    assert [(r.serial, r.res_seq, r.name, r.x) for r in got] == [(n, k % 2400000, "CA", 1.0) for n, k, _, _ in given]
+    steps = [(n, n // 7, n // 1000, n) for n in range(1, 260000, 13)]
+    a = spark.createDataFrame(steps, "serial long, res_seq long, block long, at long").selectExpr("*", "'CA' AS name", "'ALA' AS res_name", "1.0D AS x", "2.0D AS y", "3.0D AS z", "'one' AS system_id")
+    lines = R.gro_lines(a)
+    more = lines.selectExpr("system_id", "block + 1000 AS block", "at + 1000000 AS at", "value").where("at < 1100000")
+    title = spark.createDataFrame([("one", 999, 0, "a frame")], "system_id string, block long, at long, value string")
+    got = R.gro_whole(lines.union(title).union(more)).orderBy("block", "at").select("serial", "res_seq").collect()
+    assert [tuple(r) for r in got] == [(n, k) for n, k, _, _ in steps] + [(n, k) for n, k, _, _ in steps if n < 100000]
