@@ -4,6 +4,10 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from cellspan.llm import jaccard, simhash
+from cellspan.llm.common import materialize, text_hash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +55,26 @@ def test_one_large_group_keeps_one(spark):
     text = " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
     texts = [changed(rng, text, 1 + k % 5) for k in range(150)]
     assert stage(spark, texts) == brute_kept(texts)
+
+
+def test_simhash_components_are_the_first_candidates(spark):
+    """Every text is held against one of its SimHash component: fingerprints at most three bits apart, and those reached."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(600))
+        texts += [text, changed(rng, text, 1), changed(rng, text, 2), changed(rng, text, 200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "id long, text string").withColumn("th", text_hash(F.col("text")))
+    known = materialize(jaccard.signatures(docs, 5))
+    nodes = {r["id"]: r["node"] for r in known.collect()}
+    got = {(r["a"], r["b"]) for r in jaccard.fingerprint_pairs(docs, known.select("id", "th", "node", "n"), 0.8).collect()}
+    fps, to = [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts], list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            a, b = sorted((to[i], to[j]))
+            to = [a if x == b else x for x in to]
+    want = set()
+    for k in set(to):
+        group = sorted(nodes[i] for i in range(len(texts)) if to[i] == k)
+        want |= {(group[0], b) for b in group[1:]}
+    assert got == want and len(want) >= 12
