@@ -156,6 +156,38 @@ def range_join(balls: DataFrame, gap: float, *more: str) -> DataFrame:
     return both.select(*ordered, "d", "gap")
 
 
+def _held(balls: DataFrame, gap: float) -> tuple[DataFrame, float, float]:
+    """The balls that can have neighbours at all, the side of cells whose balls are all within gap of each other (0 if there
+    is none), and how far apart the centres of neighbours can be."""
+    held = balls.where(" AND ".join(f"abs({c}) < 1e300" for c in ("x", "y", "z", "rad")))  # neither null nor NaN
+    least, most = held.agg(F.coalesce(F.min("rad"), F.lit(0.0)), F.coalesce(F.max("rad"), F.lit(0.0))).first()
+    return held, max((gap + 2 * least) / math.sqrt(3) * (1 - 1e-9), 0.0), max((gap + 2 * most) * (1 + 1e-9), 1e-9)
+
+
+def layers_within(balls: DataFrame, gap: float, start: DataFrame) -> DataFrame:
+    """(node, layer): start(node) is layer 0, each next layer the balls within gap of the last that are in none, until there are
+    none. A ball that shares a small cell with one of the last layer is next to it; the others look for one, by a semi-join on
+    grid cells, so no pair is listed or sent."""
+    held, small, reach = _held(balls, gap)
+    held = held.select("ball_id", "x", "y", "z", "rad")
+    seen = start.select("node", F.lit(0).alias("layer")).distinct().checkpoint()
+    on = held["ball_id"] == seen["node"]
+    front, todo, layer = held.join(seen, on, "left_semi").checkpoint(), held.join(seen, on, "left_anti").checkpoint(), 0
+    while not front.isEmpty():
+        layer += 1
+        direct = todo.select("ball_id", *cell("", small)).join(front.select(*cell("", small)).distinct(), ["cx", "cy", "cz"], "left_semi").select("ball_id").checkpoint() if small else None
+        left = todo.join(direct, "ball_id", "left_anti") if small else todo
+        a = around(named(left, "a"), "a", reach).alias("a")
+        b = named(front, "b").select("*", *cell("b", reach)).alias("b")
+        close = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
+        near = G.distance(G.point("a"), G.point("b")) - F.col("a_rad") - F.col("b_rad") <= gap
+        found = a.join(b, close & near, "left_semi").select(F.col("a_id").alias("ball_id")).distinct()
+        found = (found.union(direct) if small else found).checkpoint()
+        front, todo = todo.join(found, "ball_id", "left_semi").checkpoint(), todo.join(found, "ball_id", "left_anti").checkpoint()
+        seen = seen.union(found.select("ball_id", F.lit(layer))).checkpoint()
+    return seen
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(ball_id, other, d, gap) for either end of each pair."""
     return pairs.select(F.col("a_id").alias("ball_id"), F.col("b_id").alias("other"), "d", "gap").union(pairs.select("b_id", "a_id", "d", "gap"))

@@ -53,3 +53,26 @@ def test_nearest_of_copies_in_one_place(spark):
         d = np.sqrt(((at - at[i]) ** 2).sum(1)) - rad[i] - rad
         order = [j for j in sorted(range(260), key=lambda j: (round(d[j], 9), j)) if j != i][:3]
         assert [got[i][k] for k in (1, 2, 3)] == order
+
+
+def crowds(spark):
+    """Two crowds, a chain between one of them and beyond, and balls on their own."""
+    at, rad, b = dense(spark, 400, 8)
+    more = np.random.default_rng(9).uniform(-25, 25, (150, 3))
+    at, rad = np.vstack([at / 3, at[:200] / 3 + [22, 0, 0], more]), np.concatenate([rad, rad[:200], np.where(np.arange(150) % 9 == 0, 2.6, 1.1)])
+    rows = [(i, *map(float, p), float(r)) for i, (p, r) in enumerate(zip(at, rad, strict=True))]
+    b = spark.createDataFrame([*rows, (9000, float("nan"), 0.0, 0.0, 1.0), (9001, 0.0, 0.0, None, 1.0)], b.schema)
+    near = np.sqrt(((at[:, None] - at) ** 2).sum(2)) - rad[:, None] - rad <= 0.3
+    np.fill_diagonal(near, False)
+    return near, b
+
+
+def test_layers_list_no_pairs(spark, monkeypatch):
+    near, b = crowds(spark)
+    monkeypatch.setattr(spatial, "range_join", None)
+    got = {r.node: r.layer for r in spatial.layers_within(b, 0.3, b.where("ball_id % 97 = 5 OR ball_id = 9000").selectExpr("ball_id AS node")).collect()}
+    want, front, k = {9000: 0}, [i for i in range(len(near)) if i % 97 == 5], 0
+    while front:
+        want |= dict.fromkeys(front, k)
+        k, front = k + 1, [i for i in range(len(near)) if i not in want and near[i, front].any()]
+    assert got == want and max(want.values()) > 2
