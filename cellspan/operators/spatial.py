@@ -164,6 +164,29 @@ def _held(balls: DataFrame, gap: float) -> tuple[DataFrame, float, float]:
     return held, max((gap + 2 * least) / math.sqrt(3) * (1 - 1e-9), 0.0), max((gap + 2 * most) * (1 + 1e-9), 1e-9)
 
 
+def component_links(balls: DataFrame, gap: float, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of balls whose surfaces are at most gap apart, enough of them for the components of all such pairs: work
+    grows with the balls, not with their pairs. Balls of one small cell are linked to its first; two of each cell, the outermost,
+    are joined by range; and then, of what components(edges) leaves apart, all pairs."""
+    held, small, reach = _held(balls, gap)
+    if not small:
+        return range_join(held, gap).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    keys = ["cx", "cy", "cz"]
+    placed = held.select("ball_id", "x", "y", "z", "rad", *cell("", small))
+    outer = [F.min_by("ball_id", "x"), F.max_by("ball_id", "x")]
+    per = placed.groupBy(*keys).agg(F.min("ball_id").alias("a"), F.array_distinct(F.array(*outer)).alias("picks")).checkpoint()
+    stars = placed.join(per.select(*keys, "a"), keys).where("ball_id <> a").select("a", F.col("ball_id").alias("b"))
+    picks = held.join(per.select(F.explode("picks").alias("ball_id")), "ball_id", "left_semi")
+    links = stars.union(range_join(picks, gap).select("a_id", "b_id")).checkpoint()
+    known = held.select("ball_id", "x", "y", "z", "rad").join(components(links).select(F.col("node").alias("ball_id"), "component"), "ball_id", "left")
+    known = known.withColumn("component", F.coalesce("component", "ball_id")).checkpoint()
+    spots = known.select("component", *[(c * reach).alias(k) for k, c in zip("xyz", cell("", reach), strict=True)]).distinct()
+    mixed = around(spots.select("component", *[(F.col(k) + reach / 2).alias(k) for k in "xyz"]), "", reach).groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    apart = known.select("*", *cell("", reach)).join(mixed.where("lo < hi"), keys, "left_semi").drop(*keys)
+    rest = range_join(apart, gap, "component").where("a_component <> b_component")
+    return links.union(rest.select("a_id", "b_id"))
+
+
 def layers_within(balls: DataFrame, gap: float, start: DataFrame) -> DataFrame:
     """(node, layer): start(node) is layer 0, each next layer the balls within gap of the last that are in none, until there are
     none. A ball that shares a small cell with one of the last layer is next to it; the others look for one, by a semi-join on

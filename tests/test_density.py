@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellspan.operators import curved_cells, power_cells, spatial
+from cellspan.operators import curved_cells, graphs, power_cells, spatial
 from cellspan.plans.space import spatial_checkpoints
 
 
@@ -67,6 +67,21 @@ def crowds(spark):
     return near, b
 
 
+def test_components_from_few_links(spark):
+    near, b = crowds(spark)
+    links = spatial.component_links(b, 0.3, graphs.components).checkpoint()
+    assert all(near[r.a, r.b] for r in links.collect())
+    assert links.count() < near.sum() / 2 / 4
+    want = np.arange(len(near))
+    while True:
+        new = np.minimum(want, np.where(near, want, len(near)).min(1))
+        if (new == want).all():
+            break
+        want = new
+    got = {r.node: r.component for r in graphs.components(links).collect()}
+    assert got == {i: want[i] for i in range(len(near)) if near[i].any()}
+
+
 def test_layers_list_no_pairs(spark, monkeypatch):
     near, b = crowds(spark)
     monkeypatch.setattr(spatial, "range_join", None)
