@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -130,18 +131,25 @@ def pairs_within(balls: DataFrame, reach: float, *more: str) -> DataFrame:
     return both.where(F.col("d") <= reach).drop("cx", "cy", "cz")
 
 
+def band(r: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(r), F.lit(1e-9)))).cast("int")
+
+
+def _levels(balls: DataFrame, gap: float) -> tuple[dict[int, float], Column]:
+    """The bands of radii whose balls can be within gap of those of their own or smaller bands, with the side of their grid cells,
+    and that side as a column of `level`."""
+    # radii of doubles make at most two thousand bands, real ones a handful
+    bands = sorted(r[0] for r in balls.where("rad IS NOT NULL").select(band("rad")).distinct().collect())
+    sizes = {q: gap + 2.0 ** (q + 2) for q in bands if gap + 2.0 ** (q + 2) > 0} or {0: 1.0}
+    return sizes, F.element_at(F.create_map(*[F.lit(x) for q, s in sizes.items() for x in (q, float(s))]), F.col("level"))
+
+
 def range_join(balls: DataFrame, gap: float, *more: str) -> DataFrame:
     """Pairs a < b whose surfaces are at most gap apart, with d (centres) and gap (surfaces).
 
     Balls are banded by their radius, a band for each doubling. A ball looks among those of its own and of larger bands, in
     cells of the band's size; so a large ball makes the cells large for large balls only."""
-    band = lambda r: F.floor(F.log2(F.greatest(F.col(r), F.lit(1e-9)))).cast("int")
-    # radii of doubles make at most two thousand bands, real ones a handful
-    bands = sorted(r[0] for r in balls.where("rad IS NOT NULL").select(band("rad")).distinct().collect())
-    sizes = {q: gap + 2.0 ** (q + 2) for q in bands if gap + 2.0 ** (q + 2) > 0}
-    if not sizes:
-        sizes = {0: 1.0}
-    size = F.element_at(F.create_map(*[F.lit(x) for q, s in sizes.items() for x in (q, float(s))]), F.col("level"))
+    sizes, size = _levels(balls, gap)
     a = named(balls, "a", *more).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda q: q >= band("a_rad"))))
     a = around(a.withColumn("size", size), "a", F.col("size")).drop("size")
     b = named(balls, "b", *more).withColumn("level", band("b_rad"))
@@ -211,6 +219,113 @@ def layers_within(balls: DataFrame, gap: float, start: DataFrame) -> DataFrame:
     return seen
 
 
+#: A tile of pairs: rows of the one block, distances of all the other's balls to them, gaps of surfaces (infinite for what another
+#: tile has, or is the same ball), which of these are pairs.
+Tile = tuple[slice, np.ndarray, np.ndarray, np.ndarray]
+
+
+def fold_within(balls: DataFrame, gap: float, fold: Callable[[dict, dict, Iterator[Tile]], pa.RecordBatch], schema: str, *more: str, each: int = 8192) -> DataFrame:
+    """What fold(a, b, tiles) makes of the pairs of range_join(balls, gap), a row's columns as in schema. No pair is listed or sent: balls
+    of a grid cell are dealt to blocks of about `each`, and a block meets those of its own and the cells around, once each, as
+    arrays. a and b hold the blocks' columns; the tiles hold all pairs of theirs, each once, whichever has the lesser id."""
+    sizes, size = _levels(balls, gap)
+    keys, columns = ["level", "own", "cx", "cy", "cz"], ["ball_id", "x", "y", "z", "rad", *more]
+    rows = balls.select(*columns, F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda q: q >= band("rad"))).alias("level"))
+    rows = rows.where(" AND ".join(f"abs({c}) < double('inf')" for c in "xyz") + " AND rad IS NOT NULL AND NOT isnan(rad)").select("*", (band("rad") == F.col("level")).alias("own"), *cell("", size))
+    crowded = rows.groupBy(*keys).count().where(F.col("count") > each).select(*keys, F.ceil(F.col("count") / each).alias("parts"))  # few
+    part = F.pmod(F.xxhash64("ball_id"), F.coalesce("parts", F.lit(1).cast("long")))
+    blocks = rows.join(F.broadcast(crowded), keys, "left").groupBy(*keys, part.alias("part")).agg(F.count("*").alias("n"), F.collect_list(F.struct(*columns)).alias("s")).checkpoint()
+    # of two cells of one level, the first in order asks
+    steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"d{k}") for k, v in zip("xyz", at, strict=True)]) for at in product((-1, 0, 1), repeat=3)])
+    still = F.struct(*[F.lit(0).cast("long").alias(f"d{k}") for k in "xyz"])
+    a = blocks.select("level", "own", *[F.col(f"c{k}").alias(f"o{k}") for k in "xyz"], F.col("part").alias("pa"), F.col("n").alias("na"), F.col("s").alias("a"), F.explode(steps).alias("step"))
+    a = a.where(~F.col("own") | (F.col("step") >= still)).withColumns({f"c{k}": F.col(f"o{k}") + F.col(f"step.d{k}") for k in "xyz"})
+    b = blocks.where("own").select("level", "cx", "cy", "cz", F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("s").alias("b"))
+    alone = F.col("own") & (F.col("step") == still)
+    both = a.join(b, ["level", "cx", "cy", "cz"]).where(~alone | (F.col("pa") <= F.col("pb"))).withColumn("same", alone & (F.col("pa") == F.col("pb")))
+    sent = both.agg(F.coalesce(F.sum(F.col("na") + F.col("nb")), F.lit(0))).first()[0]
+
+    def block(at: pa.ListScalar) -> dict:
+        held = at.values
+        return {c: held.field(c).to_numpy(zero_copy_only=False) for c in columns}
+
+    def tiles(x: dict, y: dict, same: bool) -> Iterator[Tile]:
+        # tiles stay in a core's cache, and their arrays are used again by the next
+        n, m = len(x["ball_id"]), len(y["ball_id"])
+        step = min(n, max(1, 65_536 // m))
+        shared = len(np.unique(x["ball_id"])) < n if same else len(np.intersect1d(x["ball_id"], y["ball_id"])) > 0
+        far, apart, more, found = np.empty((step, m)), np.empty((step, m)), np.empty((step, m)), np.empty((step, m), bool)
+        for k in range(0, n, step):
+            on = slice(k, min(k + step, n))
+            d, between, t, pair = (v[: on.stop - k] for v in (far, apart, more, found))
+            np.square(np.subtract(x["x"][on, None], y["x"], out=d), out=d)
+            for c in "yz":
+                np.add(d, np.square(np.subtract(x[c][on, None], y[c], out=t), out=t), out=d)
+            np.sqrt(d, out=d)
+            np.subtract(np.subtract(d, x["rad"][on, None], out=between), y["rad"], out=between)
+            if same:
+                between[np.arange(k, on.stop)[:, None] >= np.arange(m)] = np.inf
+            if shared:
+                between[x["ball_id"][on, None] == y["ball_id"]] = np.inf
+            yield on, d, between, np.less_equal(between, gap, out=pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                x, y = block(x), block(y)
+                yield fold(x, y, tiles(x, y, same))
+
+    n = max(balls.sparkSession.sparkContext.defaultParallelism * 4, sent // (8 * each))
+    return both.repartition(n, "level", "own", "ox", "oy", "oz", "step", "pa", "pb").select("a", "b", "same").mapInArrow(run, schema)
+
+
+def neighbor_sums(balls: DataFrame, gap: float, near: float) -> DataFrame:
+    """(ball_id, n, n_near, nearest_gap, mean_d, rmsd) of each ball's neighbours, whose surfaces are at most gap apart (near: n_near):
+    how many, the least gap, mean and standard deviation of the distances."""
+
+    def fold(a: dict, b: dict, tiles: Iterator[Tile]) -> pa.RecordBatch:
+        sides = [[np.zeros(len(x["ball_id"])), np.zeros(len(x["ball_id"])), np.full(len(x["ball_id"]), np.inf), *np.zeros((2, len(x["ball_id"])))] for x in (a, b)]
+        for on, d, between, pair in tiles:
+            far, close = np.multiply(d, pair, out=d), pair & (between <= near)
+            ones = [np.ones(k) for k in far.shape]
+            sums = [(far @ ones[1], between.min(1)), (ones[0] @ far, between.min(0))]
+            squares_of = np.square(far, out=far)
+            for (n, n_near, nearest, total, squares), where, axis in ((sides[0], on, 1), (sides[1], slice(None), 0)):
+                n[where] += np.count_nonzero(pair, axis)
+                n_near[where] += np.count_nonzero(close, axis)
+                nearest[where] = np.minimum(nearest[where], sums[1 - axis][1])
+                total[where] += sums[1 - axis][0]
+                squares[where] += squares_of @ ones[1] if axis else ones[0] @ squares_of
+        ids, cols = np.concatenate([a["ball_id"], b["ball_id"]]), [np.concatenate(x) for x in zip(*sides, strict=True)]
+        has = cols[0] > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[has]), *[pa.array(c[has].astype(np.int64)) for c in cols[:2]], *[pa.array(c[has]) for c in cols[2:]]], ["ball_id", "n", "n_near", "least", "total", "squares"])
+
+    kind = dict(balls.dtypes)["ball_id"]
+    parts = fold_within(balls, gap, fold, f"ball_id {kind}, n long, n_near long, least double, total double, squares double")
+    sums = parts.groupBy("ball_id").agg(*[F.sum(c).alias(c) for c in ("n", "n_near", "total", "squares")], F.min("least").alias("nearest_gap"))
+    mean = F.col("total") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("ball_id", "n", "n_near", "nearest_gap", mean.alias("mean_d"), spread.alias("rmsd"))
+
+
+def kind_sums(balls: DataFrame, gap: float, kind: str) -> DataFrame:
+    """(a_kind, b_kind, n, overlap), a_kind <= b_kind: pairs whose surfaces are at most gap apart by the kinds (whole numbers) of both."""
+
+    def fold(a: dict, b: dict, tiles: Iterator[Tile]) -> pa.RecordBatch:
+        (ka, ia), (kb, ib) = (np.unique(x[kind], return_inverse=True) for x in (a, b))
+        n, overlap = np.zeros((2, len(ka), len(kb)))
+        of = np.eye(len(kb))[ib]
+        for on, _, between, pair in tiles:
+            np.add.at(n, ia[on], pair.astype(np.float64) @ of)
+            np.add.at(overlap, ia[on], np.maximum(np.negative(between, out=between), 0.0, out=between) * pair @ of)
+        i, j = np.nonzero(n)
+        low, high = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+        return pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64)), pa.array(n[i, j].astype(np.int64)), pa.array(overlap[i, j])], ["a_kind", "b_kind", "n", "overlap"])
+
+    parts = fold_within(balls, gap, fold, "a_kind long, b_kind long, n long, overlap double", kind)
+    return parts.groupBy("a_kind", "b_kind").agg(F.sum("n").alias("n"), F.sum("overlap").alias("overlap"))
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(ball_id, other, d, gap) for either end of each pair."""
     return pairs.select(F.col("a_id").alias("ball_id"), F.col("b_id").alias("other"), "d", "gap").union(pairs.select("b_id", "a_id", "d", "gap"))

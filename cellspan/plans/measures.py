@@ -63,8 +63,7 @@ def spike_extrema(spark, sf_dir):
 )
 def neighbor_jaccard(spark, sf_dir):
     """Of the neighbour sets at two ranges; the near one is part of the wide one, so one join gives both."""
-    near = (F.col("gap") <= NEAR).cast("long")
-    n = spatial.both_ways(spatial.range_join(balls(spark, sf_dir), GAP)).groupBy("ball_id").agg(F.count("*").alias("n_wide"), F.sum(near).alias("n_near"))
+    n = spatial.neighbor_sums(balls(spark, sf_dir), GAP, NEAR).select("ball_id", F.col("n").alias("n_wide"), "n_near")
     return r6(n.withColumn("jaccard", F.col("n_near") / F.col("n_wide")))
 
 

@@ -116,8 +116,11 @@ def surface_chemistry_class(spark, sf_dir):
     """Pairs of neighbours by the chemistry of both sides."""
     e = with_elements(spark, sf_dir)
     kinds = e.withColumn("kind", C.atom_class(F.col("res_name"), F.col("element")))
-    p = spatial.range_join(kinds, NEAR, "kind").withColumn("kind", C.pair_class(F.col("a_kind"), F.col("b_kind")))
-    return r6(p.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.greatest(-F.col("gap"), F.lit(0.0))).alias("overlap")))
+    names = ("excluded", "nonpolar", "other")
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) + 1).cast("int"))
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("kind")) - 1
+    p = spatial.kind_sums(kinds.withColumn("kind", number), NEAR, "kind").withColumn("kind", C.pair_class(name("a_kind"), name("b_kind")))
+    return r6(p.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("overlap").alias("overlap")))
 
 
 @query(f"WITH {E_ATOMS} SELECT ball_id FROM e WHERE (name = 'CA' AND pos BETWEEN 20 AND 299) OR (res_name = 'LYS' AND name = 'NZ') OR element = 'SE'")

@@ -91,3 +91,38 @@ def test_layers_list_no_pairs(spark, monkeypatch):
         want |= dict.fromkeys(front, k)
         k, front = k + 1, [i for i in range(len(near)) if i not in want and near[i, front].any()]
     assert got == want and max(want.values()) > 2
+
+
+def brute(at, rad, ids, gap):
+    """(i, j, distance, gap of surfaces) of all pairs of different ids that are near, i < j."""
+    i, j = np.triu_indices(len(at), 1)
+    d = np.sqrt(((at[i] - at[j]) ** 2).sum(1))
+    on = (d - rad[i] - rad[j] <= gap) & (ids[i] != ids[j])
+    return i[on], j[on], d[on], (d - rad[i] - rad[j])[on]
+
+
+@pytest.mark.parametrize("each", [16, 8192])
+def test_sums_over_neighbours_list_no_pairs(spark, monkeypatch, each):
+    """Bands of several radii, ids that come twice, blocks of few balls; no pair is joined."""
+    at, rad, _ = dense(spark, 500)
+    rad[::25], ids = 6.0, np.arange(500)
+    ids[1::50] = ids[::50]
+    kind = ids % 3
+    b = spark.createDataFrame([(int(k), *map(float, p), float(r), int(c)) for k, p, r, c in zip(ids, at, rad, kind, strict=True)], "ball_id long, x double, y double, z double, rad double, kind long")
+    b = b.union(spark.sql("SELECT 900L, double(null), 0D, 0D, 1D, 0L UNION ALL SELECT 901L, 0D, 0D, 0D, double(null), 0L UNION ALL SELECT 902L, double('nan'), 0D, 0D, 1D, 0L"))
+    monkeypatch.setattr(spatial, "range_join", None)
+    fold = spatial.fold_within
+    monkeypatch.setattr(spatial, "fold_within", lambda *args: fold(*args, each=each))
+    for gap, near in ((1.0, 0.3), (-1.0, -2.0)):
+        i, j, d, between = brute(at, rad, ids, gap)
+        got = {r.ball_id: r for r in spatial.neighbor_sums(b, gap, near).collect()}
+        assert set(got) == set(ids[i]) | set(ids[j])
+        for k, r in got.items():
+            on = np.concatenate([np.flatnonzero(ids[i] == k), np.flatnonzero(ids[j] == k)])
+            assert (r.n, r.n_near) == (len(on), (between[on] <= near).sum())
+            assert np.allclose((r.nearest_gap, r.mean_d, r.rmsd), (between[on].min(), d[on].mean(), d[on].std()), rtol=0, atol=1e-7)
+        low, high = np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])
+        sums = {(r.a_kind, r.b_kind): (r.n, r.overlap) for r in spatial.kind_sums(b, gap, "kind").collect()}
+        for a, c in {*zip(low.tolist(), high.tolist(), strict=True), *sums}:
+            on = (low == a) & (high == c)
+            assert sums[a, c][0] == on.sum() and abs(sums[a, c][1] - np.maximum(-between[on], 0).sum()) < 1e-6
