@@ -185,15 +185,25 @@ def _rows(records: DataFrame) -> DataFrame:
     return records.withColumn("l", F.split(whole, "\n")).withColumn("v3000", F.get("l", F.lit(3)).contains("V3000"))
 
 
+def mol_parts(records: DataFrame) -> DataFrame:
+    """records' other columns, atoms (atom, element, x, y, z; atom from 1) and bonds (a, b, kind) of V2000 and V3000 molecules, a row
+    each: a molecule is read once for both, and nothing is shuffled."""
+    count = lambda at: F.coalesce(F.expr(f"try_cast(trim(substring(get(l, 3), {at}, 3)) AS int)"), F.lit(0))
+    text = lambda t, at, n: F.trim(F.substring(t, at, n))
+    fields = lambda name: F.transform(_block(name), lambda t: F.split(F.trim(F.substring(t, 8, 1 << 30)), r"\s+"))
+    old_atom = lambda t, k: F.struct((k + 1).cast("long").alias("atom"), text(t, 32, 3).alias("element"), *[text(t, 1 + 10 * i, 10).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    new_atom = lambda p: F.struct(F.get(p, F.lit(0)).try_cast("long").alias("atom"), F.get(p, F.lit(1)).alias("element"), *[F.get(p, F.lit(2 + i)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    old_bond = lambda t: F.struct(*[text(t, at, 3).try_cast("long").alias(c) for c, at in (("a", 1), ("b", 4), ("kind", 7))])
+    new_bond = lambda p: F.struct(*[F.get(p, F.lit(k)).try_cast("long").alias(c) for c, k in (("a", 2), ("b", 3), ("kind", 1))])
+    form = lambda new, old: F.when(F.col("v3000"), new).when(~F.col("v3000"), old)
+    atoms = form(F.transform(fields("ATOM"), new_atom), F.transform(F.slice("l", F.lit(5), count(1)), old_atom))
+    bonds = form(F.when(F.array_contains("l", "M  V30 BEGIN BOND"), F.transform(fields("BOND"), new_bond)), F.transform(F.slice("l", F.lit(5) + count(1), count(4)), old_bond))
+    return _rows(records).select(*[c for c in records.columns if c != "value"], atoms.alias("atoms"), bonds.alias("bonds"))
+
+
 def mol_atoms(records: DataFrame) -> DataFrame:
     """(system_id, record, atom, element, x, y, z, rad) of V2000 and V3000 molecules, atom from 1."""
-    rows = _rows(records)
-    n = F.expr("try_cast(trim(substring(get(l, 3), 1, 3)) AS int)")
-    old = rows.where("NOT v3000").select("system_id", "record", F.posexplode(F.slice("l", F.lit(5), F.coalesce(n, F.lit(0)))).alias("k", "t"))
-    old = old.select("system_id", "record", (F.col("k") + 1).cast("long").alias("atom"), number("substring(t, 32, 3)", "string").alias("element"), *[number(f"substring(t, {1 + 10 * i}, 10)").alias(c) for i, c in enumerate("xyz")])
-    new = rows.where("v3000").select("system_id", "record", F.explode(_block("ATOM")).alias("t")).withColumn("p", F.split(F.trim(F.expr("substring(t, 8)")), r"\s+"))
-    new = new.select("system_id", "record", F.expr("try_cast(p[0] AS bigint)").alias("atom"), F.expr("p[1]").alias("element"), *[F.expr(f"try_cast(p[{2 + i}] AS double)").alias(c) for i, c in enumerate("xyz")])
-    return old.union(new).withColumn("rad", radius(F.upper("element")))
+    return mol_parts(records).select("system_id", "record", F.explode("atoms").alias("t")).select("system_id", "record", "t.*").withColumn("rad", radius(F.upper("element")))
 
 
 def _block(name: str) -> Column:
@@ -203,12 +213,7 @@ def _block(name: str) -> Column:
 
 def mol_bonds(records: DataFrame) -> DataFrame:
     """(system_id, record, a, b, kind) of the bonds."""
-    rows = _rows(records)
-    count = lambda at: F.coalesce(F.expr(f"try_cast(trim(substring(get(l, 3), {at}, 3)) AS int)"), F.lit(0))
-    old = rows.where("NOT v3000").select("system_id", "record", F.explode(F.slice("l", F.lit(5) + count(1), count(4))).alias("t"))
-    old = old.select("system_id", "record", *[number(f"substring(t, {at}, 3)", "bigint").alias(c) for c, at in (("a", 1), ("b", 4), ("kind", 7))])
-    new = rows.where(F.col("v3000") & F.array_contains("l", "M  V30 BEGIN BOND")).select("system_id", "record", F.explode(_block("BOND")).alias("t")).withColumn("p", F.split(F.trim(F.expr("substring(t, 8)")), r"\s+"))
-    return old.union(new.select("system_id", "record", *[F.expr(f"try_cast(p[{k}] AS bigint)").alias(c) for c, k in (("a", 2), ("b", 3), ("kind", 1))]))
+    return mol_parts(records).select("system_id", "record", F.explode("bonds").alias("t")).select("system_id", "record", "t.*")
 
 
 # Plain tables and index files

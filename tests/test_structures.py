@@ -158,3 +158,21 @@ def test_numbers_beyond_the_places(spark):
     title = spark.createDataFrame([("one", 999, 0, "a frame")], "system_id string, block long, at long, value string")
     got = R.gro_whole(lines.union(title).union(more)).orderBy("block", "at").select("serial", "res_seq").collect()
     assert [tuple(r) for r in got] == [(n, k) for n, k, _, _ in steps] + [(n, k) for n, k, _, _ in steps if n < 100000]
+
+
+def test_mol_reader_reads_each_table_once(spark, sf_dir):
+    from cellspan.plans.structures import mol_reader
+
+    plan = mol_reader(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate ") == 1 and "Union" not in plan
+
+
+def test_mol_parts_of_both_forms(spark):
+    old = "m\n\n\n  2  1  0  0  0  0  0  0  0999 V2000\n    1.0000    2.0000    3.0000 C   0  0\n    4.0000    5.0000    6.0000 N   0  0\n  1  2  1  0\nM  END\n"
+    new = "m\n\n\n  0  0  0     0  0            999 V3000\nM  V30 BEGIN CTAB\nM  V30 BEGIN ATOM\nM  V30 1 C -\nM  V30 1.5 0 x 0\nM  V30 END ATOM\nM  V30 END CTAB\nM  END\n"
+    rows = spark.createDataFrame([("f", 1, old), ("f", 2, new), ("f", 3, "m\n"), ("f", 4, None)], "system_id string, record long, value string")
+    got = {r.record: r for r in R.mol_parts(rows).collect()}
+    assert [(a.atom, a.element, a.x, a.y, a.z) for a in got[1].atoms] == [(1, "C", 1.0, 2.0, 3.0), (2, "N", 4.0, 5.0, 6.0)] and [tuple(b) for b in got[1].bonds] == [(1, 2, 1)]
+    assert [(a.atom, a.element, a.x, a.y, a.z) for a in got[2].atoms] == [(1, "C", 1.5, 0.0, None)] and got[2].bonds is None
+    assert got[3].atoms is None and got[4].atoms is None
+    assert R.mol_atoms(rows).count() == 3 and R.mol_bonds(rows).count() == 1
