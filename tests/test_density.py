@@ -126,3 +126,18 @@ def test_sums_over_neighbours_list_no_pairs(spark, monkeypatch, each):
         for a, c in {*zip(low.tolist(), high.tolist(), strict=True), *sums}:
             on = (low == a) & (high == c)
             assert sums[a, c][0] == on.sum() and abs(sums[a, c][1] - np.maximum(-between[on], 0).sum()) < 1e-6
+
+
+def test_listed_pairs_are_those_of_the_join(spark, monkeypatch):
+    """Two bands of radii, ids that come twice; crowded balls are not joined as rows."""
+    at, rad, b = dense(spark, 300)
+    b = b.selectExpr("CASE WHEN ball_id = 7 THEN 8 ELSE ball_id END AS ball_id", "x", "y", "z", "CASE WHEN ball_id % 25 = 0 THEN 6.0D ELSE rad END AS rad")
+    columns = spatial.range_join(b, 1.0).columns
+    want = sorted(map(tuple, spatial.range_join(b, 1.0).collect()))
+    monkeypatch.setattr(spatial, "range_join", None)
+    fold = spatial.fold_within
+    for each in (16, 8192):
+        monkeypatch.setattr(spatial, "fold_within", lambda *args, each=each: fold(*args, each=each))
+        got = sorted(map(tuple, spatial.listed_pairs(b, 1.0).select(columns).collect()))
+        assert [r[:-1] for r in got] == [r[:-1] for r in want]
+        assert np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=0, atol=1e-12)  # the radii are taken off in either order
