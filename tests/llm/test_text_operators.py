@@ -56,6 +56,26 @@ def test_backoff_matches_brute_force(spark, order):
     assert [got[i] for i in range(len(texts))] == brute_backoff(texts, order, 0.4)
 
 
+def test_backoff_in_rounds_sends_no_row_an_ngram(spark):
+    """Many small parts, counted in rounds of the hash space, give the same scores, and n-grams leave their blocks in arrays."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["The", "of", "cat", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    df = docs_of(spark, list(enumerate(texts))).repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["log_score"], r["n_full"], r["n_backed_off"], r["n_unseen"]) for r in backoff.stupid_backoff(df, part=100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_backoff(texts, 3, 0.4)
+    blocks = backoff.in_blocks(df.selectExpr("doc_id id", "xxhash64(text) th", "1 m", "text"))
+    counts = backoff.block_counts(blocks, 3, 2, 0, 4)
+    assert counts.count() <= 4 * blocks.count() < 60 < counts.selectExpr("sum(size(h))").first()[0]
+
+
+def test_backoff_of_repeated_rows(spark):
+    """Rows alike in id and text are documents of their own: each sees the others."""
+    texts = ["a b c a", "a b c a", "a b", "c"]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    got = sorted((r["n_words"], round(r["log_score"], 6), r["n_full"], r["n_backed_off"], r["n_unseen"]) for r in backoff.stupid_backoff(df).collect())
+    assert got == sorted((a, round(b.expected, 6), c, d, e) for a, b, c, d, e in brute_backoff(texts, 3, 0.4))
+
+
 def test_backoff_of_an_empty_table_and_null_ids(spark):
     assert backoff.stupid_backoff(docs_of(spark, [])).collect() == []
     assert len(backoff.stupid_backoff(docs_of(spark, [(None, "a b"), (None, "a b"), (1, None)])).collect()) == 3
