@@ -78,3 +78,19 @@ def test_simhash_components_are_the_first_candidates(spark):
         group = sorted(nodes[i] for i in range(len(texts)) if to[i] == k)
         want |= {(group[0], b) for b in group[1:]}
     assert got == want and len(want) >= 12
+
+
+def test_components_are_only_run_where_links_need_them(spark, monkeypatch):
+    """SimHash's stars need no rounds, and links between components only join components: one run without such links, two with."""
+    rng, runs, texts = random.Random(13), [], []
+    whole = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: runs.append(1) or whole(edges))
+    for _ in range(3):
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(600))
+        texts += [text, changed(rng, text, 1), changed(rng, text, 2)]
+    assert stage(spark, texts) == brute_kept(texts) == [0, 3, 6] and len(runs) == 1
+    runs.clear()
+    monkeypatch.setattr(jaccard, "leader_links", lambda rows, *_: rows.selectExpr("node AS a", "node AS b").where("false"))
+    for _ in range(6):  # each is like the one before it
+        texts.append(changed(rng, texts[-1], 8))
+    assert stage(spark, texts) == brute_kept(texts) and len(runs) == 2
