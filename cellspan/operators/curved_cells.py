@@ -9,13 +9,13 @@ that widen for the balls that are still open, each only as far as its own cell a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.operators.power_cells import clip
 from cellspan.operators.spatial import close_reach, gathered, named, pieces
 
 CAP = -1
@@ -31,132 +31,146 @@ def functions(centre: np.ndarray, rad: float, at: np.ndarray, rads: np.ndarray)
     return d[bounds] * over[bounds, None], s[bounds] * over[bounds], np.flatnonzero(bounds), bool((s >= far).any())
 
 
-def circle(normal: np.ndarray, offset: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Middle and two half-axes of the unit sphere's circle normal @ u = offset."""
-    (x, y, z), (lx, ly, lz) = normal.tolist(), np.eye(3)[np.argmin(np.abs(normal))].tolist()
-    e1 = np.array([y * lz - z * ly, z * lx - x * lz, x * ly - y * lx])
-    e1 /= np.linalg.norm(e1)
-    ex, ey, ez = e1.tolist()
-    size = np.sqrt(max(1 - offset * offset, 0.0))
-    return normal * offset, e1 * size, np.array([y * ez - z * ey, z * ex - x * ez, x * ey - y * ex]) * size
-
-
-def crossings(at: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a polyhedron's edges meet the unit sphere, and the two planes of each."""
-    same = (planes[:, None, :, None] == planes[None, :, None, :]).any(3)
-    i, j = np.nonzero(np.triu(same.sum(2) == 2, 1))
-    both = planes[i][same[i, j]].reshape(-1, 2)
-    d = at[j] - at[i]
-    p, q, r = (d * d).sum(1), 2 * (at[i] * d).sum(1), (at[i] * at[i]).sum(1) - 1
-    disc = q * q - 4 * p * r
-    out_at, out_planes = [np.empty((0, 3))], [np.empty((0, 2), int)]
-    for sign in (-1, 1):
-        with np.errstate(all="ignore"):
-            t = (-q + sign * np.sqrt(disc)) / (2 * p)
-        on = (disc > 0) & (t >= 0) & (t <= 1)
-        out_at.append(at[i][on] + t[on, None] * d[on])
-        out_planes.append(both[on])
-    return np.concatenate(out_at), np.concatenate(out_planes)
-
-
-def polyhedron(a: np.ndarray, b: np.ndarray, j: int) -> tuple | None:
-    """Where function j is greatest: vertices and their planes, and the planes' normals, offsets and functions; None where
-    that does not reach the unit sphere."""
-    away = a - a[j]
-    length = np.linalg.norm(away, axis=1)
-    real = length > 1e-300
-    if (b[~real] > b[j]).any():
-        return None
-    others = np.flatnonzero(real)
-    normals, offsets = away[others] / length[others, None], (b[j] - b[others]) / length[others]
-    if (offsets < -1).any():  # another one is greater all over the sphere
-        return None
-    order = np.argsort(offsets - normals @ a[j] / max(np.linalg.norm(a[j]), 1e-300))
-    normals, offsets, others = normals[order], offsets[order], others[order]
-    at, planes = clip(normals, offsets, 1.1, 1e-13)
-    return (at, planes, normals, offsets, others) if len(at) and (np.linalg.norm(at, axis=1) >= 1).any() else None
-
-
-def rivals(a: np.ndarray, b: np.ndarray, least: float, first: int = 20) -> np.ndarray:
-    """The functions that might be greatest somewhere: of those with the highest peaks the ones that are among these, and the
-    others that exceed one of them at a corner of its polyhedron, which holds all of its part of the sphere."""
-    if len(b) <= 2 * first:
-        return np.arange(len(b))
-    peak = np.argsort(-(np.linalg.norm(a, axis=1) + b))
-    top, rest = peak[:first], peak[first:]
-    of_a, of_b = np.vstack([a[top], np.zeros(3)]), np.append(b[top], least)
-    kept, over = [], np.zeros(len(rest), bool)
-    for j in range(first + 1):
-        if (found := polyhedron(of_a, of_b, j)) is not None:
-            kept += [top[j]] if j < first else []
-            over |= ((a[rest] - of_a[j]) @ found[0].T).max(1) + b[rest] > of_b[j] - 1e-12
-    return np.append(np.array(kept, np.int64), rest[over])
-
-
-def cut(a: np.ndarray, b: np.ndarray, least: float) -> tuple[list, list, dict[int, bool], float, list]:
-    """Vertices (three functions, direction, value), arcs (two functions, the functions at both ends, circle, angles), the
-    functions with a face and whether their greatest value is in it, the least value of the greatest function, which is nowhere below
-    least (the cap's), and for each function that is greatest somewhere, the cap's too, its number, its polyhedron's corners and
-    its values there: another one that exceeds none of these changes nothing."""
-    a, b = np.vstack([a, np.zeros(3)]), np.append(b, least)
-    cap = len(b) - 1
-    name = lambda k: CAP if k == cap else int(k)
-    vertices, arcs, faces, lowest, tops = [], [], {}, np.inf, []
-    for j in range(cap + 1):
-        if (found_at := polyhedron(a, b, j)) is None:
+def mesh() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions in the middle of 80 triangles that cover the unit sphere, corners, and which six of these hold each triangle's part
+    of the sphere: those of the flat triangle, and these moved out."""
+    gold = (1 + 5**0.5) / 2
+    at = [np.array(v) / np.hypot(1, gold) for x in (-1, 1) for y in (-gold, gold) for v in ((0, x, y), (x, y, 0), (y, 0, x))]
+    side = min(np.linalg.norm(at[0] - v) for v in at[1:])
+    near = lambda i, j: np.linalg.norm(at[i] - at[j]) < side + 1e-6
+    halves: dict[tuple[int, int], int] = {}
+    triangles = []
+    for i, j, k in [t for t in combinations(range(12), 3) if all(near(*e) for e in combinations(t, 2))]:
+        for e in ((i, j), (j, k), (i, k)):
+            if e not in halves:
+                halves[e] = len(at)
+                at.append((at[e[0]] + at[e[1]]) / np.linalg.norm(at[e[0]] + at[e[1]]))
+        ij, jk, ik = halves[i, j], halves[j, k], halves[i, k]
+        triangles += [(i, ij, ik), (j, ij, jk), (k, ik, jk), (ij, jk, ik)]
+    at, of = np.array(at), np.array(triangles)
+    normals = np.cross(at[of[:, 1]] - at[of[:, 0]], at[of[:, 2]] - at[of[:, 0]])
+    out = (np.linalg.norm(normals, axis=1) / np.abs((normals * at[of[:, 0]]).sum(1))).max() * (1 + 1e-12)
+    middles = at[of].sum(1)
+    return middles / np.linalg.norm(middles, axis=1)[:, None], np.vstack([at, at * out]), np.hstack([of, of + len(at)])
+
+
+MIDDLES, CORNERS, HOLD = mesh()
+SEEN = np.vstack([MIDDLES, CORNERS[: len(CORNERS) // 2]])
+
+
+def bounds_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A value at each corner of the mesh: a further function that exceeds none of these is nowhere greatest, as in each part of the
+    mesh it is less than the one that is greatest in its middle."""
+    least = np.full(len(CORNERS), np.inf)
+    first = (a @ MIDDLES.T + b[:, None]).argmax(0)
+    np.minimum.at(least, HOLD, (a @ CORNERS.T + b[:, None])[first[:, None], HOLD])
+    return least
+
+
+def exceeds(a: np.ndarray, b: np.ndarray, tops: tuple[np.ndarray, np.ndarray], rim: dict[str, np.ndarray]) -> np.ndarray:
+    """Which functions a, b are somewhere greater than the greatest of tops, whose arcs are rim (with a0, b0, one of each arc's two
+    functions): at a point of an arc, or else all around the peak of its difference to one of tops."""
+    slack = 1e-11 * (1 + np.linalg.norm(a, axis=1) + np.abs(b))
+    hit = np.zeros(len(b), bool)
+    if len(rim["start"]):
+        level, x, y = (a @ rim[c].T - _dot(rim["a0"], rim[c]) for c in ("middle", "e1", "e2"))
+        level += b[:, None] - rim["b0"] + slack[:, None]
+        for t in (rim["start"], rim["stop"]):
+            hit |= (level + x * np.cos(t) + y * np.sin(t) > 0).any(1)
+        i, e = np.nonzero((level > 0) | (x * x + y * y > level * level))
+        i, e = i[~hit[i]], e[~hit[i]]
+        hit[i[(np.arctan2(y[i, e], x[i, e]) - rim["start"][e]) % TURN <= rim["stop"][e] - rim["start"][e]]] = True
+    rest = np.flatnonzero(~hit)
+    away = a[rest, None] - tops[0]
+    peak = away / np.maximum(np.linalg.norm(away, axis=2), 1e-300)[:, :, None]
+    hit[rest] = ((peak * a[rest, None]).sum(2) + (b + slack)[rest, None] > (peak @ tops[0].T + tops[1]).max(2)).any(1)
+    return hit
+
+
+def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.column_stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]])
+
+
+def _dot(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return u[:, 0] * v[:, 0] + u[:, 1] * v[:, 1] + u[:, 2] * v[:, 2]
+
+
+def arcs_of(a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray, j: np.ndarray, k: np.ndarray, most: int = 400_000) -> dict[str, np.ndarray]:
+    """Where two functions j, k of one cell are equal and greatest, for many cells at once; a cell's functions are the count[x] from
+    first[x] on, of which first and count are given by pair. Both are equal on a circle of directions, of which any third one
+    takes an interval of angles; what is left are arcs: j, k, the circle's middle and two half-axes, the angles start and stop, and
+    the functions that end it (-1: it is a whole circle)."""
+    parts, at = [], 0
+    upto = np.cumsum(count)
+    while at < len(j):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        parts.append(_arcs(a, b, *(x[at:end] for x in (first, count, j, k))))
+        at = end
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else _arcs(a, b, first, count, j, k)
+
+
+def _arcs(a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray, j: np.ndarray, k: np.ndarray) -> dict[str, np.ndarray]:
+    away = a[k] - a[j]
+    length = np.sqrt(_dot(away, away))
+    with np.errstate(all="ignore"):
+        offset = (b[j] - b[k]) / length
+        meet = (length > 1e-300) & (np.abs(offset) < 1)
+    first, count, j, k, offset = (x[meet] for x in (first, count, j, k, offset))
+    normal = away[meet] / length[meet, None]
+    e1 = _cross(normal, np.eye(3)[np.abs(normal).argmin(1)])
+    e1 /= np.sqrt(_dot(e1, e1))[:, None]
+    size = np.sqrt(np.maximum(1 - offset * offset, 0))[:, None]
+    middle, e1, e2 = normal * offset[:, None], e1 * size, _cross(normal, e1) * size
+    # every pair with every function of its cell, as differences to the flatter one of the pair
+    norm = _dot(a, a)
+    flat = np.where(norm[k] < norm[j], k, j)
+    of = np.repeat(np.arange(len(j)), count)
+    third = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+    away = a[third] - a[flat][of]
+    x, y, room = _dot(away, e1[of]), _dot(away, e2[of]), (b[flat][of] - b[third]) - _dot(away, middle[of])
+    r = np.sqrt(x * x + y * y)
+    takes = (room < r) & (third != j[of]) & (third != k[of])
+    gone = np.zeros(len(j), bool)
+    gone[of[takes & (room <= -r)]] = True
+    takes &= ~gone[of]
+    of, third, x, y, share = of[takes], third[takes], x[takes], y[takes], room[takes] / r[takes]
+    half = np.arccos(np.clip(share, -1, 1))
+    low = (np.arctan2(y, x) - half) % TURN
+    n = np.bincount(of, minlength=len(j))
+    whole = np.flatnonzero((n == 0) & ~gone)
+    cols = [(whole, np.zeros(len(whole)), np.full(len(whole), TURN), np.full(len(whole), -1), np.full(len(whole), -1))]
+    place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    for least, most in ((0, 4), (4, 8), (8, 16), (16, 1 << 30)):
+        rows = np.flatnonzero((n > least) & (n <= most))
+        if not len(rows):
             continue
-        tops.append((j, found_at[0], found_at[0] @ a[j] + b[j]))
-        if j == cap:
-            break
-        at, planes, normals, offsets, others = found_at
-        top = a[j] / max(np.linalg.norm(a[j]), 1e-300)
-        inside = lambda u, k=None: bool((normals @ u <= offsets + np.where(np.arange(len(offsets)) == k, np.inf, 1e-12)).all())
-        hits, of = crossings(at, planes)
-        low = -top
-        found = False
-        if inside(low):
-            found, lowest = True, min(lowest, b[j] - np.linalg.norm(a[j]))
-        direct = inside(top)
-        found = found or direct
-        for u, (k, l) in zip(hits, of, strict=True):
-            found, lowest = True, min(lowest, a[j] @ u + b[j])
-            if k >= 0 and l >= 0:
-                k, l = sorted((int(others[k]), int(others[l])))
-                if j < k and l != cap:
-                    vertices.append((j, k, l, u, a[j] @ u + b[j]))
-        for k in np.unique(planes[planes >= 0]):
-            if not abs(offsets[k]) < 1:
-                continue
-            middle, e1, e2 = circle(normals[k], offsets[k])
-            on = (of == k).any(1)
-            ends = np.arctan2((hits[on] - middle) @ e2, (hits[on] - middle) @ e1) % TURN
-            beyond = of[on].sum(1) - k
-            turn = np.argsort(ends)
-            ends, beyond = ends[turn], beyond[turn]
-            spans = [(ends[x], ends[(x + 1) % len(ends)] + (TURN if x + 1 == len(ends) else 0), beyond[x], beyond[(x + 1) % len(ends)]) for x in range(len(ends))] or [(0.0, TURN, None, None)]
-            for start, end, first, last in spans:
-                half = (start + end) / 2
-                if not inside(middle + np.cos(half) * e1 + np.sin(half) * e2, k):
-                    continue
-                found = True
-                x, y = a[j] @ e1, a[j] @ e2
-                bottom = (np.arctan2(y, x) + np.pi - start) % TURN + start
-                lowest = min(lowest, a[j] @ middle + b[j] - (np.hypot(x, y) if bottom <= end else -np.inf))
-                if others[k] == cap:
-                    lowest = min(lowest, least)
-                elif j < others[k]:
-                    who = [None if e is None else name(others[e]) for e in (first, last)]
-                    arcs.append((j, int(others[k]), *who, middle, e1, e2, float(start), float(end), a[j], b[j]))
-        if found:
-            faces[j] = direct
-    return vertices, arcs, faces, lowest if faces else least, tops
-
-
+        row = np.full(len(j), -1)
+        row[rows] = np.arange(len(rows))
+        on = row[of] >= 0
+        # each interval twice, a turn apart: those before an interval's start then tell up to where all is taken
+        shape, width = (len(rows), 2 * int(n[rows].max())), int(n[rows].max())
+        lows, highs, who = np.full(shape, np.inf), np.full(shape, -np.inf), np.full(shape, -1)
+        for shift in (0, 1):
+            spot = row[of[on]], place[on] + shift * width
+            lows[spot], highs[spot], who[spot] = low[on] - (1 - shift) * TURN, low[on] + 2 * half[on] - (1 - shift) * TURN, third[on]
+        order = lows.argsort(1)
+        lows, highs, who = (np.take_along_axis(v, order, 1) for v in (lows, highs, who))
+        taken = np.maximum.accumulate(highs, 1)
+        last = np.maximum.accumulate(np.where(highs == taken, np.arange(shape[1]), 0), 1)
+        i, c = np.nonzero((lows[:, 1:] > taken[:, :-1]) & (lows[:, 1:] >= 0) & (lows[:, 1:] < np.inf))
+        start = taken[i, c] % TURN
+        cols.append((rows[i], start, start + (lows[i, c + 1] - taken[i, c]), who[i, last[i, c]], who[i, c + 1]))
+    pair, start, stop, end0, end1 = (np.concatenate(c) for c in zip(*cols, strict=True))
+    return {"j": j[pair], "k": k[pair], "end0": end0, "end1": end1, "middle": middle[pair], "e1": e1[pair], "e2": e2[pair], "start": start, "stop": stop}
+
+
+RIM = (*[f"{v}{c}" for v in ("m", "e", "f") for c in "xyz"], "start", "stop", "ax", "ay", "az", "b")
+TOPS = ("ax", "ay", "az", "b")
 VECTOR = "struct<x: double, y: double, z: double>"
 SOLVED = (
     "ball_id long, status string, need double, reach double, verts array<struct<o1: long, o2: long, o3: long, x: double, y: double, z: double, rad: double>>, "
     f"arcs array<struct<o1: long, o2: long, end0: long, end1: long, closed: boolean, middle: {VECTOR}, e1: {VECTOR}, e2: {VECTOR}, start: double, stop: double, a: {VECTOR}, b: double>>, faces array<long>, direct array<long>, "
-    "known array<long>, corners array<struct<x: double, y: double, z: double, value: double>>"
+    f"known array<long>, corners array<double>, rim array<struct<{', '.join(f'{c}: double' for c in RIM)}>>, tops array<struct<{', '.join(f'{c}: double' for c in TOPS)}>>"
 )
 _V = pa.struct([(c, pa.float64()) for c in "xyz"])
 ARROW = pa.schema([
@@ -164,36 +178,119 @@ ARROW = pa.schema([
     ("verts", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "o3")), *((c, pa.float64()) for c in ("x", "y", "z", "rad"))]))),
     ("arcs", pa.list_(pa.struct([*((c, pa.int64()) for c in ("o1", "o2", "end0", "end1")), ("closed", pa.bool_()), *((c, _V) for c in ("middle", "e1", "e2")), ("start", pa.float64()), ("stop", pa.float64()), ("a", _V), ("b", pa.float64())]))),
     ("faces", pa.list_(pa.int64())), ("direct", pa.list_(pa.int64())),
-    ("known", pa.list_(pa.int64())), ("corners", pa.list_(pa.struct([(c, pa.float64()) for c in ("x", "y", "z", "value")]))),
+    ("known", pa.list_(pa.int64())), ("corners", pa.list_(pa.float64())),
+    *((name, pa.list_(pa.struct([(c, pa.float64()) for c in names]))) for name, names in (("rim", RIM), ("tops", TOPS))),
 ])
 
 
-def solve_cell(ball_id: int, centre: np.ndarray, rad: float, ids: np.ndarray, at: np.ndarray, rads: np.ndarray, max_vert: float, largest: float, reach: float = np.inf) -> dict:
-    """A row of SOLVED. need is how far from the centre a ball may be that could still change the cell. Where that is more than
-    twice the reach, the row has what known balls bound the cell and the corners that a further one has to exceed."""
-    none = {"ball_id": ball_id, "need": 0.0, "verts": [], "arcs": [], "faces": [], "direct": [], "known": [], "corners": []}
-    a, b, which, swallowed = functions(centre, rad, at, rads)
-    if swallowed:
-        return none | {"status": "empty"}
-    ids = ids[which]
-    least = 1 / max(max_vert + rad, 1e-12)
-    few = rivals(a, b, least)
-    a, b, ids = a[few], b[few], ids[few]
-    vertices, arcs, faces, lowest, tops = cut(a, b, least)
-    need = float(2 / max(lowest, least) - rad + largest)
-    further = tops if need > 2 * reach else []
-    v = lambda x: dict(zip("xyz", map(float, x), strict=True))
-    who = lambda k: None if k is None or k == CAP else int(ids[k])
-    verts = []
-    for j, k, l, u, value in vertices:
-        o = sorted(int(ids[x]) for x in (j, k, l))
-        verts.append(dict(zip(("o1", "o2", "o3"), o, strict=True)) | v(centre + u / value) | {"rad": float(1 / value - rad)})
-    rows = []
-    for j, k, e0, e1, middle, x, y, start, stop, of_a, of_b in arcs:
-        o = sorted((int(ids[j]), int(ids[k])))
-        rows.append({"o1": o[0], "o2": o[1], "end0": who(e0), "end1": who(e1), "closed": e0 is None, "middle": v(middle), "e1": v(x), "e2": v(y), "start": start, "stop": stop, "a": v(of_a), "b": float(of_b)})
-    return none | {"status": "unbounded" if lowest <= least else "complete", "need": need, "verts": verts, "arcs": rows, "faces": [int(ids[k]) for k in faces], "direct": [int(ids[k]) for k, x in faces.items() if x],
-        "known": [int(ids[k]) for k, _, _ in further if k < len(ids)], "corners": [v(c) | {"value": float(w)} for _, at_, values in further for c, w in zip(at_, values, strict=True)]}
+def _rims(sets: list[tuple[np.ndarray, ...] | None]) -> tuple:
+    """The functions of all sets (a, b, ids; the last is the cap) in one, the set of each, sizes and starts of the sets, which
+    functions are caps, and all arcs."""
+    held = [x for x in sets if x is not None]
+    a, b, ids = (np.concatenate([e, *[x[c] for x in held]]) for c, e in enumerate((np.empty((0, 3)), np.empty(0), np.empty(0, np.int64))))
+    sizes = np.array([0 if x is None else len(x[1]) for x in sets], np.int64)
+    starts, cell = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets)), sizes)
+    cap = np.zeros(len(b), bool)
+    cap[(starts + sizes - 1)[sizes > 0]] = True
+    j, k = np.concatenate([np.empty((2, 0), np.int64), *[np.array(np.triu_indices(n, 1)) + s for n, s in zip(sizes, starts, strict=True)]], axis=1)
+    return a, b, ids, cell, sizes, starts, cap, arcs_of(a, b, starts[cell[j]], sizes[cell[j]], j, k)
+
+
+def solve_cells(own: list[dict], near: list[tuple[np.ndarray, np.ndarray, np.ndarray]], max_vert: float, largest: float) -> pa.RecordBatch:
+    """Rows of SOLVED for balls (ball_id, x, y, z, rad, reach), each with ids, places and radii of others. need is how far from the centre a ball
+    may be that could still change the cell. Where that is more than twice the reach, the row has what known balls bound the
+    cell, its arcs and the corners that a further one has to exceed.
+
+    The functions that are greatest in some direction of the mesh are cut first; those that exceed them anywhere join them."""
+    n, every, sets = len(own), [], []
+    for r, (ids, at, rads) in zip(own, near, strict=True):
+        a, b, which, swallowed = functions(np.array([r["x"], r["y"], r["z"]]), r["rad"], at, rads)
+        if swallowed:
+            every.append(None)
+            sets.append(None)
+            continue
+        order = ids[which].argsort()
+        a, b, ids = np.vstack([a[order], np.zeros(3)]), np.append(b[order], 1 / max(max_vert + r["rad"], 1e-12)), np.append(ids[which][order], CAP)
+        first = np.arange(len(b)) if len(b) <= 16 else np.union1d((a @ SEEN.T + b[:, None]).argmax(0), [len(b) - 1])
+        every.append((a, b, ids, first))
+        sets.append((a[first], b[first], ids[first]))
+    a, b, _, cell, sizes, starts, cap, e = _rims(sets)
+    order = cell[e["j"]].argsort(kind="stable")
+    e = {c: v[order] for c, v in e.items()} | {"a0": a[e["j"][order]], "b0": b[e["j"][order]]}
+    cuts = np.searchsorted(cell[e["j"]], np.arange(n + 1))
+    for x in range(n):
+        if every[x] is not None:
+            of_a, of_b, ids, first = every[x]
+            rim = {c: v[cuts[x] : cuts[x + 1]] for c, v in e.items()}
+            tops = np.union1d(np.unique(np.concatenate([rim["j"], rim["k"]])) - starts[x], [sizes[x] - 1]).astype(int)
+            rest = np.delete(np.arange(len(of_b)), first)
+            if len(rest) > 200:
+                rest = rest[(of_a[rest] @ CORNERS.T + of_b[rest, None] > bounds_of(*sets[x][:2]) - 1e-9).any(1)]
+            more = rest[exceeds(of_a[rest], of_b[rest], (sets[x][0][tops], sets[x][1][tops]), rim)]
+            few = np.sort(np.append(first[tops], more))
+            sets[x] = of_a[few], of_b[few], ids[few]
+    a, b, ids, cell, sizes, starts, cap, e = _rims(sets)
+    j, k, of = e["j"], e["k"], cell[e["j"]]
+    base, x, y = _dot(a[j], e["middle"]) + b[j], _dot(a[j], e["e1"]), _dot(a[j], e["e2"])
+    bottom = (np.arctan2(y, x) + np.pi - e["start"]) % TURN + e["start"]
+    low = base + np.where(bottom <= e["stop"], -np.hypot(x, y), np.minimum(*(x * np.cos(t) + y * np.sin(t) for t in (e["start"], e["stop"]))))
+    lowest = np.full(n, np.inf)
+    np.minimum.at(lowest, of, low)
+    floor = 1 / np.maximum(max_vert + np.array([r["rad"] for r in own]), 1e-12)
+    beyond = np.ones(n, bool)  # a cell without arcs has no bounds at all
+    beyond[of] = False
+    beyond[of[cap[k]]] = True
+    lowest = np.where(beyond, floor, np.maximum(lowest, floor))
+    empty = np.array([x is None for x in sets], bool)
+    need = np.where(empty, 0.0, 2 / lowest - np.array([r["rad"] for r in own]) + largest)
+    # faces: functions with an arc, and whether they are greatest at their peak
+    face = np.unique(np.concatenate([j, k]))
+    face = face[~cap[face]]
+    peak = np.sqrt(_dot(a[face], a[face]))
+    top = a[face] / np.maximum(peak, 1e-300)[:, None]
+    which = np.repeat(np.arange(len(face)), sizes[cell[face]])
+    other = np.arange(len(which)) - np.repeat(np.cumsum(sizes[cell[face]]) - sizes[cell[face]], sizes[cell[face]]) + starts[cell[face]][which]
+    away = a[other] - a[face][which]
+    over = _dot(away, top[which]) > b[face][which] - b[other] + 1e-12 * np.sqrt(_dot(away, away))
+    direct = np.bincount(which[over], minlength=len(face)) == 0
+    # vertices: ends of arcs, each from the circle of its two first functions
+    ends = [(np.flatnonzero((e[end] > k) & ~cap[e[end]]), end, t) for end, t in (("end0", "start"), ("end1", "stop"))]
+    arc = np.concatenate([on for on, _, _ in ends])
+    third, t = (np.concatenate([e[c][on] for on, *cs in ends for c in (cs[q],)]) for q in (0, 1))
+    u = e["middle"][arc] + np.cos(t)[:, None] * e["e1"][arc] + np.sin(t)[:, None] * e["e2"][arc]
+    value = _dot(a[j[arc]], u) + b[j[arc]]
+    order = np.argsort(of[arc], kind="stable")
+    arc, third, u, value = arc[order], third[order], u[order], value[order]
+    whose = of[arc]
+    centre, rad = np.array([[r["x"], r["y"], r["z"]] for r in own]).reshape(-1, 3), np.array([r["rad"] for r in own])
+    place = centre[whose] + u / value[:, None]
+    kept = np.flatnonzero(~cap[k])
+    kept = kept[np.argsort(of[kept], kind="stable")]
+    further = np.flatnonzero(~empty & (need > 2 * np.array([r["reach"] for r in own])))
+    known = np.flatnonzero(np.isin(cell[face], further))
+    lists = lambda values, where: pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(n + 1)), pa.int32()), values)
+    vec = lambda v: pa.StructArray.from_arrays([pa.array(v[:, q]) for q in range(3)], ["x", "y", "z"])
+    end = {c: pa.array(ids[np.maximum(e[c][kept], 0)], mask=(e[c][kept] < 0) | cap[np.maximum(e[c][kept], 0)]) for c in ("end0", "end1")}
+    verts = pa.StructArray.from_arrays([*[pa.array(ids[x]) for x in (j[arc], k[arc], third)], *[pa.array(place[:, q]) for q in range(3)], pa.array(1 / value - rad[whose])], ["o1", "o2", "o3", "x", "y", "z", "rad"])
+    arcs = pa.StructArray.from_arrays(
+        [pa.array(ids[j[kept]]), pa.array(ids[k[kept]]), end["end0"], end["end1"], pa.array(e["end0"][kept] < 0), *[vec(e[c][kept]) for c in ("middle", "e1", "e2")], pa.array(e["start"][kept]), pa.array(e["stop"][kept]), vec(a[j[kept]]), pa.array(b[j[kept]])],
+        ["o1", "o2", "end0", "end1", "closed", "middle", "e1", "e2", "start", "stop", "a", "b"],
+    )
+    corners = pa.array(np.concatenate([np.empty(0), *[bounds_of(*sets[x][:2]) for x in further]]))
+    on = np.flatnonzero(np.isin(of, further))
+    on = on[of[on].argsort(kind="stable")]
+    rim = pa.StructArray.from_arrays([pa.array(v) for v in np.column_stack([e["middle"], e["e1"], e["e2"], e["start"], e["stop"], a[j], b[j]])[on].T], list(RIM))
+    bound = np.flatnonzero(cap | np.isin(np.arange(len(b)), face))
+    bound = bound[np.isin(cell[bound], further)]
+    tops = pa.StructArray.from_arrays([pa.array(v) for v in np.column_stack([a, b])[bound].T], list(TOPS))
+    status = np.where(empty, "empty", np.where(beyond, "unbounded", "complete"))
+    cols = [
+        pa.array([r["ball_id"] for r in own], pa.int64()), pa.array(status.tolist(), pa.string()), pa.array(need), pa.array([r["reach"] for r in own], pa.float64()),
+        lists(verts, whose), lists(arcs, of[kept]), lists(pa.array(ids[face]), cell[face]), lists(pa.array(ids[face[direct]]), cell[face[direct]]),
+        lists(pa.array(ids[face[known]]), cell[face[known]]), lists(corners, np.repeat(further, len(CORNERS))),
+        lists(rim, of[on]), lists(tops, cell[bound]),
+    ]
+    return pa.RecordBatch.from_arrays(cols, schema=ARROW)
 
 
 def nudged(balls: DataFrame, by: float) -> DataFrame:
@@ -246,28 +343,28 @@ def curved_cells(balls: DataFrame, max_vert: float, start: float = 0.0, nudge: f
             cuts, values = near.offsets.to_numpy() - near.offsets[0].as_py(), near.flatten()
             ids, rads = values.field("id").to_numpy(zero_copy_only=False), values.field("rad").to_numpy(zero_copy_only=False)
             at = np.column_stack([values.field(c).to_numpy(zero_copy_only=False) for c in "xyz"])
-            rows = []
-            for k, r in enumerate(b.drop_columns(["near"]).to_pylist()):
-                own = slice(cuts[k], cuts[k + 1])
-                rows.append(solve_cell(r["ball_id"], np.array([r["x"], r["y"], r["z"]]), r["rad"], ids[own], at[own], rads[own], max_vert, largest, r["reach"]) | {"reach": r["reach"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+            near = [(ids[x:y], at[x:y], rads[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield solve_cells(b.drop_columns(["near"]).to_pylist(), near, max_vert, largest)
 
     def cuts(r: dict, at: np.ndarray, rads: np.ndarray) -> np.ndarray:
         d, s = at - np.array([r["x"], r["y"], r["z"]]), rads - r["rad"]
-        room, out = (d * d).sum(1) - s * s, np.zeros(len(at), bool)
-        for c in r["corners"]:
-            out |= 2 * (d @ np.array([c["x"], c["y"], c["z"]]) + s) > (c["value"] - 1e-9) * room
-        return np.where(room > 0, out, s >= 0)
+        room = (d * d).sum(1) - s * s
+        out = np.where(room > 0, (2 * (d @ CORNERS.T + s[:, None]) > (np.array(r["corners"]) - 1e-9) * room[:, None]).any(1), s >= 0)
+        some = np.flatnonzero(out & (room > 0))
+        rim, tops = (np.array([[x[c] for c in names] for x in r[name]]).reshape(-1, len(names)) for name, names in (("rim", RIM), ("tops", TOPS)))
+        rim = dict(zip(("middle", "e1", "e2", "a0"), (rim[:, i : i + 3] for i in (0, 3, 6, 11)), strict=True)) | dict(zip(("start", "stop", "b0"), rim[:, [9, 10, 14]].T, strict=True))
+        out[some] = exceeds(2 * d[some] / room[some, None], 2 * s[some] / room[some], (tops[:, :3], tops[:, 3]), rim)
+        return out
 
     own = nudged(balls.select("ball_id", "x", "y", "z", "rad"), nudge)
     other, found = named(own, "q"), None
     todo = own.withColumn("reach", F.lit(float(start or close_reach(balls, 4 * largest + 1e-6, 30.0))))
     while True:
-        solved = gathered(todo, other, count, cuts).mapInArrow(run, SOLVED).checkpoint()
-        done = solved.where("need <= reach").drop("reach", "known", "corners")
+        solved = gathered(todo, other, count, cuts, ("corners", "rim", "tops")).mapInArrow(run, SOLVED).checkpoint()
+        done = solved.where("need <= reach").drop("reach", "known", "corners", "rim", "tops")
         found = done if found is None else found.union(done)
         inner = F.when(F.size("corners") > 0, F.col("reach"))
-        still = solved.where("need > reach").select("ball_id", F.least(F.col("need") * (1 + 1e-9), 2 * F.col("reach")).alias("reach"), inner.alias("inner"), "known", "corners")
+        still = solved.where("need > reach").select("ball_id", F.least(F.col("need") * (1 + 1e-9), 2 * F.col("reach")).alias("reach"), inner.alias("inner"), "known", "corners", "rim", "tops")
         todo = own.join(still, "ball_id").checkpoint()
         if todo.isEmpty():
             return found
