@@ -2,18 +2,22 @@
 every cell.
 
 An edge is x = p + u / (a . u + b), u running along a circle of directions from the centre p of its first ball. Integrals are Gauss
-sums over intervals that are halved, in rounds, until halves and whole agree; a round's intervals are rows, and so are their nodes.
+sums over intervals that are halved, in rounds, until halves and whole agree; edges are summed as arrays, many at once.
 
 A face is a sheet of a hyperboloid around the line of its balls' centres. Area and volume between that line and a direction have
 closed forms, so by Stokes a face's area, and the volume of the cone from a ball to it, are integrals along the face's edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.functions import geometry as G
+from cellspan.operators.spatial import dealt
 
 KEY = ["b0", "b1", "b2", "start"]
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -21,10 +25,6 @@ SUMS = ("length", "turning", "turning_sq", "m0", "m1", "m2", "g01", "g02", "g12"
 NODES = 10
 
 
-def _vec(name: str) -> G.Vec:
-    return tuple(F.col(f"{name}.{c}") for c in "xyz")
-
-
 def _put(name: str, v: G.Vec) -> dict[str, Column]:
     return {f"{name}_{c}": x for c, x in zip("xyz", v, strict=True)}
 
@@ -38,103 +38,133 @@ def _norm(v: G.Vec) -> Column:
     return F.sqrt(G.dot(v, v))
 
 
-def sheet_area(a: Column, b: Column, far: Column, z: Column) -> Column:
+Vec = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sum(*terms: tuple[np.ndarray | float, Vec]) -> Vec:
+    """The sum of vectors of arrays times factors."""
+    return tuple(sum((k * v[c] for k, v in terms[1:]), terms[0][0] * terms[0][1][c]) for c in range(3))
+
+
+def _size(v: Vec) -> np.ndarray:
+    return np.sqrt(G.dot(v, v))
+
+
+def sheet_area(a: np.ndarray, b: np.ndarray, far: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Area of the sheet at distance 1 / (a z + b) from the ball, from its axis out to z (a cosine), per radian around the axis and
     divided by 1 - z * z; far is the distance at z. Differences are taken apart by hand, so nothing cancels near the axis."""
-    g = F.sqrt((a - b) * (a + b))
+    g = np.sqrt((a - b) * (a + b))
     y = g * g * far + b
-    s = F.sqrt(F.greatest(y * y - b * b, F.lit(0.0)))
+    s = np.sqrt(np.maximum(y * y - b * b, 0.0))
     slope = (y + a) / (s + g)
     q = (1 + slope) / (a + g)
     grown = (y - a) * q
-    log = F.when(F.abs(grown) < 1e-7, q * (1 - grown / 2)).otherwise(q * F.log1p(grown) / grown)
+    small = np.abs(grown) < 1e-7
+    log = q * np.where(small, 1 - grown / 2, np.log1p(grown) / np.where(small, 1.0, grown))
     return (s + a * slope - b * b * log) * far / (2 * g * (a + b) * (1 + z))
 
 
-def cone_volume(a: Column, b: Column, far: Column, z: Column) -> Column:
+def cone_volume(a: np.ndarray, b: np.ndarray, far: np.ndarray, z: np.ndarray) -> np.ndarray:
     """The same for the volume between the ball's centre and the sheet."""
     return (a + b + 1 / far) * far * far / (6 * (a + b) * (a + b) * (1 + z))
 
 
-def integrands(rows: DataFrame) -> DataFrame:
-    """rows with the edge's columns, its balls' places p0 .. p2 and an angle t, to the SUMS per unit of t: length, turning and
-    squared curvature; half the angle between the two faces' normals for each ball's cell (m); and for each face geodesic
-    curvature towards its inside (g), the area its normals sweep on the unit sphere (k), its own area (a) and the volumes of the
-    cones from either ball to it (v)."""
-    at, one = G.point, F.lit(1.0)
-    rows = rows.withColumns({"cos": F.cos("t"), "sin": F.sin("t")})
-    cos, sin = F.col("cos"), F.col("sin")
-    rows = rows.withColumns(_put("w", _mix((cos, _vec("e1")), (sin, _vec("e2")))) | _put("du", _mix((cos, _vec("e2")), (-sin, _vec("e1")))))
-    rows = rows.withColumns(_put("u", _mix((one, _vec("middle")), (one, at("w")))))
-    rows = rows.withColumns({"k": G.dot(_vec("a"), at("u")) + F.col("b"), "dk": G.dot(_vec("a"), at("du")), "ddk": -G.dot(_vec("a"), at("w"))})
-    k, dk, ddk = F.col("k"), F.col("dk"), F.col("ddk")
-    first = _mix((1 / k, at("du")), (-dk / (k * k), at("u")))
-    second = _mix((-1 / k, at("w")), (-2 * dk / (k * k), at("du")), (2 * dk * dk / (k * k * k) - ddk / (k * k), at("u")))
-    rows = rows.withColumns(_put("x", _mix((one, at("p0")), (1 / k, at("u")))) | _put("d", first) | _put("dd", second))
-    rows = rows.withColumn("speed", _norm(at("d")))
-    rows = rows.withColumns({f"far{i}": _norm(G.sub(at("x"), at(f"p{i}"))) for i in range(3)})
-    for i in range(3):
-        rows = rows.withColumns(_put(f"r{i}", _mix((1 / F.col(f"far{i}"), G.sub(at("x"), at(f"p{i}"))))))
+def integrands(e: dict[str, np.ndarray], t: np.ndarray) -> np.ndarray:
+    """At angles t, a row of them for each edge of e (vectors in three columns, balls' places as p0 .. p2), the SUMS per unit of t:
+    length, turning and squared curvature; half the angle between the two faces' normals for each ball's cell (m); and for each
+    face geodesic curvature towards its inside (g), the area its normals sweep on the unit sphere (k), its own area (a) and the
+    volumes of the cones from either ball to it (v)."""
+    at = {c: tuple(v[:, q, None] for q in range(3)) for c, v in e.items() if v.ndim == 2}
+    p = [at[f"p{i}"] for i in range(3)]
+    cos, sin = np.cos(t), np.sin(t)
+    w, du = _sum((cos, at["e1"]), (sin, at["e2"])), _sum((cos, at["e2"]), (-sin, at["e1"]))
+    u = _sum((1.0, at["middle"]), (1.0, w))
+    k, dk, ddk = G.dot(at["a"], u) + e["b"][:, None], G.dot(at["a"], du), -G.dot(at["a"], w)
+    d = _sum((1 / k, du), (-dk / (k * k), u))
+    dd = _sum((-1 / k, w), (-2 * dk / (k * k), du), (2 * dk * dk / (k * k * k) - ddk / (k * k), u))
+    x, speed = _sum((1.0, p[0]), (1 / k, u)), _size(d)
+    away = [G.sub(x, p[i]) for i in range(3)]
+    far = [_size(v) for v in away]
+    r = [_sum((1 / f, v)) for f, v in zip(far, away, strict=True)]
+    dr = [_sum((1 / far[i], d), (-G.dot(r[i], d) / far[i], r[i])) for i in range(3)]
+    apart = {(i, j): G.sub(r[i], r[j]) for i, j in PAIRS}
+    long = {ij: _size(v) for ij, v in apart.items()}
+    n = {ij: _sum((1 / long[ij], v)) for ij, v in apart.items()}
+    normal = lambda i, j: n[i, j] if i < j else tuple(-c for c in n[j, i])
+    bend = _size(G.cross(d, dd))
+    out = {"length": speed, "turning": bend / (speed * speed), "turning_sq": bend * bend / speed**5}
     for i in range(3):
-        rows = rows.withColumns(_put(f"dr{i}", _mix((1 / F.col(f"far{i}"), at("d")), (-G.dot(at(f"r{i}"), at("d")) / F.col(f"far{i}"), at(f"r{i}")))))
-    rows = rows.withColumns({f"len{i}{j}": _norm(G.sub(at(f"r{i}"), at(f"r{j}"))) for i, j in PAIRS})
+        v, m = (normal(i, j) for j in range(3) if j != i)
+        out[f"m{i}"] = np.arctan2(_size(G.cross(v, m)), G.dot(v, m)) * speed / 2
     for i, j in PAIRS:
-        rows = rows.withColumns(_put(f"n{i}{j}", _mix((1 / F.col(f"len{i}{j}"), G.sub(at(f"r{i}"), at(f"r{j}"))))))
-    normal = lambda i, j: at(f"n{i}{j}") if i < j else tuple(-x for x in at(f"n{j}{i}"))
-    speed, bend = F.col("speed"), _norm(G.cross(at("d"), at("dd")))
-    out = {"length": speed, "turning": bend / (speed * speed), "turning_sq": bend * bend / F.pow("speed", F.lit(5.0))}
-    for i in range(3):
-        n, m = (normal(i, j) for j in range(3) if j != i)
-        out[f"m{i}"] = F.atan2(_norm(G.cross(n, m)), G.dot(n, m)) * speed / 2
-    for i, j in PAIRS:
-        third, n = 3 - i - j, normal(i, j)
+        third, v = 3 - i - j, n[i, j]
         # the inside of a face lies away from the third ball
-        side = -F.signum(G.dot(G.cross(n, at("d")), normal(i, third)))
-        axis = G.sub(at(f"p{j}"), at(f"p{i}"))
-        apart = _norm(axis)
-        axis = _mix((1 / apart, axis))
-        wider = F.col(f"far{j}") - F.col(f"far{i}")
-        over = 2 / ((apart - wider) * (apart + wider))
-        steep, shift = apart * over, wider * over
-        sweep = G.dot(G.cross(n, G.sub(at(f"dr{i}"), at(f"dr{j}"))), axis) / (F.col(f"len{i}{j}") * (1 + G.dot(n, axis)))
-        out |= {f"g{i}{j}": side * G.dot(at("dd"), G.cross(n, at("d"))) / (speed * speed), f"k{i}{j}": side * sweep}
+        side = -np.sign(G.dot(G.cross(v, d), normal(i, third)))
+        axis = G.sub(p[j], p[i])
+        between = _size(axis)
+        axis = _sum((1 / between, axis))
+        wider = far[j] - far[i]
+        over = 2 / ((between - wider) * (between + wider))
+        steep, shift = between * over, wider * over
+        sweep = G.dot(G.cross(v, G.sub(dr[i], dr[j])), axis) / (long[i, j] * (1 + G.dot(v, axis)))
+        out |= {f"g{i}{j}": side * G.dot(dd, G.cross(v, d)) / (speed * speed), f"k{i}{j}": side * sweep}
         for m, (o, sign) in {i: (j, 1), j: (i, -1)}.items():
-            turn, z = side * G.dot(axis, G.cross(at(f"r{m}"), at(f"dr{m}"))), sign * G.dot(axis, at(f"r{m}"))
-            out[f"v{m}{o}"] = turn * cone_volume(steep, sign * shift, F.col(f"far{m}"), z)
+            turn, z = side * G.dot(axis, G.cross(r[m], dr[m])), sign * G.dot(axis, r[m])
+            out[f"v{m}{o}"] = turn * cone_volume(steep, sign * shift, far[m], z)
             if m == i:
-                out[f"a{i}{j}"] = turn * sheet_area(steep, shift, F.col(f"far{i}"), z)
-    return rows.select(*[c for c in rows.columns if c in (*KEY, "lo", "hi", "part", "weight")], *[v.alias(c) for c, v in out.items()])
+                out[f"a{i}{j}"] = turn * sheet_area(steep, shift, far[i], z)
+    return np.stack([out[c] for c in SUMS], axis=2)
+
+
+def integrals(e: dict[str, np.ndarray], tolerance: float, rounds: int, step: int = 500) -> np.ndarray:
+    """The SUMS of each edge of e, a row each, from start to stop. An interval is accepted if the Gauss sum over both halves and that
+    over the whole differ by tolerance at most (absolute, or relative to sums above 1), else its halves are looked at in turn; after
+    that many rounds all are accepted."""
+    places, weights = np.polynomial.legendre.leggauss(NODES)
+    total = np.zeros((len(e["start"]), len(SUMS)))
+
+    def over(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        t = lo[:, None] + (places + 1) / 2 * (hi - lo)[:, None]
+        return np.einsum("ntc,t->nc", integrands({c: v[of] for c, v in e.items()}, t), weights / 2) * (hi - lo)[:, None]
+
+    for at in range(0, len(total), step):
+        of = np.arange(at, min(at + step, len(total)))
+        stack = [(of, e["start"][of], e["stop"][of], over(of, e["start"][of], e["stop"][of]), 1)]
+        while stack:
+            of, lo, hi, whole, turn = stack.pop()
+            middle = (lo + hi) / 2
+            first, last = over(of, lo, middle), over(of, middle, hi)
+            both = first + last
+            done = (np.abs(both - whole) / np.maximum(np.abs(both), 1.0)).max(1) <= tolerance if turn < rounds else np.ones(len(of), bool)
+            np.add.at(total, of[done], both[done])
+            left = np.flatnonzero(~done)
+            for part in (left[q : q + step] for q in range(0, len(left), step)):
+                stack.append((of[part], lo[part], middle[part], first[part], turn + 1))
+                stack.append((of[part], middle[part], hi[part], last[part], turn + 1))
+    return total
 
 
 def edge_integrals(edges: DataFrame, balls: DataFrame, tolerance: float = 1e-9, rounds: int = 30) -> DataFrame:
-    """(b0, b1, b2, start, end0, end1, closed and the SUMS) of each edge of curved_cells.cell_edges(). A round accepts the intervals
-    of which the Gauss sum over both halves and that over the whole differ by tolerance at most (absolute, or relative to
-    sums above 1), and halves the others; after that many rounds all are accepted."""
+    """(b0, b1, b2, start, end0, end1, closed and the SUMS) of each edge of curved_cells.cell_edges(), kept. Edges get their balls'
+    places by joins; each is then summed where it is, as arrays, so no interval or node is a row."""
     held = edges
     for k in range(3):
-        held = held.join(balls.select(F.col("ball_id").alias(f"b{k}"), *[F.col(c).alias(f"p{k}_{c}") for c in "xyz"]), f"b{k}")
+        held = held.join(balls.select(F.col("ball_id").alias(f"b{k}"), F.struct("x", "y", "z").alias(f"p{k}")), f"b{k}")
     held = held.checkpoint()
-    places, weights = np.polynomial.legendre.leggauss(NODES)
-    of = lambda part, lo, hi: [F.struct(F.lit(part).alias("part"), F.lit(lo + (x + 1) / 2 * (hi - lo)).alias("at"), F.lit(w / 2 * (hi - lo)).alias("weight")) for x, w in zip(places.tolist(), weights.tolist(), strict=True)]
-    nodes = F.array(*of(0, 0.0, 1.0), *of(1, 0.0, 0.5), *of(1, 0.5, 1.0))
-    todo, found = held.select(*KEY, F.col("start").alias("lo"), F.col("stop").alias("hi")), None
-    for turn in range(rounds):
-        rows = held.join(todo, KEY).withColumn("node", F.explode(nodes))
-        size = F.col("hi") - F.col("lo")
-        rows = rows.withColumns({"t": F.col("lo") + F.col("node.at") * size, "weight": F.col("node.weight") * size, "part": F.col("node.part")})
-        one = lambda part, c: F.sum(F.when(F.col("part") == part, F.col("weight") * F.col(c)))
-        sums = integrands(rows).groupBy(*KEY, "lo", "hi").agg(*[one(1, c).alias(c) for c in SUMS], *[one(0, c).alias(f"whole_{c}") for c in SUMS])
-        apart = F.greatest(*[F.abs(F.col(c) - F.col(f"whole_{c}")) / F.greatest(F.abs(c), F.lit(1.0)) for c in SUMS])
-        sums = sums.withColumn("done", (apart <= tolerance) | F.lit(turn + 1 == rounds)).select(*KEY, "lo", "hi", "done", *SUMS).checkpoint()
-        part = sums.where("done").select(*KEY, *SUMS)
-        found = part if found is None else found.union(part)
-        open_ = sums.where("NOT done")
-        if open_.isEmpty():
-            break
-        middle = (F.col("lo") + F.col("hi")) / 2
-        halves = F.explode(F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct(middle.alias("lo"), F.col("hi"))))
-        todo = open_.select(*KEY, halves.alias("half")).select(*KEY, "half.lo", "half.hi")
-    return held.select(*KEY, "end0", "end1", "closed").join(found.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]), KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(c) for c in batch.schema.names}
+            of = lambda v: np.column_stack([v.field(c).to_numpy(zero_copy_only=False) for c in "xyz"]).astype(float)
+            e = {c: of(at[c]) for c in ("middle", "e1", "e2", "a", "p0", "p1", "p2")} | {c: at[c].to_numpy(zero_copy_only=False) for c in ("start", "stop", "b")}
+            with np.errstate(all="ignore"):
+                sums = integrals(e, tolerance, rounds)
+            yield pa.RecordBatch.from_arrays([*[at[c] for c in names], *map(pa.array, sums.T)], [*names, *SUMS])
+
+    names = [*KEY, "end0", "end1", "closed"]
+    kinds = dict(held.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in names] + [f"{c} double" for c in SUMS])
+    return dealt(held, held.count(), "b0", 2000).mapInArrow(run, schema).checkpoint()
 
 
 def vertex_defects(verts: DataFrame, balls: DataFrame) -> DataFrame:
