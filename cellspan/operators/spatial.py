@@ -394,6 +394,61 @@ def kind_sums(balls: DataFrame, gap: float, kind: str) -> DataFrame:
     return parts.groupBy("a_kind", "b_kind").agg(F.sum("n").alias("n"), F.sum("overlap").alias("overlap"))
 
 
+def contact_sums(balls: DataFrame, gap: float, kind: str) -> DataFrame:
+    """(side_a, side_b, n_contacts, n_overlaps, overlap, closest), side_a < side_b: pairs of two kinds (whole numbers) whose surfaces are at
+    most gap apart: how many, how many of these overlap, the sum of overlaps and the least gap."""
+
+    def fold(a: dict, b: dict, tiles: Iterator[Tile]) -> Iterator[pa.RecordBatch]:
+        (ka, ia), (kb, ib) = (np.unique(x[kind], return_inverse=True) for x in (a, b))
+        n, lap, overlap = np.zeros((3, len(ka), len(kb)))
+        closest = np.full((len(ka), len(kb)), np.inf)
+        of, groups = np.eye(len(kb))[ib], [np.flatnonzero(ib == q) for q in range(len(kb))]
+        for on, _, between, pair in tiles:
+            np.add.at(n, ia[on], pair.astype(np.float64) @ of)
+            for q, group in enumerate(groups):
+                np.minimum.at(closest[:, q], ia[on], between[:, group].min(1))
+            under = np.logical_and(pair, between < 0, out=pair)
+            np.add.at(lap, ia[on], under.astype(np.float64) @ of)
+            np.add.at(overlap, ia[on], np.where(under, -between, 0.0) @ of)
+        i, j = np.nonzero((n > 0) & (ka[:, None] != kb))
+        rows = [np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j]), n[i, j].astype(np.int64), lap[i, j].astype(np.int64), overlap[i, j], closest[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+
+    names = ["side_a", "side_b", "n_contacts", "n_overlaps", "overlap", "closest"]
+    kinds = dict(balls.dtypes)[kind]
+    whole = balls.where(F.col(kind).isNotNull()).withColumn(kind, F.col(kind).cast("long"))
+    parts = fold_within(whole, gap, fold, "side_a long, side_b long, n_contacts long, n_overlaps long, overlap double, closest double", kind)
+    sums = parts.groupBy("side_a", "side_b").agg(*[F.sum(c).alias(c) for c in names[2:5]], F.min("closest").alias("closest"))
+    return sums.withColumns({c: F.col(c).cast(kinds) for c in names[:2]})
+
+
+def cap_sums(balls: DataFrame, kind: str, least: float = 1e-9) -> DataFrame:
+    """(a_kind, b_kind, n_pairs, cap_area): of overlapping balls of two kinds (whole numbers), those of the lesser id first, with centres more
+    than least apart, how many there are and the sum of the areas that either covers of the other's sphere."""
+
+    def fold(a: dict, b: dict, tiles: Iterator[Tile]) -> Iterator[pa.RecordBatch]:
+        kinds = np.unique(np.concatenate([a[kind], b[kind]]))
+        ka, kb = (np.searchsorted(kinds, x[kind]) for x in (a, b))
+        n, area = np.zeros((2, len(kinds) ** 2))
+        cap = lambda r, other, d: 2 * np.pi * r * np.minimum(np.maximum((other * other - (d - r) * (d - r)) / (2 * d), 0.0), 2 * r)
+        for on, far, _, pair in tiles:
+            i, j = np.nonzero(pair & (far > least) & (ka[on, None] != kb))
+            d, i = far[i, j], i + on.start
+            turn = a["ball_id"][i] > b["ball_id"][j]
+            code = np.where(turn, kb[j], ka[i]) * len(kinds) + np.where(turn, ka[i], kb[j])
+            n += np.bincount(code, minlength=len(n))
+            area += np.bincount(code, cap(a["rad"][i], b["rad"][j], d) + cap(b["rad"][j], a["rad"][i], d), len(n))
+        on = np.flatnonzero(n)
+        rows = [kinds[on // len(kinds)], kinds[on % len(kinds)], n[on].astype(np.int64), area[on]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["a_kind", "b_kind", "n_pairs", "cap_area"])
+
+    own = dict(balls.dtypes)[kind]
+    whole = balls.where(F.col(kind).isNotNull()).withColumn(kind, F.col(kind).cast("long"))
+    parts = fold_within(whole, 0.0, fold, "a_kind long, b_kind long, n_pairs long, cap_area double", kind)
+    sums = parts.groupBy("a_kind", "b_kind").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("cap_area").alias("cap_area"))
+    return sums.withColumns({c: F.col(c).cast(own) for c in ("a_kind", "b_kind")})
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(ball_id, other, d, gap) for either end of each pair."""
     return pairs.select(F.col("a_id").alias("ball_id"), F.col("b_id").alias("other"), "d", "gap").union(pairs.select("b_id", "a_id", "d", "gap"))

@@ -191,3 +191,29 @@ def test_edges_are_summed_as_arrays():
     for k in range(0, len(arcs), 10):
         want = curved_measures.integrands({c: v[k : k + 1] for c, v in e.items()}, t[k : k + 1])[0].mean(0) * (e["stop"] - e["start"])[k]
         assert np.allclose(got[k], want, rtol=1e-4, atol=1e-6)
+
+
+def test_contacts_and_caps_between_kinds_list_no_pair(spark, monkeypatch):
+    at, rad, b = dense(spark, 300)
+    b = b.selectExpr("*", "CAST(ball_id % 3 AS int) AS kind")
+    monkeypatch.setattr(spatial, "range_join", None)
+    contacts, caps = {}, {}
+    for i in range(300):
+        for j in range(i + 1, 300):
+            d = float(np.sqrt(((at[i] - at[j]) ** 2).sum()))
+            gap, kinds = d - rad[i] - rad[j], (i % 3, j % 3)
+            if gap <= 0.5 and kinds[0] != kinds[1]:
+                s = contacts.setdefault(tuple(sorted(kinds)), [0, 0, 0.0, np.inf])
+                s[0], s[1], s[2], s[3] = s[0] + 1, s[1] + (gap < 0), s[2] + max(-gap, 0.0), min(s[3], gap)
+            if gap <= 0 and kinds[0] != kinds[1]:
+                s = caps.setdefault(kinds, [0, 0.0])
+                s[0] += 1
+                s[1] += sum(2 * np.pi * x * min(max((y * y - (d - x) ** 2) / (2 * d), 0.0), 2 * x) for x, y in ((rad[i], rad[j]), (rad[j], rad[i])))
+    for each in (8192, 16):
+        monkeypatch.setattr(spatial, "fold_within", lambda *a, fold=spatial.fold_within, each=each: fold(*a, each=each))
+        got = {(r.side_a, r.side_b): [r.n_contacts, r.n_overlaps, r.overlap, r.closest] for r in spatial.contact_sums(b, 0.5, "kind").collect()}
+        assert got.keys() == contacts.keys() and all(np.allclose(got[k], contacts[k]) for k in got)
+        got = {(r.a_kind, r.b_kind): [r.n_pairs, r.cap_area] for r in spatial.cap_sums(b, "kind").collect()}
+        assert got.keys() == caps.keys() and all(np.allclose(got[k], caps[k]) for k in got)
+        monkeypatch.undo()
+        monkeypatch.setattr(spatial, "range_join", None)
