@@ -485,5 +485,69 @@ def second_neighbors(pairs: DataFrame) -> DataFrame:
     return two.join(one.select("ball_id", F.col("other").alias("second")), ["ball_id", "second"], "left_anti")
 
 
+def count_second(balls: DataFrame, gap: float, each: int = 2048) -> DataFrame:
+    """(ball_id, n_second): how many balls second_neighbors() has of each ball, for pairs whose surfaces are at most gap apart. No pair is
+    listed or sent: the balls of a grid cell, in blocks of about `each`, get those of the 125 cells around as arrays, and which are
+    reached over a neighbour is a product of matrices of few balls at a time."""
+    if not balls.groupBy("ball_id").count().where("count > 1").isEmpty():  # one id in several places: its neighbours are those of all
+        return second_neighbors(range_join(balls, gap)).groupBy("ball_id").agg(F.count("*").alias("n_second"))
+    held, _, reach = _held(balls, gap)
+    keys, columns = ["cx", "cy", "cz"], ["ball_id", "x", "y", "z", "rad"]
+    placed = held.select(*columns, *cell("", reach))
+    crowded = placed.groupBy(*keys).count().where(F.col("count") > each).select(*keys, F.ceil(F.col("count") / each).alias("parts"))  # few
+    part = F.pmod(F.xxhash64("ball_id"), F.coalesce("parts", F.lit(1).cast("long")))
+    blocks = placed.join(F.broadcast(crowded), keys, "left").groupBy(*keys, part.alias("part")).agg(F.collect_list(F.struct(*columns)).alias("s")).checkpoint()
+    steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"d{k}") for k, v in zip("xyz", at, strict=True)]) for at in product(range(-2, 3), repeat=3)])
+    a = blocks.select(*[F.col(k).alias(f"o{k[1]}") for k in keys], F.col("part").alias("pa"), F.explode(steps).alias("step")).withColumns({k: F.col(f"o{k[1]}") + F.col(f"step.d{k[1]}") for k in keys})
+    own = (F.col("pa") == F.col("part")) & (F.col("step.dx") == 0) & (F.col("step.dy") == 0) & (F.col("step.dz") == 0)
+    both = a.join(blocks, keys).select("ox", "oy", "oz", "pa", own.alias("own"), "s")
+
+    def pairs(x: dict, y: dict) -> np.ndarray:
+        d = np.square(x["x"][:, None] - y["x"])
+        for c in "yz":
+            d += np.square(x[c][:, None] - y[c])
+        np.sqrt(d, out=d)
+        d -= x["rad"][:, None]
+        d -= y["rad"]
+        return d <= gap
+
+    def reached(i: dict, others: dict) -> np.ndarray:
+        near = lambda x, k: np.logical_and.reduce([(x[c] >= i[c].min() - k * reach) & (x[c] <= i[c].max() + k * reach) for c in "xyz"])
+        s = {c: v[near(others, 2 * (1 + 1e-9))] for c, v in others.items()}
+        direct = pairs(i, s)
+        direct[i["ball_id"][:, None] == s["ball_id"]] = False
+        open_, n = ~direct & (i["ball_id"][:, None] != s["ball_id"]), np.zeros(len(i["ball_id"]), np.int64)
+        over = np.flatnonzero(direct.any(0))
+        over = over[(over * 2654435761 % 4294967296).argsort(kind="stable")]  # mixed, so that the first few reach most
+        for at in range(0, len(over), 256):
+            j, left = over[at : at + 256], np.flatnonzero(open_.any(0))
+            to_j = direct[:, j].astype(np.float32)
+            for k in range(0, len(left), 4096):
+                some = left[k : k + 4096]
+                hit = (to_j @ pairs({c: v[j] for c, v in s.items()}, {c: v[some] for c, v in s.items()}).astype(np.float32) > 0) & open_[:, some]
+                n += hit.sum(1)
+                open_[:, some] &= ~hit
+        return n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("blocks"):
+                parts = row.values.field("s")
+                is_own = row.values.field("own").to_numpy(zero_copy_only=False)
+                take = lambda v: {c: v.field(c).to_numpy(zero_copy_only=False) for c in columns}
+                others, mine = take(parts.flatten()), take(parts.filter(pa.array(is_own)).flatten())
+                spot = [np.floor(mine[c] / (reach / 2)) for c in "xyz"]
+                order = np.lexsort(spot)
+                new = np.flatnonzero(np.logical_or.reduce([np.diff(v[order]) != 0 for v in spot])) + 1
+                for group in np.split(order, new):
+                    for k in range(0, len(group), 512):
+                        i = {c: v[group[k : k + 512]] for c, v in mine.items()}
+                        n = reached(i, others)
+                        yield pa.RecordBatch.from_arrays([pa.array(i["ball_id"][n > 0]), pa.array(n[n > 0])], ["ball_id", "n_second"])
+
+    grouped = both.repartition(max(balls.sparkSession.sparkContext.defaultParallelism * 4, blocks.count()), "ox", "oy", "oz", "pa").groupBy("ox", "oy", "oz", "pa").agg(F.collect_list(F.struct("own", "s")).alias("blocks"))
+    return grouped.select("blocks").mapInArrow(run, f"ball_id {dict(balls.dtypes)['ball_id']}, n_second long")
+
+
 def grid_occupancy(balls: DataFrame, size: float) -> DataFrame:
     return balls.groupBy(*cell("", size)).agg(F.count("*").alias("n_balls"), F.min("ball_id").alias("first_ball"))

@@ -217,3 +217,15 @@ def test_contacts_and_caps_between_kinds_list_no_pair(spark, monkeypatch):
         assert got.keys() == caps.keys() and all(np.allclose(got[k], caps[k]) for k in got)
         monkeypatch.undo()
         monkeypatch.setattr(spatial, "range_join", None)
+
+
+def test_second_neighbours_are_counted_without_pairs(spark, monkeypatch):
+    at, rad, b = dense(spark, 700)
+    near = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)) - rad[:, None] - rad <= -1.0
+    np.fill_diagonal(near, False)
+    two = (near.astype(int) @ near.astype(int) > 0) & ~near
+    np.fill_diagonal(two, False)
+    monkeypatch.setattr(spatial, "range_join", None)
+    for each in (2048, 20):
+        got = {r.ball_id: r.n_second for r in spatial.count_second(b, -1.0, each).collect()}
+        assert got == {i: int(n) for i, n in enumerate(two.sum(1)) if n}
